@@ -12,7 +12,7 @@ from cyclelens import schemas
 from cyclelens.domain import Domain
 from cyclelens.functions import scalars as fx
 from cyclelens.operators import partitions, periods, quality
-from cyclelens.operators.facts import contributions, issue_fact, team_fact
+from cyclelens.operators.facts import contributions, engineer_rollup, issue_fact
 from cyclelens.operators.merge import changed_rows
 from cyclelens.operators.ranking import page
 from cyclelens.operators.summarize import SUMMARY
@@ -91,14 +91,15 @@ _query("top_categories")(rollups.top_categories)
 
 @_query()
 def team_metrics_materialized(d: Domain) -> DataFrame:
-    stored = rollups.team_metrics_with_info(rollups.team_metrics_materialized(d, AS_OF), d.teams)
+    table = rollups.team_metrics_materialized(d, _store(d, "team_metrics"), AS_OF)
+    stored = rollups.team_metrics_with_info(table, d.teams)
     shown = F.transform("top_categories", lambda c: F.concat_ws(":", c["category"], c["issueCount"].cast("string")))
     return stored.withColumn("top_categories", F.array_join(shown, ","))
 
 
 @_query()
 def team_metrics_with_categories(d: Domain) -> DataFrame:
-    stored = rollups.team_metrics_materialized(d, AS_OF).drop("last_calculated")
+    stored = rollups.team_metrics_materialized(d, _store(d, "team_categories"), AS_OF).drop("last_calculated")
     exploded = stored.select("team_id", *SUMMARY, "ai_adoption_rate", F.posexplode_outer("top_categories").alias("pos", "c"))
     return exploded.select(
         "team_id",
@@ -147,7 +148,7 @@ _query("timeline_creation_to_resolution")(lambda d: timeline.timeline_creation_t
 @_query()
 def timeline_read(d: Domain) -> DataFrame:
     store = _store(d, "timeline_read")
-    stored = store.replace("timeline_metrics_materialized", timeline.timeline_materialized(d, AS_OF, END))
+    stored = store.replace("timeline_metrics_materialized", timeline.timeline_materialized(d, store, AS_OF, END))
     rows = timeline.timeline_read(stored, END, start=date(1998, 1, 1), end=date(1999, 12, 31))
     return rows.select(
         "time_period",
@@ -342,8 +343,9 @@ def _aged_tables(d: Domain, store: TableStore) -> None:
     """Stored tables as of STALE_UNTIL, each row stamped with the day of the entity's last commit."""
     earlier = _until(d, STALE_UNTIL)
     touched = refresh.last_touched(earlier)
+    rolled = store.replace("engineer_rollup", engineer_rollup(earlier))
     for dimension, key in refresh.KEYS.items():
-        rows = refresh.metric_rows(earlier, dimension).join(touched[dimension], key)
+        rows = refresh.metric_rows(earlier, dimension, rolled).join(touched[dimension], key)
         store.replace(refresh.table_name(dimension), rows)
 
 
@@ -358,7 +360,7 @@ def refresh_all_metrics(d: Domain) -> DataFrame:
 def refresh_report(d: Domain) -> DataFrame:
     store = _store(d, "refresh_report")
     _aged_tables(d, store)
-    return refresh.refresh_report(d, refresh.refresh_all(d, store, AS_OF), AS_OF)
+    return refresh.refresh_report(d, refresh.refresh_all(d, store, AS_OF), AS_OF, store.read("engineer_rollup"))
 
 
 @_query()

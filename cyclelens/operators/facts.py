@@ -6,6 +6,8 @@ engineer or team that owns a large share of the commits reaches the shuffle as a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,21 @@ def commit_rollup(commits: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def merge_rollups(rolled: DataFrame, *keys: str) -> DataFrame:
+    """Rollups added up to a coarser grain, or rollups of separate commits to one."""
+    return rolled.groupBy(*keys).agg(
+        F.min("first_commit_date").alias("first_commit_date"),
+        F.sum("total_commits").alias("total_commits"),
+        F.sum("ai_commits").alias("ai_commits"),
+    )
+
+
+def engineer_rollup(domain: Domain) -> DataFrame:
+    """The commits per (issue, engineer): the grain every filtered view of them can be rebuilt from."""
+    # A join on the engineer later would add this filter in some branches only, and they would not share a shuffle.
+    return commit_rollup(domain.commits.where(F.col("engineer_id").isNotNull()), "engineer_id")
+
+
 def _measured(rolled: DataFrame) -> DataFrame:
     """Adds the measures of an analysed issue; they are NULL where the issue is unresolved or has no commits."""
     return rolled.withColumns(
@@ -73,31 +90,30 @@ def issue_fact(
     return _measured(issues.join(rolled, "issue_id"))
 
 
-def every_issue(domain: Domain) -> DataFrame:
+def every_issue(domain: Domain, rolled: DataFrame | None = None) -> DataFrame:
     """Like `issue_fact`, but issues that cannot be analysed stay, so each project, author and category has a row."""
-    rolled = commit_rollup(domain.commits)
-    return _measured(domain.jira_issues.select(*ISSUE_COLUMNS).join(rolled, "issue_id", "left"))
+    per_issue = commit_rollup(domain.commits) if rolled is None else merge_rollups(rolled, "issue_id")
+    return _measured(domain.jira_issues.select(*ISSUE_COLUMNS).join(per_issue, "issue_id", "left"))
 
 
-def contributions(domain: Domain, every_engineer: bool = False) -> DataFrame:
-    """One row per (resolved issue, engineer): the grain every filtered view of the commits can be rebuilt from.
+def contributions(domain: Domain, every_engineer: bool = False, rolled: DataFrame | None = None) -> DataFrame:
+    """One row per (resolved issue, engineer), from the commits or from their stored `engineer_rollup`.
 
     With `every_engineer`, commits to unresolved issues stay as rows without measures, so that each engineer who
     committed anything has a row.
     """
-    rolled = commit_rollup(domain.commits, "engineer_id")
+    rolled = engineer_rollup(domain) if rolled is None else rolled
     issues = domain.resolved.select(*ISSUE_COLUMNS)
     return _measured(rolled.join(issues, "issue_id", "left" if every_engineer else "inner"))
 
 
-def regroup(contributed: DataFrame, *keys: str) -> DataFrame:
-    """Contributions merged to one row per (issue, keys); stays partitioned by issue, hence needs no further shuffle."""
-    merged = contributed.groupBy(*ISSUE_COLUMNS, *keys).agg(
-        F.min("first_commit_date").alias("first_commit_date"),
-        F.sum("total_commits").alias("total_commits"),
-        F.sum("ai_commits").alias("ai_commits"),
-    )
-    return _measured(merged)
+def regroup(contributed: DataFrame, *keys: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Contributions merged to one row per (issue, keys); stays partitioned by issue, hence needs no further shuffle.
+
+    Issue columns besides the resolution date are kept only if named in `carry`: what no later step reads is then not
+    read from the source either.
+    """
+    return _measured(merge_rollups(contributed, "issue_id", "resolution_date", *carry, *keys))
 
 
 def by_team(domain: Domain, contributed: DataFrame, how: str = "inner") -> DataFrame:
@@ -105,6 +121,7 @@ def by_team(domain: Domain, contributed: DataFrame, how: str = "inner") -> DataF
     return lookup_join(contributed, domain.members, "engineer_id", "issue_id", how, domain.members_are_few)
 
 
-def team_fact(domain: Domain, contributed: DataFrame | None = None) -> DataFrame:
+def team_fact(domain: Domain, contributed: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """One row per (issue, team): the issue as seen through the commits of that team's members."""
-    return regroup(by_team(domain, contributions(domain) if contributed is None else contributed), "team_id")
+    shared = contributions(domain) if contributed is None else contributed
+    return regroup(by_team(domain, shared), "team_id", carry=carry)

@@ -18,31 +18,55 @@ AVERAGES = (
 SUMMARY = COUNTS + AVERAGES
 
 
-def _avg_where(condition: Column, value: str) -> Column:
-    return F.coalesce(F.avg(F.when(condition, F.col(value))), F.lit(0.0))
+TALLY = ("issues_with_ai", "issues_without_ai", "days_with_ai", "days_without_ai", "commits_with_ai", "commits_without_ai")
 
 
-def summarize(fact: DataFrame, *keys: str | Column) -> DataFrame:
-    """Counts, averages and impact per key; without keys, one row even for an empty fact.
-
-    Rows without an AI flag (issues that cannot be analysed) count for nothing but give their key a row of zeros.
+def tally(fact: DataFrame, *keys: str | Column) -> DataFrame:
+    """Issue counts and sums of days and commits per key and AI group; tallies of finer keys add up to coarser ones.
 
+    Rows without an AI flag (issues that cannot be analysed) count for nothing but give their key a row.
     Every aggregate has a fixed-size buffer and is combined before the shuffle, so the shuffle moves at most one row
     per key and task however many issues a key has.
     """
     ai, no_ai = F.col("has_ai_commits"), ~F.col("has_ai_commits")
-    aggregated = fact.groupBy(*keys).agg(
-        F.count("has_ai_commits").alias("total_issues"),
+    return fact.groupBy(*keys).agg(
         F.count_if(ai).alias("issues_with_ai"),
         F.count_if(no_ai).alias("issues_without_ai"),
-        _avg_where(ai, "cycle_time").alias("avg_cycle_time_with_ai"),
-        _avg_where(no_ai, "cycle_time").alias("avg_cycle_time_without_ai"),
-        _avg_where(ai, "total_commits").alias("avg_commits_with_ai"),
-        _avg_where(no_ai, "total_commits").alias("avg_commits_without_ai"),
+        F.sum(F.when(ai, F.col("cycle_time"))).alias("days_with_ai"),
+        F.sum(F.when(no_ai, F.col("cycle_time"))).alias("days_without_ai"),
+        F.sum(F.when(ai, F.col("total_commits"))).alias("commits_with_ai"),
+        F.sum(F.when(no_ai, F.col("total_commits"))).alias("commits_without_ai"),
+    )
+
+
+def coarser(tallied: DataFrame, *keys: str) -> DataFrame:
+    return tallied.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TALLY])
+
+
+def summary_of(tallied: DataFrame) -> DataFrame:
+    """Counts, averages and impact from a tally."""
+    named = [c for c in tallied.columns if c not in TALLY]
+
+    def average(total: str, count: str) -> Column:
+        return F.coalesce(F.try_divide(F.col(total).cast("double"), F.col(count).cast("double")), F.lit(0.0))
+
+    averaged = tallied.select(
+        *named,
+        (F.col("issues_with_ai") + F.col("issues_without_ai")).alias("total_issues"),
+        "issues_with_ai",
+        "issues_without_ai",
+        average("days_with_ai", "issues_with_ai").alias("avg_cycle_time_with_ai"),
+        average("days_without_ai", "issues_without_ai").alias("avg_cycle_time_without_ai"),
+        average("commits_with_ai", "issues_with_ai").alias("avg_commits_with_ai"),
+        average("commits_without_ai", "issues_without_ai").alias("avg_commits_without_ai"),
     )
-    named = [c for c in aggregated.columns if c not in SUMMARY]
     impact = impact_percent("avg_cycle_time_with_ai", "avg_cycle_time_without_ai")
-    return aggregated.withColumn("cycle_time_impact_percentage", impact).select(*named, *SUMMARY)
+    return averaged.withColumn("cycle_time_impact_percentage", impact).select(*named, *SUMMARY)
+
+
+def summarize(fact: DataFrame, *keys: str | Column) -> DataFrame:
+    """The summary per key; without keys, one row even for an empty fact."""
+    return summary_of(tally(fact, *keys))
 
 
 def for_every(entities: DataFrame, summary: DataFrame, key: str) -> DataFrame:

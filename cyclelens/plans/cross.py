@@ -41,11 +41,11 @@ def pair_summary(domain: Domain, kind: str, contributed: DataFrame | None = None
     """All observed pairs of one type: pairs with at least one analysed issue."""
     shared = contributions(domain) if contributed is None else contributed
     if kind == "team-project":
-        return _pairs(summarize(team_fact(domain, shared), "team_id", "project_id"), kind, "team_id", "project_id")
+        return _pairs(summarize(team_fact(domain, shared, ("project_id",)), "team_id", "project_id"), kind, "team_id", "project_id")
     if kind == "engineer-project":
         return _pairs(summarize(shared, "engineer_id", "project_id"), kind, "engineer_id", "project_id")
     if kind == "author-project":
-        return _pairs(summarize(regroup(shared), "author_id", "project_id"), kind, "author_id", "project_id")
+        return _pairs(summarize(regroup(shared, carry=("author_id", "project_id")), "author_id", "project_id"), kind, "author_id", "project_id")
     if kind == "team-engineer":
         # A member's issues within the team are the member's own, so the engineer's summary is joined, not recomputed.
         own = summarize(shared, "engineer_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cyclelens.domain import Domain
 from cyclelens.functions.scalars import improvement_label, share, to_fixed
 from cyclelens.operators.facts import contributions, lookup_join, regroup, team_fact
-from cyclelens.operators.summarize import SUMMARY, summarize
+from cyclelens.operators.summarize import SUMMARY, coarser, summarize, summary_of, tally
 from cyclelens.plans.stored_facts import filter_summary
 
 
@@ -84,12 +84,11 @@ def overall_improvement(improvements: DataFrame) -> DataFrame:
 def dashboard_bundle(domain: Domain) -> DataFrame:
     """For every observed (team, project): the pair's figures beside the team's own.
 
-    Both come from one (issue, team) fact. The pair side is joined to the team side, which has one row per team.
+    The team's tally is the sum of its pairs' tallies, so both sides share one rollup (exchange reuse).
     """
-    fact = team_fact(domain)
-    pair = summarize(fact, "team_id", "project_id")
-    team = summarize(fact, "team_id").select("team_id", *[F.col(c).alias(f"team_{c}") for c in SUMMARY])
-    return pair.join(team, "team_id")
+    tallied = tally(team_fact(domain, carry=("project_id",)), "team_id", "project_id")
+    team = summary_of(coarser(tallied, "team_id"))
+    return summary_of(tallied).join(team.select("team_id", *[F.col(c).alias(f"team_{c}") for c in SUMMARY]), "team_id")
 
 
 def dashboard_for(domain: Domain, team: int, project: int, engineer: int | None = None) -> DataFrame:
@@ -100,6 +99,7 @@ def dashboard_for(domain: Domain, team: int, project: int, engineer: int | None
             shared, domain.members.where(F.col("team_id") == team), "engineer_id", "issue_id", "inner", domain.members_are_few
         ),
         "team_id",
+        carry=("project_id",),
     )
 
     def part(name: str, summary: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cyclelens.domain import Domain
 from cyclelens.functions.scalars import instant
-from cyclelens.operators.facts import contributions, every_issue, lookup_join, team_fact
+from cyclelens.operators.facts import contributions, engineer_rollup, every_issue, lookup_join, team_fact
 from cyclelens.operators.merge import stale_keys
 from cyclelens.operators.summarize import SUMMARY, for_every, summarize
 from cyclelens.sources.storage import TableStore
@@ -23,26 +23,29 @@ def table_name(dimension: str) -> str:
     return f"{dimension}_metrics_materialized"
 
 
-def metric_rows(domain: Domain, dimension: str) -> DataFrame:
-    """Metrics of every entity of a dimension.
+def metric_rows(domain: Domain, dimension: str, rolled: DataFrame | None = None) -> DataFrame:
+    """Metrics of every entity of a dimension, from the commits or from their stored `engineer_rollup`.
 
     A left-semi join on the key column put on top is moved below the aggregates by Catalyst, so refreshing few
     entities does not compute all.
     """
     if dimension == "team":
-        return for_every(domain.teams.select("team_id"), summarize(team_fact(domain), "team_id"), "team_id")
+        fact = team_fact(domain, contributions(domain, rolled=rolled))
+        return for_every(domain.teams.select("team_id"), summarize(fact, "team_id"), "team_id")
     if dimension == "engineer":
-        return summarize(contributions(domain, every_engineer=True), "engineer_id")
+        return summarize(contributions(domain, every_engineer=True, rolled=rolled), "engineer_id")
     if dimension in ("project", "category"):
-        return summarize(every_issue(domain), KEYS[dimension])
+        return summarize(every_issue(domain, rolled), KEYS[dimension])
     raise ValueError(f"Unknown dimension: {dimension}")
 
 
-def owners(domain: Domain, dimension: str) -> DataFrame:
+def owners(domain: Domain, dimension: str, rolled: DataFrame | None = None) -> DataFrame:
     """Entities that own a row in the dimension's table."""
-    source = {"team": domain.teams, "engineer": domain.commits, "project": domain.jira_issues, "category": domain.jira_issues}
-    keys = source[dimension].select(KEYS[dimension])
-    return keys if dimension == "team" else keys.distinct()
+    if dimension == "team":
+        return domain.teams.select("team_id")
+    if dimension == "engineer":
+        return (domain.commits if rolled is None else rolled).select("engineer_id").distinct()
+    return domain.jira_issues.select(KEYS[dimension]).distinct()
 
 
 def last_touched(domain: Domain) -> dict[str, DataFrame]:
@@ -113,10 +116,15 @@ def keys_of(affected: DataFrame, dimension: str) -> DataFrame:
 
 
 def refresh(
-    domain: Domain, store: TableStore, dimension: str, as_of: datetime, keys: DataFrame | None = None
+    domain: Domain,
+    store: TableStore,
+    dimension: str,
+    as_of: datetime,
+    keys: DataFrame | None = None,
+    rolled: DataFrame | None = None,
 ) -> DataFrame:
     """Recomputes all entities of a dimension, or those in `keys`, and merges them into its stored table."""
-    rows = metric_rows(domain, dimension)
+    rows = metric_rows(domain, dimension, rolled)
     if keys is not None:
         rows = rows.join(keys, KEYS[dimension], "left_semi")
     stamped = rows.withColumn("last_calculated", instant(as_of))
@@ -126,15 +134,19 @@ def refresh(
 def refresh_all(
     domain: Domain, store: TableStore, as_of: datetime, max_age_hours: int = 24, force: bool = False
 ) -> dict[str, DataFrame]:
-    """Brings all four stored tables up to date: every entity with `force`, else the missing and outdated ones."""
+    """Brings all four stored tables up to date: every entity with `force`, else the missing and outdated ones.
+
+    The commits are read once: their rollup per (issue, engineer) is written, and all dimensions start from it.
+    """
     cutoff = instant(as_of - timedelta(hours=max_age_hours))
+    rolled = store.replace("engineer_rollup", engineer_rollup(domain))
     tables = {}
     for dimension, key in KEYS.items():
         name = table_name(dimension)
         keys = None
         if not force and store.exists(name):
-            keys = stale_keys(owners(domain, dimension), store.read(name), key, cutoff)
-        tables[dimension] = refresh(domain, store, dimension, as_of, keys)
+            keys = stale_keys(owners(domain, dimension, rolled), store.read(name), key, cutoff)
+        tables[dimension] = refresh(domain, store, dimension, as_of, keys, rolled)
         store.log_refresh(name, as_of)
     return tables
 
@@ -150,12 +162,14 @@ def all_rows(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def refresh_report(domain: Domain, tables: dict[str, DataFrame], as_of: datetime) -> DataFrame:
+def refresh_report(
+    domain: Domain, tables: dict[str, DataFrame], as_of: datetime, rolled: DataFrame | None = None
+) -> DataFrame:
     """(dimension, processed, total): entities calculated at `as_of`, and entities there are."""
 
     def line(dimension: str, df: DataFrame) -> DataFrame:
         done = df.agg(F.count_if(F.col("last_calculated") == instant(as_of)).alias("processed"))
-        total = owners(domain, dimension).agg(F.count(F.lit(1)).alias("total")).scalar()
+        total = owners(domain, dimension, rolled).agg(F.count(F.lit(1)).alias("total")).scalar()
         return done.select(F.lit(dimension).alias("dimension"), "processed", total.alias("total"))
 
     return reduce(DataFrame.unionByName, [line(d, df) for d, df in tables.items()])

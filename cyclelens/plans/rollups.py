@@ -17,7 +17,8 @@ from cyclelens.operators.facts import (
     team_fact,
 )
 from cyclelens.operators.ranking import nest_ranked, page, top_k
-from cyclelens.operators.summarize import SUMMARY, for_every, summarize
+from cyclelens.operators.summarize import SUMMARY, coarser, for_every, summarize, summary_of, tally
+from cyclelens.sources.storage import TableStore
 
 
 def _scored(summary: DataFrame) -> DataFrame:
@@ -38,32 +39,38 @@ def team_metrics(domain: Domain) -> DataFrame:
     return for_every(teams, summarize(team_fact(domain), "team_id"), "team_id")
 
 
-def category_shares(fact: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """The k most frequent categories of each entity with their AI share, ranked."""
-    counted = fact.groupBy(key, "category").agg(
-        F.count(F.lit(1)).alias("issue_count"), F.count_if("has_ai_commits").alias("ai_count")
-    )
+def category_shares(tallied: DataFrame, key: str, k: int = 5) -> DataFrame:
+    """The k most frequent categories of each entity with their AI share, ranked; from a tally by (key, category)."""
+    counted = tallied.withColumn("issue_count", F.col("issues_with_ai") + F.col("issues_without_ai"))
     return top_k(counted, key, "issue_count", "category", k).select(
-        key, "rank", "category", "issue_count", percent("ai_count", "issue_count").alias("ai_percentage")
+        key, "rank", "category", "issue_count", percent("issues_with_ai", "issue_count").alias("ai_percentage")
     )
 
 
+def team_categories(domain: Domain) -> DataFrame:
+    """Tally by (team, category)."""
+    return tally(team_fact(domain, carry=("category",)), "team_id", "category")
+
+
 def top_categories(domain: Domain, k: int = 5) -> DataFrame:
-    return category_shares(team_fact(domain), "team_id", k)
+    return category_shares(team_categories(domain), "team_id", k)
 
 
-def team_metrics_materialized(domain: Domain, as_of: datetime) -> DataFrame:
-    """The stored team row: summary, adoption as a fraction, and the top categories nested (at most five)."""
-    fact = team_fact(domain)
-    summary = for_every(domain.teams.select("team_id"), summarize(fact, "team_id"), "team_id")
+def team_metrics_materialized(domain: Domain, store: TableStore, as_of: datetime) -> DataFrame:
+    """The stored team row: summary, adoption as a fraction, and the top categories nested (at most five).
+
+    Summary and ranking both come from the tally by (team, category). It is written once and is as small as its keys;
+    the commits are read a single time.
+    """
+    tallied = store.replace("team_categories", team_categories(domain))
+    summary = summary_of(coarser(tallied, "team_id"))
+    rows = for_every(domain.teams.select("team_id"), summary, "team_id")
     entry = F.struct(
         "category", F.col("issue_count").alias("issueCount"), F.col("ai_percentage").alias("aiPercentage")
     )
-    nested = nest_ranked(category_shares(fact, "team_id"), "team_id", "top_categories", entry)
-    stored = summary.withColumn("ai_adoption_rate", share("issues_with_ai", "total_issues")).join(
-        nested, "team_id", "left"
-    )
+    nested = nest_ranked(category_shares(tallied, "team_id"), "team_id", "top_categories", entry)
     empty = F.array().cast("array<struct<category:string,issueCount:bigint,aiPercentage:double>>")
+    stored = rows.withColumn("ai_adoption_rate", share("issues_with_ai", "total_issues")).join(nested, "team_id", "left")
     return _stamped(stored.withColumn("top_categories", F.coalesce("top_categories", empty)), as_of)
 
 

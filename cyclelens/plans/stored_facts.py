@@ -25,6 +25,7 @@ FACT = (
     "has_ai_commits",
     "team_ids",
 )
+CARRIED = ("project_id", "author_id", "category")
 
 
 def commit_teams_all(domain: Domain) -> DataFrame:
@@ -49,8 +50,7 @@ def _with_teams(per_team: DataFrame, keep_null: bool) -> DataFrame:
 
     The array holds each team of the issue once, so its length is bounded by the number of teams, not of commits.
     """
-    issue = ("issue_id", "project_id", "author_id", "category", "resolution_date")
-    folded = per_team.groupBy(*issue).agg(
+    folded = per_team.groupBy("issue_id", "resolution_date", *CARRIED).agg(
         F.min("first_commit_date").alias("first_commit_date"),
         F.sum("total_commits").alias("total_commits"),
         F.sum("ai_commits").alias("ai_commits"),
@@ -79,22 +79,25 @@ def _with_teams(per_team: DataFrame, keep_null: bool) -> DataFrame:
 def ai_impact_base(domain: Domain, dedupe: bool = False) -> DataFrame:
     """Issue fact with all teams of all its engineers.
 
-    A commit counts once per team of its engineer; with `dedupe`, once. Counts are taken per (issue, engineer) before
-    the teams multiply them, so the fan-out never reaches the raw commits.
+    A commit counts once per team of its engineer; with `dedupe`, only in the engineer's first team, hence once. Counts
+    are taken per (issue, engineer) before the teams multiply them, so the fan-out never reaches the raw commits.
     """
-    shared = contributions(domain)
-    base = _with_teams(regroup(by_team(domain, shared, "left"), "team_id"), keep_null=True)
-    if not dedupe:
-        return base
-    counted = regroup(shared).select("issue_id", "total_commits", "ai_commits", "non_ai_commits")
-    return base.drop("total_commits", "ai_commits", "non_ai_commits").join(counted, "issue_id").select(*FACT)
+    if dedupe:
+        first = first_teams(domain).withColumnRenamed("team_id", "_first")
+        members = domain.members.join(first, "engineer_id")
+        spread = lookup_join(contributions(domain), members, "engineer_id", "issue_id", "left", domain.members_are_few)
+        counts = F.col("team_id").eqNullSafe(F.col("_first"))
+        spread = spread.withColumns({c: F.when(counts, F.col(c)).otherwise(0) for c in ("total_commits", "ai_commits")})
+    else:
+        spread = by_team(domain, contributions(domain), "left")
+    return _with_teams(regroup(spread, "team_id", carry=CARRIED), keep_null=True)
 
 
-def ai_impact_summary(domain: Domain, as_of: datetime) -> DataFrame:
+def ai_impact_summary(domain: Domain, as_of: datetime, rolled: DataFrame | None = None) -> DataFrame:
     """Issue fact with one team per engineer, so that commits are not multiplied."""
-    shared = contributions(domain)
+    shared = contributions(domain, rolled=rolled)
     placed = lookup_join(shared, first_teams(domain), "engineer_id", "issue_id", "left", domain.members_are_few)
-    return _with_teams(regroup(placed, "team_id"), keep_null=False).withColumn("last_updated", instant(as_of))
+    return _with_teams(regroup(placed, "team_id", carry=CARRIED), keep_null=False).withColumn("last_updated", instant(as_of))
 
 
 def changed_since(domain: Domain, mark: date) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from cyclelens.domain import Domain
 from cyclelens.functions.scalars import (
     days_between,
-    impact_percent,
     instant,
     month_start,
     month_text,
@@ -19,7 +18,9 @@ from cyclelens.functions.scalars import (
 from cyclelens.operators.facts import issue_fact
 from cyclelens.operators.periods import first_day, in_period, period_calendar, period_table
 from cyclelens.operators.ranking import nest_ranked, top_k
+from cyclelens.operators.summarize import coarser, summary_of, tally
 from cyclelens.plans.rollups import category_shares
+from cyclelens.sources.storage import TableStore
 
 PERIOD = ("total_issues", "ai_assisted_issues", "non_ai_assisted_issues")
 PERIOD_AVERAGES = (
@@ -87,6 +88,7 @@ class Periods:
 
 
 def _by_period(fact: DataFrame, value: str) -> DataFrame:
+    """Counts and averages per period; an average without issues is NULL."""
     ai, no_ai = F.col("has_ai_commits"), ~F.col("has_ai_commits")
     return fact.groupBy("time_period").agg(
         F.count(F.lit(1)).alias("total_issues"),
@@ -97,33 +99,34 @@ def _by_period(fact: DataFrame, value: str) -> DataFrame:
     )
 
 
-def _zeroed(df: DataFrame) -> DataFrame:
-    return df.fillna(0.0, ["avg_cycle_time_with_ai", "avg_cycle_time_without_ai"])
+def _resolved_rows(periods: Periods, tallied: DataFrame) -> DataFrame:
+    summary = summary_of(tallied).select(
+        "time_period",
+        "total_issues",
+        F.col("issues_with_ai").alias("ai_assisted_issues"),
+        F.col("issues_without_ai").alias("non_ai_assisted_issues"),
+        *PERIOD_AVERAGES[:3],
+        percent("issues_with_ai", "total_issues").alias("ai_adoption_percentage"),
+    )
+    return periods.filled(summary)
 
 
 def timeline_periods(domain: Domain, end: date, start: date | None = None, interval: str = "month") -> DataFrame:
     """Issues resolved in a period, seen through that period's commits; a row for every period."""
     periods = Periods(domain, end, start, interval)
-    summary = _zeroed(_by_period(periods.resolved_in_period(), "cycle_time")).withColumns(
-        {
-            "cycle_time_impact_percentage": impact_percent("avg_cycle_time_with_ai", "avg_cycle_time_without_ai"),
-            "ai_adoption_percentage": percent("ai_assisted_issues", "total_issues"),
-        }
-    )
-    return periods.filled(summary)
+    return _resolved_rows(periods, tally(periods.resolved_in_period(), "time_period"))
 
 
 def timeline_top_categories(
     domain: Domain, end: date, start: date | None = None, interval: str = "month", k: int = 5
 ) -> DataFrame:
-    return category_shares(Periods(domain, end, start, interval).resolved_in_period(), "time_period", k)
+    """The k most frequent categories of each period with their AI share."""
+    fact = Periods(domain, end, start, interval).resolved_in_period()
+    return category_shares(tally(fact, "time_period", "category"), "time_period", k)
 
 
-def top_repositories(
-    domain: Domain, end: date, start: date | None = None, interval: str = "month", k: int = 5
-) -> DataFrame:
-    """The k repositories with most commits in each period, with their AI share."""
-    counted = Periods(domain, end, start, interval).commits().groupBy("time_period", "repo_id").agg(
+def _busiest(periods: Periods, k: int) -> DataFrame:
+    counted = periods.commits().groupBy("time_period", "repo_id").agg(
         F.count(F.lit(1)).alias("commit_count"), F.count_if("ai_used").alias("ai_commits")
     )
     return top_k(counted, "time_period", "commit_count", "repo_id", k).select(
@@ -131,6 +134,13 @@ def top_repositories(
     )
 
 
+def top_repositories(
+    domain: Domain, end: date, start: date | None = None, interval: str = "month", k: int = 5
+) -> DataFrame:
+    """The k repositories with most commits in each period, with their AI share."""
+    return _busiest(Periods(domain, end, start, interval), k)
+
+
 def timeline_commit_volume(domain: Domain, end: date, start: date | None = None, interval: str = "month") -> DataFrame:
     """All issues in every period; the cycle time columns hold average commits per issue, and impact is with / without - 1."""
     periods = Periods(domain, end, start, interval)
@@ -173,23 +183,26 @@ def timeline_creation_to_resolution(
     return periods.filled(summary)
 
 
-def timeline_materialized(domain: Domain, as_of: datetime, end: date, start: date | None = None, interval: str = "month") -> DataFrame:
-    """The stored period row: summary, period bounds and the nested top categories and repositories (at most five)."""
+def timeline_materialized(
+    domain: Domain, store: TableStore, as_of: datetime, end: date, start: date | None = None, interval: str = "month"
+) -> DataFrame:
+    """The stored period row: summary, period bounds and the nested top categories and repositories (at most five).
+
+    Summary and categories come from one written tally by (period, category), so the issues are measured once.
+    """
     periods = Periods(domain, end, start, interval)
+    by_category = tally(periods.resolved_in_period(), "time_period", "category")
+    tallied = store.replace("timeline_categories", by_category)
     category = F.struct("category", F.col("issue_count").alias("count"), F.col("ai_percentage").alias("aiPercentage"))
     repository = F.struct(
         F.col("repo_id").alias("repoId"),
         F.col("commit_count").alias("commitCount"),
         F.col("ai_percentage").alias("aiPercentage"),
     )
-    categories = nest_ranked(
-        timeline_top_categories(domain, end, periods.start, interval), "time_period", "top_categories", category
-    )
-    repositories = nest_ranked(
-        top_repositories(domain, end, periods.start, interval), "time_period", "top_repositories", repository
-    )
+    categories = nest_ranked(category_shares(tallied, "time_period"), "time_period", "top_categories", category)
+    repositories = nest_ranked(_busiest(periods, 5), "time_period", "top_repositories", repository)
     return (
-        timeline_periods(domain, end, periods.start, interval)
+        _resolved_rows(periods, coarser(tallied, "time_period"))
         .join(periods.table, "time_period")
         .join(categories, "time_period", "left")
         .join(repositories, "time_period", "left")

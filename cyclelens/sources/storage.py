@@ -43,12 +43,19 @@ class TableStore:
             raise LookupError(f"No stored table: {name}")
         return self.spark.read.parquet(f"{self.root}/{name}/{complete[-1]}")
 
+    def put(self, name: str, df: DataFrame, version: int) -> DataFrame:
+        """df as a certain version of the table; writing the same version again overwrites it."""
+        path = f"{self.root}/{name}/v{version:010d}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def get(self, name: str, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/v{version:010d}")
+
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Full refresh: df becomes the table."""
         taken = self._versions(name)
-        following = int(taken[-1][1:]) + 1 if taken else 1
-        df.write.parquet(f"{self.root}/{name}/v{following:010d}")
-        return self.read(name)
+        return self.put(name, df, int(taken[-1][1:]) + 1 if taken else 1)
 
     def upsert(self, name: str, new: DataFrame, key: str | Sequence[str]) -> DataFrame:
         """New rows replace stored rows of the same key; others stay. The new rows are computed once, then merged."""

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import os
 import time
 
 import duckdb
 
+STRICT = bool(os.environ.get("COMPARE_STRICT"))
 STAR = "region nation customer supplier part orders lineitem".split()
 KINDS = {
     "bigint": "BIGINT",
@@ -32,7 +34,7 @@ def _sort_key(row: tuple) -> tuple:
 
 def _close(a, b) -> bool:
     if isinstance(a, float) and isinstance(b, float):
-        return a == b or math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12)
+        return a == b or (not STRICT and math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-12))
     return a == b
 
 
