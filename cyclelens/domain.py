@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-from functools import cached_property
+from collections.abc import Callable, Mapping
+from functools import cache, cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +14,9 @@ from cyclelens.operators.joins import within_rows
 from cyclelens.session import adapt
 
 
-@dataclass(frozen=True)
 class Domain:
+    """Base tables by name; a table given as a function is only opened when a plan first asks for it."""
+
     engineers: DataFrame
     teams: DataFrame
     projects: DataFrame
@@ -23,14 +24,22 @@ class Domain:
     jira_issues: DataFrame
     commits: DataFrame
 
-    @property
-    def spark(self) -> SparkSession:
-        return self.commits.sparkSession
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+        self.spark = adapt(spark)
+        self._tables = dict(tables)
 
     def table(self, name: str) -> DataFrame:
         if name not in schemas.SCHEMAS:
             raise ValueError(f"Unknown table: {name}")
-        return getattr(self, name)
+        found = self._tables[name]
+        if not isinstance(found, DataFrame):
+            found = self._tables[name] = found()
+        return found
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in schemas.SCHEMAS:
+            return self.table(name)
+        raise AttributeError(name)
 
     @cached_property
     def members(self) -> DataFrame:
@@ -50,75 +59,79 @@ class Domain:
 
     def having(self, **tables: DataFrame) -> Domain:
         """This domain with some of its tables exchanged."""
-        return replace(self, **tables)
+        changed = Domain(self.spark, self._tables | tables)
+        if "teams" not in tables:
+            changed.__dict__ |= {k: v for k, v in self.__dict__.items() if k in ("members", "members_are_few")}
+        return changed
 
     @classmethod
     def from_folder(cls, spark: SparkSession, folder: str, fmt: str = "parquet") -> Domain:
-        adapt(spark)
-        return cls(**{t: spark.read.format(fmt).load(f"{folder}/{t}") for t in schemas.TABLES})
+        """Tables stored as `<folder>/<table>`."""
+        return cls(spark, {t: partial(spark.read.format(fmt).load, f"{folder}/{t}") for t in schemas.TABLES})
 
     @classmethod
-    def from_tables(cls, tables: dict[str, DataFrame]) -> Domain:
-        return cls(**{t: tables[t] for t in schemas.TABLES})
+    def from_tables(cls, tables: Mapping[str, DataFrame]) -> Domain:
+        return cls(next(iter(tables.values())).sparkSession, {t: tables[t] for t in schemas.TABLES})
 
     @classmethod
     def from_star(cls, spark: SparkSession, sf_dir: str) -> Domain:
-        """The base tables read off an order/line-item star schema (rules in FIXTURES.md)."""
-        adapt(spark)
+        """The base tables read off an order / line-item star schema (rules in FIXTURES.md)."""
+        star = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        ordered = F.to_date("o_orderdate")
 
-        def star(name: str) -> DataFrame:
-            return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        def engineers() -> DataFrame:
+            return star("supplier").select((F.col("s_suppkey") + 1).alias("id"), F.col("s_name").alias("name"))
+
+        def teams() -> DataFrame:
+            crew = F.struct((F.expr("s_suppkey div 8") * 2 + 1).alias("team_id"), F.lit("Crew ").alias("kind"))
+            guild = F.struct((F.expr("(s_suppkey + 4) div 8") * 2 + 2).alias("team_id"), F.lit("Guild ").alias("kind"))
+            placed = star("supplier").select("s_suppkey", F.explode(F.array(crew, guild)).alias("t"))
+            # At most eight engineers per team by construction, so the id list stays short at any scale.
+            ids = F.expr("listagg(CAST(s_suppkey + 1 AS STRING), ',') WITHIN GROUP (ORDER BY s_suppkey)")
+            named = F.concat("kind", F.col("team_id").cast("string")).alias("team_name")
+            return placed.groupBy("t.team_id", "t.kind").agg(ids.alias("engineer_ids")).select("team_id", named, "engineer_ids")
+
+        def projects() -> DataFrame:
+            key = (F.col("n_nationkey") + 1).cast("bigint")
+            return star("nation").select(key.alias("project_id"), F.col("n_name").alias("project_name"))
+
+        def repositories() -> DataFrame:
+            return star("part").select(
+                (F.col("p_partkey") + 1).alias("repo_id"),
+                (F.col("p_partkey") % 25 + 1).alias("project_id"),
+                F.col("p_name").alias("repo_name"),
+            )
 
-        engineers = star("supplier").select((F.col("s_suppkey") + 1).alias("id"), F.col("s_name").alias("name"))
+        def jira_issues() -> DataFrame:
+            resolved = F.date_add(ordered, (F.col("o_orderkey") % 40 + 20).cast("int"))
+            return star("orders").select(
+                (F.col("o_orderkey") + 1).alias("issue_id"),
+                (F.col("o_custkey") % 25 + 1).alias("project_id"),
+                F.expr("o_custkey div 15 + 1").alias("author_id"),
+                ordered.alias("creation_date"),
+                F.when(F.col("o_orderstatus") != "O", resolved).alias("resolution_date"),
+                F.col("o_orderpriority").alias("category"),
+            )
 
-        placed = star("supplier").select(
-            F.col("s_suppkey"),
-            F.explode(
-                F.array(
-                    F.struct((F.expr("s_suppkey div 8") * 2 + 1).alias("team_id"), F.lit("Crew ").alias("kind")),
-                    F.struct((F.expr("(s_suppkey + 4) div 8") * 2 + 2).alias("team_id"), F.lit("Guild ").alias("kind")),
+        def commits() -> DataFrame:
+            # No hint: line items and orders both grow with the data, so a skewed order is left to the adaptive split.
+            # The keys are shifted after the join, which keeps the following aggregation from inheriting the join's
+            # partitioning: it could not be split there, and would lose its partial aggregate.
+            orders = star("orders").select("o_orderkey", "o_orderdate")
+            days = ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 45).cast("int")
+            return (
+                star("lineitem")
+                .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+                .select(
+                    F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("commit_id"),
+                    (F.col("l_suppkey") + 1).alias("engineer_id"),
+                    (F.col("l_orderkey") + 1).alias("jira_issue_id"),
+                    (F.col("l_partkey") + 1).alias("repo_id"),
+                    F.date_add(ordered, days).alias("commit_date"),
+                    ((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F")).alias("ai_used"),
+                    F.col("l_quantity").cast("int").alias("lines_of_code"),
                 )
-            ).alias("t"),
-        )
-        # At most eight engineers per team by construction, so the id list stays short at any scale.
-        teams = placed.groupBy("t.team_id", "t.kind").agg(
-            F.expr("listagg(CAST(s_suppkey + 1 AS STRING), ',') WITHIN GROUP (ORDER BY s_suppkey)").alias("engineer_ids")
-        ).select("team_id", F.concat("kind", F.col("team_id").cast("string")).alias("team_name"), "engineer_ids")
-
-        projects = star("nation").select(
-            (F.col("n_nationkey") + 1).cast("bigint").alias("project_id"), F.col("n_name").alias("project_name")
-        )
-        repositories = star("part").select(
-            (F.col("p_partkey") + 1).alias("repo_id"),
-            (F.col("p_partkey") % 25 + 1).alias("project_id"),
-            F.col("p_name").alias("repo_name"),
-        )
-
-        orders = star("orders")
-        ordered = F.to_date("o_orderdate")
-        jira_issues = orders.select(
-            (F.col("o_orderkey") + 1).alias("issue_id"),
-            (F.col("o_custkey") % 25 + 1).alias("project_id"),
-            F.expr("o_custkey div 15 + 1").alias("author_id"),
-            ordered.alias("creation_date"),
-            F.when(
-                F.col("o_orderstatus") != "O", F.date_add(ordered, (F.col("o_orderkey") % 40 + 20).cast("int"))
-            ).alias("resolution_date"),
-            F.col("o_orderpriority").alias("category"),
-        )
-
-        # No hint: line items and orders both grow with the data, so a skewed order is left to the adaptive split.
-        commits = (
-            star("lineitem")
-            .join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-            .select(
-                F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("commit_id"),
-                (F.col("l_suppkey") + 1).alias("engineer_id"),
-                (F.col("l_orderkey") + 1).alias("jira_issue_id"),
-                (F.col("l_partkey") + 1).alias("repo_id"),
-                F.date_add(ordered, ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 45).cast("int")).alias("commit_date"),
-                ((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F")).alias("ai_used"),
-                F.col("l_quantity").cast("int").alias("lines_of_code"),
             )
-        )
-        return cls(engineers, teams, projects, repositories, jira_issues, commits)
+
+        makers = (engineers, teams, projects, repositories, jira_issues, commits)
+        return cls(spark, {make.__name__: make for make in makers})
