@@ -31,7 +31,6 @@ HEADLINE = (
     "ai_impact_summary",
     "ai_impact_incremental",
     "cycle_time_summary",
-    "refresh_all_metrics",
 )
 
 

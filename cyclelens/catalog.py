@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cyclelens import schemas
 from cyclelens.domain import Domain
 from cyclelens.functions import scalars as fx
+from cyclelens.functions import sql as sql_functions
 from cyclelens.operators import partitions, periods, quality
 from cyclelens.operators.facts import contributions, engineer_rollup, issue_fact
 from cyclelens.operators.merge import changed_rows
@@ -89,6 +90,19 @@ _query("project_metrics")(rollups.project_metrics)
 _query("top_categories")(rollups.top_categories)
 
 
+@_query()
+def impact_document(d: Domain) -> DataFrame:
+    """The nested document, its two category maps unfolded to rows."""
+    document = impact.impact_document(issue_fact(d))
+    sides = [
+        document.select("summary.*", F.lit(flag).alias("has_ai_commits"), F.explode(f"detailedStats.{name}").alias("category", "c"))
+        for flag, name in ((True, "categoriesWithAi"), (False, "categoriesWithoutAi"))
+    ]
+    return sides[0].unionByName(sides[1]).select(
+        "totalIssuesAnalyzed", "cycleTimeImpactPercentage", "has_ai_commits", "category", "c.*"
+    )
+
+
 @_query()
 def team_metrics_materialized(d: Domain) -> DataFrame:
     table = rollups.team_metrics_materialized(d, _store(d, "team_metrics"), AS_OF)
@@ -148,8 +162,8 @@ _query("timeline_creation_to_resolution")(lambda d: timeline.timeline_creation_t
 @_query()
 def timeline_read(d: Domain) -> DataFrame:
     store = _store(d, "timeline_read")
-    stored = store.replace("timeline_metrics_materialized", timeline.timeline_materialized(d, store, AS_OF, END))
-    rows = timeline.timeline_read(stored, END, start=date(1998, 1, 1), end=date(1999, 12, 31))
+    timeline.timeline_current(d, store, AS_OF)
+    rows = timeline.timeline_current(d, store, AS_OF, start=date(1998, 1, 1), end=date(1999, 12, 31))
     return rows.select(
         "time_period",
         "period_end",
@@ -301,7 +315,7 @@ _query("commit_teams_first")(
 
 
 def _engineer_rows(d: Domain) -> DataFrame:
-    return refresh.metric_rows(d, "engineer").withColumn("last_calculated", fx.instant(AS_OF))
+    return refresh.metric_rows(d, "engineer").select("engineer_id", *SUMMARY).withColumn("last_calculated", fx.instant(AS_OF))
 
 
 @_query()
@@ -309,7 +323,7 @@ def metrics_upsert(d: Domain) -> DataFrame:
     store = _store(d, "metrics_upsert")
     refresh.refresh(_until(d, date(1995, 6, 30)), store, "engineer", MARK_TIME)
     newer = d.commits.where(F.col("commit_date") > F.lit(date(2001, 8, 1))).select("engineer_id").distinct()
-    return refresh.refresh(d, store, "engineer", AS_OF, newer)
+    return refresh.refresh(d, store, "engineer", AS_OF, newer).select("engineer_id", *SUMMARY, "last_calculated")
 
 
 @_query()
@@ -318,6 +332,25 @@ def metrics_lookup(d: Domain) -> DataFrame:
     return tables.metrics_lookup(stored, "engineer_id", 1)
 
 
+def _current(dimension: str, *shown: str, **how) -> Callable[[Domain], DataFrame]:
+    """Reads a stored table that holds the state at MARK: everything is outdated by AS_OF and refreshed first."""
+
+    def plan(d: Domain) -> DataFrame:
+        store = _store(d, f"current_{dimension}")
+        refresh.refresh(_until(d, MARK), store, dimension, MARK_TIME)
+        rows = refresh.current(d, store, dimension, AS_OF, **how)
+        return rows.select(refresh.KEYS[dimension], *SUMMARY, *shown, "last_calculated")
+
+    return plan
+
+
+_query("current_team_metrics")(_current("team", "ai_adoption_rate"))
+_query("current_engineer_metrics")(_current("engineer", "efficiency_score", limit=30, offset=10))
+_query("current_project_metrics")(_current("project"))
+_query("current_author_metrics")(_current("author", "efficiency_score", limit=20, offset=5))
+_query("current_category_metrics")(_current("category"))
+
+
 STALE_FROM = datetime(2001, 6, 25)
 STALE_UNTIL = date(2001, 6, 30)
 
@@ -342,8 +375,8 @@ def changed_issues(d: Domain) -> DataFrame:
 def _aged_tables(d: Domain, store: TableStore) -> None:
     """Stored tables as of STALE_UNTIL, each row stamped with the day of the entity's last commit."""
     earlier = _until(d, STALE_UNTIL)
-    touched = refresh.last_touched(earlier)
     rolled = store.replace("engineer_rollup", engineer_rollup(earlier))
+    touched = refresh.last_touched(earlier, rolled)
     for dimension, key in refresh.KEYS.items():
         rows = refresh.metric_rows(earlier, dimension, rolled).join(touched[dimension], key)
         store.replace(refresh.table_name(dimension), rows)
@@ -360,7 +393,7 @@ def refresh_all_metrics(d: Domain) -> DataFrame:
 def refresh_report(d: Domain) -> DataFrame:
     store = _store(d, "refresh_report")
     _aged_tables(d, store)
-    return refresh.refresh_report(d, refresh.refresh_all(d, store, AS_OF), AS_OF, store.read("engineer_rollup"))
+    return refresh.refresh_report(d, refresh.refresh_all(d, store, AS_OF, dimensions=tuple(refresh.KEYS)), AS_OF, store.read("engineer_rollup"))
 
 
 @_query()
@@ -499,6 +532,15 @@ def scalar_functions(d: Domain) -> DataFrame:
     )
 
 
+@_query()
+def sql_days_between(d: Domain) -> DataFrame:
+    sql_functions.register(d)
+    return d.spark.sql(
+        """SELECT project_id, category, count(*) AS issues, sum(days_between(creation_date, resolution_date)) AS days
+           FROM jira_issues WHERE resolution_date IS NOT NULL GROUP BY project_id, category"""
+    )
+
+
 # -- partitions -------------------------------------------------------------------------------------------------------
 
 
@@ -542,7 +584,7 @@ def stream_affected_refresh(d: Domain) -> DataFrame:
     folder = work_dir(d.spark, "stream_affected_refresh")
     store = TableStore(d.spark, f"{folder}/store")
     streams.affected_refresh(_commit_files(d, folder), d, store, f"{folder}/checkpoint", AS_OF).awaitTermination()
-    return refresh.all_rows({k: store.read(refresh.table_name(k)) for k in refresh.KEYS})
+    return refresh.all_rows({k: store.read(refresh.table_name(k)) for k in refresh.REFRESHED})
 
 
 @_query()

@@ -19,21 +19,21 @@ ISSUE_COLUMNS = ("issue_id", "project_id", "author_id", "category", "resolution_
 
 
 def commit_rollup(commits: DataFrame, *keys: str) -> DataFrame:
-    """First commit date and commit counts per issue and further keys."""
+    """First and last commit date and commit counts per issue and further keys; unread columns are not computed."""
     return commits.groupBy(F.col("jira_issue_id").alias("issue_id"), *keys).agg(
         F.min("commit_date").alias("first_commit_date"),
+        F.max("commit_date").alias("last_commit_date"),
         F.count(F.lit(1)).alias("total_commits"),
         F.count_if("ai_used").alias("ai_commits"),
     )
 
 
+ROLLED = {"first_commit_date": F.min, "last_commit_date": F.max, "total_commits": F.sum, "ai_commits": F.sum}
+
+
 def merge_rollups(rolled: DataFrame, *keys: str) -> DataFrame:
     """Rollups added up to a coarser grain, or rollups of separate commits to one."""
-    return rolled.groupBy(*keys).agg(
-        F.min("first_commit_date").alias("first_commit_date"),
-        F.sum("total_commits").alias("total_commits"),
-        F.sum("ai_commits").alias("ai_commits"),
-    )
+    return rolled.groupBy(*keys).agg(*[merge(c).alias(c) for c, merge in ROLLED.items() if c in rolled.columns])
 
 
 def engineer_rollup(domain: Domain) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cyclelens.domain import Domain
 from cyclelens.operators.facts import issue_fact
+from cyclelens.operators.joins import within_rows
 from cyclelens.operators.summarize import summarize, summary_struct
 
 DETAIL = ("issue_id", "cycle_time", "total_commits", "ai_commits", "non_ai_commits", "category")
 # Issues per detail page; an issue id occurs once per entity, so a page cannot hold more.
 PAGE_ISSUES = 1000
+MAX_CATEGORIES = 10_000
 
 
 def ai_impact(
@@ -58,6 +60,32 @@ def issue_detail_pages(fact: DataFrame, *keys: str) -> DataFrame:
     return paged.groupBy(*keys, "has_ai_commits", "page").agg(F.array_sort(F.collect_list(entry)).alias("issues"))
 
 
+def impact_document(fact: DataFrame) -> DataFrame:
+    """The one nested document of a computation: its summary and both maps from category to that category's figures.
+
+    The maps are built only for a counted number of categories; the issue lists are the pages of `issue_detail_pages`.
+    """
+    stats = category_stats(fact)
+    if not within_rows(stats, MAX_CATEGORIES):
+        raise ValueError(f"more than {MAX_CATEGORIES} categories: read category_stats instead of a document")
+    entry = F.struct(
+        F.col("category"),
+        F.struct(
+            F.col("issue_count").alias("count"),
+            F.col("total_cycle_time").alias("totalCycleTime"),
+            F.col("avg_cycle_time").alias("avgCycleTime"),
+        ),
+    )
+
+    def categories(flag: Column, name: str) -> Column:
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(flag, entry)))).alias(name)
+
+    ai = F.col("has_ai_commits")
+    maps = stats.agg(categories(ai, "categoriesWithAi"), categories(~ai, "categoriesWithoutAi"))
+    summary = summarize(fact).select(summary_struct().alias("summary"))
+    return summary.select("summary", F.struct(*[maps.select(c).scalar().alias(c) for c in maps.columns]).alias("detailedStats"))
+
+
 def impact_documents(summary: DataFrame, *keys: str) -> DataFrame:
     """(keys, document): the summary as nested JSON, for a sink that stores documents."""
     return summary.select(*keys, F.to_json(F.struct(summary_struct().alias("summary"))).alias("document"))

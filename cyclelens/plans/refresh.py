@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 
 from cyclelens.domain import Domain
 from cyclelens.functions.scalars import instant
-from cyclelens.operators.facts import contributions, engineer_rollup, every_issue, lookup_join, team_fact
+from cyclelens.operators.facts import contributions, engineer_rollup, every_issue, lookup_join, merge_rollups
 from cyclelens.operators.merge import stale_keys
-from cyclelens.operators.summarize import SUMMARY, for_every, summarize
+from cyclelens.operators.ranking import page
+from cyclelens.operators.summarize import SUMMARY, summarize
+from cyclelens.plans import rollups
 from cyclelens.sources.storage import TableStore
 
 # Dimension -> key column of its stored table. Fixed values.
-KEYS = {"team": "team_id", "engineer": "engineer_id", "project": "project_id", "category": "category"}
+KEYS = {
+    "team": "team_id",
+    "engineer": "engineer_id",
+    "project": "project_id",
+    "category": "category",
+    "author": "author_id",
+}
+# Refreshed together and on changes; authors only on request.
+REFRESHED = ("team", "engineer", "project", "category")
 
 
 def table_name(dimension: str) -> str:
@@ -24,16 +34,17 @@ def table_name(dimension: str) -> str:
 
 
 def metric_rows(domain: Domain, dimension: str, rolled: DataFrame | None = None) -> DataFrame:
-    """Metrics of every entity of a dimension, from the commits or from their stored `engineer_rollup`.
+    """Stored metrics of every entity of a dimension, from the commits or from their stored `engineer_rollup`.
 
     A left-semi join on the key column put on top is moved below the aggregates by Catalyst, so refreshing few
     entities does not compute all.
     """
     if dimension == "team":
-        fact = team_fact(domain, contributions(domain, rolled=rolled))
-        return for_every(domain.teams.select("team_id"), summarize(fact, "team_id"), "team_id")
+        return rollups.team_rows(domain, rollups.team_categories(domain, rolled))
     if dimension == "engineer":
-        return summarize(contributions(domain, every_engineer=True, rolled=rolled), "engineer_id")
+        return rollups.scored(summarize(contributions(domain, every_engineer=True, rolled=rolled), "engineer_id"))
+    if dimension == "author":
+        return rollups.scored(summarize(every_issue(domain, rolled), "author_id"))
     if dimension in ("project", "category"):
         return summarize(every_issue(domain, rolled), KEYS[dimension])
     raise ValueError(f"Unknown dimension: {dimension}")
@@ -48,22 +59,19 @@ def owners(domain: Domain, dimension: str, rolled: DataFrame | None = None) -> D
     return domain.jira_issues.select(KEYS[dimension]).distinct()
 
 
-def last_touched(domain: Domain) -> dict[str, DataFrame]:
+def last_touched(domain: Domain, rolled: DataFrame | None = None) -> dict[str, DataFrame]:
     """Per dimension, (key, last_calculated): the day of the last commit that concerned the entity.
 
     This is the state the tables are in when every commit refreshed its entities on arrival.
     """
-    day = F.max("commit_date").cast("timestamp_ntz").alias("last_calculated")
-    per_engineer = domain.commits.groupBy("engineer_id").agg(F.max("commit_date").alias("commit_date"))
-    per_issue = domain.commits.groupBy(F.col("jira_issue_id").alias("issue_id")).agg(F.max("commit_date").alias("commit_date"))
-    issues = domain.jira_issues.select("issue_id", "project_id", "category").join(per_issue, "issue_id")
-    members = lookup_join(per_engineer, domain.members, "engineer_id", "engineer_id", "inner", domain.members_are_few)
-    return {
-        "team": members.groupBy("team_id").agg(day),
-        "engineer": per_engineer.groupBy("engineer_id").agg(day),
-        "project": issues.groupBy("project_id").agg(day),
-        "category": issues.groupBy("category").agg(day),
-    }
+    rolled = engineer_rollup(domain) if rolled is None else rolled
+    day = F.max("last_commit_date").cast("timestamp_ntz").alias("last_calculated")
+    per_engineer = merge_rollups(rolled, "engineer_id")
+    issues = domain.jira_issues.select("issue_id", "project_id", "author_id", "category")
+    per_issue = issues.join(merge_rollups(rolled, "issue_id"), "issue_id")
+    per_member = lookup_join(per_engineer, domain.members, "engineer_id", "engineer_id", "inner", domain.members_are_few)
+    source = {"team": per_member, "engineer": per_engineer}
+    return {d: source.get(d, per_issue).groupBy(key).agg(day) for d, key in KEYS.items()}
 
 
 def _as_entities(df: DataFrame, dimension: str) -> DataFrame:
@@ -73,7 +81,7 @@ def _as_entities(df: DataFrame, dimension: str) -> DataFrame:
 def stale_entities(domain: Domain, stored: dict[str, DataFrame], cutoff: Column) -> DataFrame:
     """(dimension, entity_key) of all entities whose stored metrics are missing or older than the cutoff."""
     found = [
-        _as_entities(stale_keys(owners(domain, d), stored[d], KEYS[d], cutoff), d) for d in KEYS if d in stored
+        _as_entities(stale_keys(owners(domain, d), stored[d], KEYS[d], cutoff), d) for d in REFRESHED if d in stored
     ]
     return reduce(DataFrame.unionByName, found)
 
@@ -124,7 +132,14 @@ def refresh(
     rolled: DataFrame | None = None,
 ) -> DataFrame:
     """Recomputes all entities of a dimension, or those in `keys`, and merges them into its stored table."""
-    rows = metric_rows(domain, dimension, rolled)
+    if dimension == "team":
+        # Summary and ranking both read the tally; written, it is computed once, and it is no larger than its keys.
+        tallied = rollups.team_categories(domain, rolled)
+        if keys is not None:
+            tallied = tallied.join(keys, "team_id", "left_semi")
+        rows = rollups.team_rows(domain, store.replace("team_categories", tallied))
+    else:
+        rows = metric_rows(domain, dimension, rolled)
     if keys is not None:
         rows = rows.join(keys, KEYS[dimension], "left_semi")
     stamped = rows.withColumn("last_calculated", instant(as_of))
@@ -132,25 +147,59 @@ def refresh(
 
 
 def refresh_all(
-    domain: Domain, store: TableStore, as_of: datetime, max_age_hours: int = 24, force: bool = False
+    domain: Domain,
+    store: TableStore,
+    as_of: datetime,
+    max_age_hours: int = 24,
+    force: bool = False,
+    dimensions: tuple[str, ...] = REFRESHED,
 ) -> dict[str, DataFrame]:
-    """Brings all four stored tables up to date: every entity with `force`, else the missing and outdated ones.
+    """Brings the stored tables up to date: every entity with `force`, else the missing and outdated ones.
 
     The commits are read once: their rollup per (issue, engineer) is written, and all dimensions start from it.
     """
     cutoff = instant(as_of - timedelta(hours=max_age_hours))
     rolled = store.replace("engineer_rollup", engineer_rollup(domain))
     tables = {}
-    for dimension, key in KEYS.items():
+    for dimension in dimensions:
         name = table_name(dimension)
         keys = None
         if not force and store.exists(name):
-            keys = stale_keys(owners(domain, dimension, rolled), store.read(name), key, cutoff)
+            keys = stale_keys(owners(domain, dimension, rolled), store.read(name), KEYS[dimension], cutoff)
         tables[dimension] = refresh(domain, store, dimension, as_of, keys, rolled)
         store.log_refresh(name, as_of)
     return tables
 
 
+def current(
+    domain: Domain,
+    store: TableStore,
+    dimension: str,
+    as_of: datetime,
+    max_age_hours: int = 24,
+    force: bool = False,
+    entity: int | str | None = None,
+    limit: int | None = None,
+    offset: int = 0,
+) -> DataFrame:
+    """Stored metrics of one dimension, refreshed first where missing or outdated; by key, one entity or a page.
+
+    Only if a probe finds something stale is anything computed, and then only for the stale entities.
+    """
+    name, key = table_name(dimension), KEYS[dimension]
+    wanted = owners(domain, dimension)
+    if entity is not None:
+        wanted = wanted.where(F.col(key) == F.lit(entity))
+    if store.exists(name) and not force:
+        wanted = stale_keys(wanted, store.read(name), key, instant(as_of - timedelta(hours=max_age_hours)))
+    if force or not wanted.isEmpty():
+        refresh(domain, store, dimension, as_of, None if force and entity is None else wanted)
+    rows = store.read(name)
+    if entity is not None:
+        rows = rows.where(F.col(key) == F.lit(entity))
+    return page(rows, key, limit, offset)
+
+
 def all_rows(tables: dict[str, DataFrame]) -> DataFrame:
     """(dimension, entity_key, summary, last_calculated) over all dimensions."""
     rows = [

@@ -13,15 +13,16 @@ from cyclelens.operators.facts import (
     contributions,
     every_issue,
     issue_fact,
-    lookup_join,
     team_fact,
 )
+from cyclelens.operators.joins import BROADCAST_ROWS, lookup_join
 from cyclelens.operators.ranking import nest_ranked, page, top_k
 from cyclelens.operators.summarize import SUMMARY, coarser, for_every, summarize, summary_of, tally
 from cyclelens.sources.storage import TableStore
 
 
-def _scored(summary: DataFrame) -> DataFrame:
+def scored(summary: DataFrame) -> DataFrame:
+    """The summary with the efficiency score."""
     score = efficiency_score("cycle_time_impact_percentage", "avg_commits_with_ai", "avg_commits_without_ai")
     return summary.withColumn("efficiency_score", score)
 
@@ -47,31 +48,38 @@ def category_shares(tallied: DataFrame, key: str, k: int = 5) -> DataFrame:
     )
 
 
-def team_categories(domain: Domain) -> DataFrame:
+def team_categories(domain: Domain, rolled: DataFrame | None = None) -> DataFrame:
     """Tally by (team, category)."""
-    return tally(team_fact(domain, carry=("category",)), "team_id", "category")
+    fact = team_fact(domain, contributions(domain, rolled=rolled), carry=("category",))
+    return tally(fact, "team_id", "category")
 
 
 def top_categories(domain: Domain, k: int = 5) -> DataFrame:
     return category_shares(team_categories(domain), "team_id", k)
 
 
-def team_metrics_materialized(domain: Domain, store: TableStore, as_of: datetime) -> DataFrame:
-    """The stored team row: summary, adoption as a fraction, and the top categories nested (at most five).
-
-    Summary and ranking both come from the tally by (team, category). It is written once and is as small as its keys;
-    the commits are read a single time.
-    """
-    tallied = store.replace("team_categories", team_categories(domain))
-    summary = summary_of(coarser(tallied, "team_id"))
-    rows = for_every(domain.teams.select("team_id"), summary, "team_id")
+def team_rows(domain: Domain, tallied: DataFrame) -> DataFrame:
+    """A row per team from the tally by (team, category): summary, adoption as a fraction, nested top categories."""
+    rows = for_every(domain.teams.select("team_id"), summary_of(coarser(tallied, "team_id")), "team_id")
     entry = F.struct(
         "category", F.col("issue_count").alias("issueCount"), F.col("ai_percentage").alias("aiPercentage")
     )
     nested = nest_ranked(category_shares(tallied, "team_id"), "team_id", "top_categories", entry)
     empty = F.array().cast("array<struct<category:string,issueCount:bigint,aiPercentage:double>>")
-    stored = rows.withColumn("ai_adoption_rate", share("issues_with_ai", "total_issues")).join(nested, "team_id", "left")
-    return _stamped(stored.withColumn("top_categories", F.coalesce("top_categories", empty)), as_of)
+    return (
+        rows.withColumn("ai_adoption_rate", share("issues_with_ai", "total_issues"))
+        .join(nested, "team_id", "left")
+        .withColumn("top_categories", F.coalesce("top_categories", empty))
+    )
+
+
+def team_metrics_materialized(domain: Domain, store: TableStore, as_of: datetime) -> DataFrame:
+    """The stored team rows, time-stamped.
+
+    Summary and ranking both come from the tally by (team, category). It is written once and is as small as its keys;
+    the commits are read a single time.
+    """
+    return _stamped(team_rows(domain, store.replace("team_categories", team_categories(domain))), as_of)
 
 
 def team_metrics_with_info(stored: DataFrame, teams: DataFrame) -> DataFrame:
@@ -91,14 +99,14 @@ def engineer_metrics(domain: Domain) -> DataFrame:
 
 def engineer_metrics_scored(domain: Domain) -> DataFrame:
     """One row per engineer who committed anything, with the efficiency score."""
-    return _scored(summarize(contributions(domain, every_engineer=True), "engineer_id"))
+    return scored(summarize(contributions(domain, every_engineer=True), "engineer_id"))
 
 
 def engineer_metrics_page(domain: Domain, batch: int = 100, offset: int = 0) -> DataFrame:
     """One page of engineers by id as nested documents; only commits of the engineers on the page are rolled up."""
     chosen = page(domain.engineers, "id", batch, offset)
     keys = chosen.select(F.col("id").alias("engineer_id"))
-    commits = lookup_join(domain.commits, keys, "engineer_id", "commit_id", "left_semi")
+    commits = lookup_join(domain.commits, keys, "engineer_id", "commit_id", "left_semi", batch <= BROADCAST_ROWS)
     metrics = engineer_metrics(domain.having(engineers=chosen, commits=commits))
     return metrics.select("engineer_id", "engineer_name", F.struct(*SUMMARY).alias("metrics")).orderBy("engineer_id")
 
@@ -119,12 +127,12 @@ def project_metrics_materialized(domain: Domain, as_of: datetime) -> DataFrame:
 def author_metrics(domain: Domain, match: str = "author") -> DataFrame:
     """One scored row per issue author, over the issues written (`author`) or the commits made (`engineer`)."""
     if match == "author":
-        return _scored(summarize(every_issue(domain), "author_id"))
+        return scored(summarize(every_issue(domain), "author_id"))
     if match != "engineer":
         raise ValueError(f"Unknown match: {match}")
     authors = domain.jira_issues.select("author_id").distinct()
     own = summarize(contributions(domain).withColumnRenamed("author_id", "_written_by"), F.col("engineer_id").alias("author_id"))
-    return _scored(for_every(authors, own, "author_id"))
+    return scored(for_every(authors, own, "author_id"))
 
 
 def category_metrics(domain: Domain) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,3 +220,22 @@ def timeline_document(rows: DataFrame, interval: str = "month") -> DataFrame:
     """The periods as one ordered document; its length is the number of periods, which MAX_CALENDAR_DAYS bounds."""
     fields = F.struct("time_period", *PERIOD, *PERIOD_AVERAGES)
     return rows.agg(F.array_sort(F.collect_list(fields)).alias("data")).select(F.lit(interval).alias("interval"), "data")
+
+
+def timeline_current(
+    domain: Domain,
+    store: TableStore,
+    as_of: datetime,
+    start: date | None = None,
+    end: date | None = None,
+    interval: str = "month",
+    max_age_hours: int = 24,
+    force: bool = False,
+) -> DataFrame:
+    """Stored periods of a range, all of them computed and merged in first if none in the range is fresh."""
+    name, today = "timeline_metrics_materialized", as_of.date()
+    fresh = F.col("last_calculated") >= instant(as_of - timedelta(hours=max_age_hours))
+    known = store.exists(name) and not force
+    if not known or timeline_read(store.read(name), today, start, end).where(fresh).isEmpty():
+        store.upsert(name, timeline_materialized(domain, store, as_of, end or today, start, interval), "time_period")
+    return timeline_read(store.read(name), today, start, end)

@@ -111,9 +111,9 @@ SCORE = f"""least(100.0, greatest(0.0, s.cycle_time_impact_percentage * 0.7 + CA
     THEN s.avg_commits_with_ai / s.avg_commits_without_ai ELSE 1 END * 30))"""
 
 
-def scored(entities: str, key: str, fact_sql: str, tail: str = "") -> str:
+def scored(entities: str, key: str, fact_sql: str, tail: str = "", stamp: str = "") -> str:
     return sql(
-        f"SELECT s.*, {SCORE} AS efficiency_score FROM s {tail}",
+        f"SELECT s.*, {SCORE} AS efficiency_score{', ' * bool(stamp)}{stamp} FROM s {tail}",
         f=fact_sql,
         entities=entities,
         s=f"SELECT e.{key}, {SUMMARY} FROM entities e LEFT JOIN f ON f.{key} = e.{key} GROUP BY e.{key}",
@@ -155,6 +155,15 @@ Q["issue_detail_pages"] = sql(
     f=fact(),
 )
 
+Q["impact_document"] = sql(
+    f"""SELECT s.total_issues AS "totalIssuesAnalyzed", s.cycle_time_impact_percentage AS "cycleTimeImpactPercentage",
+               has_ai_commits, category, COUNT(*) AS count, CAST(SUM(cycle_time) AS BIGINT) AS "totalCycleTime",
+               AVG(cycle_time) AS "avgCycleTime"
+        FROM f, s GROUP BY ALL""",
+    f=fact(),
+    s=f"SELECT {SUMMARY} FROM f",
+)
+
 TEAMS_SIZED = "SELECT team_id, team_name, CAST(len(string_split(engineer_ids, ',')) AS INTEGER) AS engineer_count FROM teams"
 Q["team_metrics"] = per_entity(TEAMS_SIZED, "team_id", TEAM_FACT, tc=TEAM_COMMITS)
 Q["engineer_metrics"] = per_entity(
@@ -569,8 +578,23 @@ Q["refresh_all_metrics"] = sql(
     newer=all_rows("commits"),
 )
 Q["refresh_report"] = sql(
-    "SELECT dimension, COUNT(*) AS processed, COUNT(*) AS total FROM owners GROUP BY dimension", owners=OWNERS
+    "SELECT dimension, COUNT(*) AS processed, COUNT(*) AS total FROM owners GROUP BY dimension",
+    owners=OWNERS + " UNION SELECT 'author', CAST(author_id AS VARCHAR) FROM jira_issues",
 )
+STAMP = f"{AS_OF} AS last_calculated"
+Q["current_team_metrics"] = sql(
+    f"SELECT s.* EXCLUDE (team_name, engineer_count), {ADOPTION}, {STAMP} FROM s",
+    tc=TEAM_COMMITS,
+    f=TEAM_FACT,
+    sized=TEAMS_SIZED,
+    s=TEAM_SUMMARY,
+)
+Q["current_engineer_metrics"] = scored(
+    "SELECT DISTINCT engineer_id FROM commits", "engineer_id", ENGINEER_FACT, "ORDER BY engineer_id LIMIT 30 OFFSET 10", STAMP
+)
+Q["current_author_metrics"] = scored(AUTHORS, "author_id", fact(), "ORDER BY author_id LIMIT 20 OFFSET 5", STAMP)
+Q["current_project_metrics"] = Q["project_metrics_materialized"]
+Q["current_category_metrics"] = per_entity("SELECT DISTINCT category FROM jira_issues", "category", fact(), more=f", {STAMP}")
 Q["refresh_log"] = sql(
     f"""SELECT DISTINCT 'project_metrics_materialized' AS table_name, {AS_OF} AS refresh_time FROM jira_issues
         UNION ALL SELECT DISTINCT 'category_metrics_materialized', {AS_OF} FROM jira_issues"""
@@ -718,6 +742,11 @@ Q["scalar_functions"] = sql(
              FROM jira_issues JOIN commits ON jira_issue_id = issue_id)"""
 )
 
+Q["sql_days_between"] = sql(
+    """SELECT project_id, category, COUNT(*) AS issues, CAST(SUM(resolution_date - creation_date) AS BIGINT) AS days
+       FROM jira_issues WHERE resolution_date IS NOT NULL GROUP BY project_id, category"""
+)
+
 # -- partitions
 MONTHS = "SELECT DISTINCT CAST(date_trunc('month', commit_date) AS DATE) AS m, commit_date FROM commits"
 Q["partition_plan"] = sql(
