@@ -62,4 +62,8 @@ def in_period(df: DataFrame, day_column: str, days: DataFrame) -> DataFrame:
 
 
 def first_day(commits: DataFrame) -> date | None:
+    """The date of the first commit; of commits stored by month, only the first month's folder is read for it."""
+    if "commit_month" in commits.columns:
+        month = commits.agg(F.min("commit_month")).first()[0]
+        commits = commits.where(F.col("commit_month") == F.lit(month))
     return commits.agg(F.min("commit_date")).first()[0]

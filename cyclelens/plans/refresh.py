@@ -34,11 +34,7 @@ def table_name(dimension: str) -> str:
 
 
 def metric_rows(domain: Domain, dimension: str, rolled: DataFrame | None = None) -> DataFrame:
-    """Stored metrics of every entity of a dimension, from the commits or from their stored `engineer_rollup`.
-
-    A left-semi join on the key column put on top is moved below the aggregates by Catalyst, so refreshing few
-    entities does not compute all.
-    """
+    """Stored metrics of every entity of a dimension, from the commits or from their stored `engineer_rollup`."""
     if dimension == "team":
         return rollups.team_rows(domain, rollups.team_categories(domain, rolled))
     if dimension == "engineer":
@@ -50,6 +46,28 @@ def metric_rows(domain: Domain, dimension: str, rolled: DataFrame | None = None)
     raise ValueError(f"Unknown dimension: {dimension}")
 
 
+def restrict(
+    domain: Domain, dimension: str, keys: DataFrame, rolled: DataFrame | None = None
+) -> tuple[Domain, DataFrame | None]:
+    """The tables (and the stored rollup) cut down to what the metrics of the given entities are made of.
+
+    Catalyst moves a semi join below an aggregate only if it can broadcast it, so the cut is made at the source.
+    """
+
+    def committed_by(engineers: DataFrame, source: Domain) -> tuple[Domain, DataFrame | None]:
+        if rolled is not None:
+            return source, lookup_join(rolled, engineers, "engineer_id", "issue_id", "left_semi")
+        return source.having(commits=lookup_join(domain.commits, engineers, "engineer_id", "commit_id", "left_semi")), None
+
+    if dimension == "engineer":
+        return committed_by(keys, domain)
+    if dimension == "team":
+        chosen = domain.having(teams=domain.teams.join(keys, "team_id", "left_semi"))
+        return committed_by(chosen.members.select("engineer_id").distinct(), chosen)
+    issues = lookup_join(domain.jira_issues, keys, KEYS[dimension], "issue_id", "left_semi")
+    return domain.having(jira_issues=issues), rolled
+
+
 def owners(domain: Domain, dimension: str, rolled: DataFrame | None = None) -> DataFrame:
     """Entities that own a row in the dimension's table."""
     if dimension == "team":
@@ -132,18 +150,14 @@ def refresh(
     rolled: DataFrame | None = None,
 ) -> DataFrame:
     """Recomputes all entities of a dimension, or those in `keys`, and merges them into its stored table."""
+    if keys is not None:
+        domain, rolled = restrict(domain, dimension, store.replace(f"{dimension}_keys", keys), rolled)
     if dimension == "team":
         # Summary and ranking both read the tally; written, it is computed once, and it is no larger than its keys.
-        tallied = rollups.team_categories(domain, rolled)
-        if keys is not None:
-            tallied = tallied.join(keys, "team_id", "left_semi")
-        rows = rollups.team_rows(domain, store.replace("team_categories", tallied))
+        rows = rollups.team_rows(domain, store.replace("team_categories", rollups.team_categories(domain, rolled)))
     else:
         rows = metric_rows(domain, dimension, rolled)
-    if keys is not None:
-        rows = rows.join(keys, KEYS[dimension], "left_semi")
-    stamped = rows.withColumn("last_calculated", instant(as_of))
-    return store.upsert(table_name(dimension), stamped, KEYS[dimension])
+    return store.upsert(table_name(dimension), rows.withColumn("last_calculated", instant(as_of)), KEYS[dimension])
 
 
 def refresh_all(

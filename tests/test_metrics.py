@@ -287,3 +287,62 @@ def test_rollup_grain_serves_every_dimension(star):
 
 def test_contributions_of_empty_tables(empty):
     assert contributions(empty).count() == 0 and cross.cross_dimensional(empty).count() == 0
+
+
+def test_keyed_refresh_from_the_stored_rollup(star):
+    from cyclelens.operators.facts import engineer_rollup
+
+    for dimension, key in refresh.KEYS.items():
+        keys = refresh.owners(star, dimension).orderBy(key).limit(3)
+        cut, rolled = refresh.restrict(star, dimension, keys, engineer_rollup(star))
+        everything = refresh.metric_rows(star, dimension).join(keys, key, "left_semi")
+        assert as_set(refresh.metric_rows(cut, dimension, rolled)) == as_set(everything)
+
+
+def test_current_reads_refresh_only_what_is_stale(spark, small):
+    store = TableStore(spark, work_dir(spark, "current"))
+    one = refresh.current(small, store, "engineer", datetime(2024, 2, 1), entity=1)
+    assert one.count() == 1 and store.read(refresh.table_name("engineer")).count() == 1
+    rows = refresh.current(small, store, "engineer", datetime(2024, 2, 1, 6), limit=2, offset=1).collect()
+    assert [r.engineer_id for r in rows] == [2, 3]
+    stamps = rows_by(store.read(refresh.table_name("engineer")), "engineer_id")
+    assert stamps[1]["last_calculated"] == datetime(2024, 2, 1) and stamps[2]["last_calculated"] == datetime(2024, 2, 1, 6)
+    versions = store._versions(refresh.table_name("engineer"))
+    refresh.current(small, store, "engineer", datetime(2024, 2, 1, 7))
+    assert store._versions(refresh.table_name("engineer")) == versions
+    refresh.current(small, store, "engineer", datetime(2024, 2, 1, 7), force=True)
+    assert store.read(refresh.table_name("engineer")).select("last_calculated").distinct().count() == 1
+
+
+def test_current_timeline_is_computed_once(spark, small):
+    store = TableStore(spark, work_dir(spark, "timeline"))
+    first = timeline.timeline_current(small, store, AS_OF)
+    assert [r.time_period for r in first.collect()] == [date(2024, m, 1) for m in (1, 2, 3)]
+    versions = store._versions("timeline_metrics_materialized")
+    again = timeline.timeline_current(small, store, AS_OF, start=date(2024, 2, 1), end=date(2024, 2, 28))
+    assert again.count() == 1 and store._versions("timeline_metrics_materialized") == versions
+    timeline.timeline_current(small, store, datetime(2024, 3, 5))
+    assert store._versions("timeline_metrics_materialized") != versions
+
+
+def test_nested_document(small, empty):
+    document = impact.impact_document(issue_fact(small)).first().asDict(recursive=True)
+    assert document["summary"]["totalIssuesAnalyzed"] == 4
+    assert document["detailedStats"]["categoriesWithAi"]["bug"] == {"count": 1, "totalCycleTime": 20, "avgCycleTime": 20.0}
+    assert sorted(document["detailedStats"]["categoriesWithoutAi"]) == ["bug", "chore"]
+    nothing = impact.impact_document(issue_fact(empty)).first().asDict(recursive=True)
+    assert nothing["detailedStats"] == {"categoriesWithAi": {}, "categoriesWithoutAi": {}}
+
+
+def test_too_many_categories_for_a_document(small, monkeypatch):
+    monkeypatch.setattr(impact, "MAX_CATEGORIES", 1)
+    with pytest.raises(ValueError):
+        impact.impact_document(issue_fact(small))
+
+
+def test_sql_vocabulary(spark, small):
+    from cyclelens.functions import sql
+
+    sql.register(small)
+    assert spark.sql("SELECT days_between(DATE '2024-01-05', DATE '2024-01-02')").first()[0] == -3
+    assert spark.sql("SELECT count(*) FROM team_members JOIN teams USING (team_id)").first()[0] == 5

@@ -124,3 +124,26 @@ def test_no_cartesian_or_nested_loop_joins(star, no_broadcast):
 def test_only_needed_columns_are_read(star, no_broadcast):
     plan = executed(rollups.team_metrics(star))
     assert "o_orderpriority" not in plan and "l_quantity" not in plan
+
+
+def test_keyed_refresh_cuts_its_input_before_the_aggregates(star, no_broadcast):
+    from cyclelens.plans import refresh
+
+    for dimension in refresh.KEYS:
+        keys = refresh.owners(star, dimension).orderBy(refresh.KEYS[dimension]).limit(2)
+        cut, rolled = refresh.restrict(star, dimension, keys)
+        some = refresh.metric_rows(cut, dimension, rolled)
+        everything = refresh.metric_rows(star, dimension).join(keys, refresh.KEYS[dimension], "left_semi")
+        assert as_set(some) == as_set(everything)
+        plan = some._jdf.queryExecution().optimizedPlan().toString()
+        grain = "engineer_id" if dimension == "team" else refresh.KEYS[dimension]
+        semi = re.search(rf"LeftSemi, \({grain}#", plan)
+        assert plan.index("issues_with_ai") < semi.start()
+
+
+def test_first_day_reads_one_month_folder(spark, small, tmp_path):
+    from cyclelens.operators import partitions, periods
+
+    partitions.write_by_month(small.commits, str(tmp_path / "c"))
+    stored = partitions.read_by_month(spark, str(tmp_path / "c"))
+    assert periods.first_day(stored) == periods.first_day(small.commits)
