@@ -43,25 +43,25 @@ def coarser(tallied: DataFrame, *keys: str) -> DataFrame:
     return tallied.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TALLY])
 
 
-def summary_of(tallied: DataFrame) -> DataFrame:
-    """Counts, averages and impact from a tally."""
-    named = [c for c in tallied.columns if c not in TALLY]
+def _average(total: str, count: str) -> Column:
+    return F.coalesce(F.try_divide(F.col(total).cast("double"), F.col(count).cast("double")), F.lit(0.0))
 
-    def average(total: str, count: str) -> Column:
-        return F.coalesce(F.try_divide(F.col(total).cast("double"), F.col(count).cast("double")), F.lit(0.0))
 
-    averaged = tallied.select(
-        *named,
+def summary_of(tallied: DataFrame) -> DataFrame:
+    """Counts, averages and impact from a tally."""
+    with_ai = _average("days_with_ai", "issues_with_ai")
+    without_ai = _average("days_without_ai", "issues_without_ai")
+    return tallied.select(
+        *[c for c in tallied.columns if c not in TALLY],
         (F.col("issues_with_ai") + F.col("issues_without_ai")).alias("total_issues"),
         "issues_with_ai",
         "issues_without_ai",
-        average("days_with_ai", "issues_with_ai").alias("avg_cycle_time_with_ai"),
-        average("days_without_ai", "issues_without_ai").alias("avg_cycle_time_without_ai"),
-        average("commits_with_ai", "issues_with_ai").alias("avg_commits_with_ai"),
-        average("commits_without_ai", "issues_without_ai").alias("avg_commits_without_ai"),
+        with_ai.alias("avg_cycle_time_with_ai"),
+        without_ai.alias("avg_cycle_time_without_ai"),
+        impact_percent(with_ai, without_ai).alias("cycle_time_impact_percentage"),
+        _average("commits_with_ai", "issues_with_ai").alias("avg_commits_with_ai"),
+        _average("commits_without_ai", "issues_without_ai").alias("avg_commits_without_ai"),
     )
-    impact = impact_percent("avg_cycle_time_with_ai", "avg_cycle_time_without_ai")
-    return averaged.withColumn("cycle_time_impact_percentage", impact).select(*named, *SUMMARY)
 
 
 def summarize(fact: DataFrame, *keys: str | Column) -> DataFrame:
@@ -71,8 +71,9 @@ def summarize(fact: DataFrame, *keys: str | Column) -> DataFrame:
 
 def for_every(entities: DataFrame, summary: DataFrame, key: str) -> DataFrame:
     """The summary with a row of zeros for each entity that has nothing to summarize."""
-    joined = entities.join(summary, key, "left")
-    return joined.fillna(0, list(COUNTS)).fillna(0.0, [c for c in AVERAGES if c in joined.columns])
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS]
+    averages = [F.coalesce(c, F.lit(0.0)).alias(c) for c in AVERAGES]
+    return entities.join(summary, key, "left").select(*entities.columns, *counts, *averages)
 
 
 def summary_struct() -> Column:
