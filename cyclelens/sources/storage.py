@@ -64,6 +64,11 @@ class TableStore:
         delta = self.replace(f"{name}_delta", new)
         return self.replace(name, replace_rows(self.read(name), delta, key))
 
+    def expire(self, name: str, keep: int = 3) -> None:
+        """Drops all but the newest versions; those kept leave time for readers of the version before the last."""
+        for version in self._versions(name)[: -max(keep, 1)]:
+            self._fs.delete(self._path(f"{self.root}/{name}/{version}"), True)
+
     def append(self, name: str, rows: DataFrame) -> None:
         """Rows added to a growing table of small additions, such as a log."""
         rows.write.mode("append").parquet(f"{self.root}/{name}/v{1:010d}")

@@ -1,8 +1,10 @@
 """CSV ingest, stored tables, quality checks and month partitions."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -137,6 +139,25 @@ def test_an_unfinished_write_is_not_read(spark, tmp_path):
         store.read("other")
 
 
+def test_expired_versions_go_and_the_newest_stay(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    for n in range(5):
+        store.replace("m", spark.range(n))
+    store.expire("m", keep=2)
+    assert store._versions("m") == ["v0000000004", "v0000000005"] and store.read("m").count() == 4
+    store.expire("none")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dates(date(1990, 1, 1), date(2040, 1, 1)), st.integers(0, 900), st.sampled_from(list(periods.STEPS)))
+def test_periods_follow_each_other_without_gap(start, days, interval):
+    end = start + timedelta(days=days)
+    listed = periods.period_list(start, end, interval)
+    assert listed[0][0] == start and listed[-1][0] <= end <= listed[-1][1]
+    for (_, last), (following, _) in zip(listed, listed[1:]):
+        assert following == last + timedelta(days=1)
+
+
 def test_replace_rows_on_two_keys(spark):
     old = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "x int, y int, v string")
     new = spark.createDataFrame([(1, 2, "c")], "x int, y int, v string")
