@@ -77,15 +77,19 @@ def test_skewed_line_items_are_split_at_run_time(spark, no_broadcast, tmp_path):
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
     }
+    skewed_domain = Domain.from_star(spark, str(tmp_path))
+    whole = as_set(rollups.engineer_metrics_scored(skewed_domain))
     before = {k: spark.conf.get(k) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        plan = executed(rollups.engineer_metrics_scored(Domain.from_star(spark, str(tmp_path))))
+        plan = executed(rollups.engineer_metrics_scored(skewed_domain))
+        split = as_set(rollups.engineer_metrics_scored(skewed_domain))
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
     assert "skew=true" in plan
+    assert split == whole
 
 
 def test_pairs_read_the_commits_once(star, no_broadcast):
