@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from cyclelens.domain import Domain
 from cyclelens.functions.scalars import instant
 from cyclelens.operators.facts import by_team, contributions, lookup_join, regroup
-from cyclelens.operators.merge import replace_rows
 from cyclelens.operators.summarize import SUMMARY, summarize
 
 FACT = (
@@ -113,10 +112,15 @@ def summary_delta(domain: Domain, changed: DataFrame, as_of: datetime) -> DataFr
 
 
 def ai_impact_incremental(domain: Domain, stored: DataFrame, mark: date, as_of: datetime) -> DataFrame:
-    """The stored summary brought up to date for issues with commits after the mark; without a mark, made anew."""
+    """The stored summary brought up to date for issues with commits after the mark; without a mark, made anew.
+
+    Stored rows give way to the changed keys and not to the new rows: the keys come from the new commits alone, and an
+    issue reopened in the meantime, which has no new row, goes as it would in a full run.
+    """
     if mark is None:
         return ai_impact_summary(domain, as_of)
-    return replace_rows(stored, summary_delta(domain, changed_since(domain, mark), as_of), "issue_id")
+    changed = changed_since(domain, mark)
+    return stored.join(changed, "issue_id", "left_anti").unionByName(summary_delta(domain, changed, as_of))
 
 
 def create_impact_view(summary: DataFrame, name: str = "vw_ai_impact") -> DataFrame:

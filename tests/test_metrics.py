@@ -221,6 +221,19 @@ def test_incremental_refresh_equals_full_recompute(small):
     assert as_set(updated) == as_set(stored_facts.ai_impact_summary(small, AS_OF))
 
 
+def test_incremental_refresh_drops_a_reopened_issue(small):
+    mark = date(2024, 1, 5)
+    before = stored_facts.ai_impact_summary(small.having(commits=small.commits.where(F.col("commit_date") <= F.lit(mark))), AS_OF)
+    reopened = small.having(
+        jira_issues=small.jira_issues.withColumn(
+            "resolution_date", F.when(F.col("issue_id") != 10, F.col("resolution_date"))
+        )
+    )
+    assert before.where("issue_id = 10").count() == 1
+    updated = stored_facts.ai_impact_incremental(reopened, before, mark, AS_OF)
+    assert as_set(updated) == as_set(stored_facts.ai_impact_summary(reopened, AS_OF))
+
+
 def test_impact_from_summary_is_undefined_without_ai_issues(small):
     summary = stored_facts.ai_impact_summary(small, AS_OF)
     row = stored_facts.impact_from_summary(small, summary.where("NOT has_ai_commits")).first()
