@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from cyclelens.llm.bpe import op6_bpe
 from cyclelens.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from cyclelens.llm.near_dedup import op9_near_dedup
+from cyclelens.llm.quality import op5_quality
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_quality": op5_quality,
+    "op6_bpe": op6_bpe,
     "op9_near_dedup": op9_near_dedup,
 }
 

@@ -109,6 +109,35 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     return h, np.array([0, len(h)])
 
 
+#: Classes of bytes: 0 white space, 1 letters, digits and all beyond ASCII, 2 the rest.
+_KIND = np.full(256, 2, dtype=np.uint8)
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[_IS_SPACE] = 0
+
+
+def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of letters and digits and the runs of other signs, case kept, and the text (0 on) that each belongs to.
+
+    A text of over 2 * SLICE bytes is taken in parts of SLICE; a run that lies across two parts counts as two.
+    """
+    parts, texts = [], []
+    offsets = offsets - offsets[0]
+    for at in range(0, len(data), 2 * SLICE):
+        part = data[at : at + 2 * SLICE]
+        kind = _KIND[part]
+        begins = kind != 0
+        begins[1:] &= kind[1:] != kind[:-1]
+        inner = offsets[(offsets >= at) & (offsets < at + len(part))] - at
+        begins[inner] = kind[inner] != 0
+        starts = np.flatnonzero(begins)
+        if len(starts):
+            parts.append(mixed(np.add.reduceat(_BYTE[part] * _POWER[: len(part)], starts) * _INVERSE[starts]))
+            texts.append(np.searchsorted(offsets, starts + at, "right") - 1)
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(parts), np.concatenate(texts)
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n values."""
     if len(h) < n:
