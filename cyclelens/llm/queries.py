@@ -5,13 +5,17 @@ from __future__ import annotations
 from cyclelens.llm.bpe import op6_bpe
 from cyclelens.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from cyclelens.llm.near_dedup import op9_near_dedup
+from cyclelens.llm.packing import op10_packing
 from cyclelens.llm.quality import op5_quality
+from cyclelens.llm.secrets import op7_secrets
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
+    "op7_secrets": op7_secrets,
     "op9_near_dedup": op9_near_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLES = {
