@@ -12,7 +12,7 @@ from cyclelens import schemas
 from cyclelens.domain import Domain
 from cyclelens.functions import scalars as fx
 from cyclelens.functions import sql as sql_functions
-from cyclelens.operators import partitions, periods, quality
+from cyclelens.operators import partitions, periods, quality, ranking
 from cyclelens.operators.facts import contributions, engineer_rollup, issue_fact
 from cyclelens.operators.merge import changed_rows
 from cyclelens.operators.ranking import page
@@ -175,6 +175,15 @@ def timeline_read(d: Domain) -> DataFrame:
     )
 
 
+@_query()
+def timeline_read_weekly(d: Domain) -> DataFrame:
+    """Weeks read from the table that holds the months too."""
+    store = _store(d, "timeline_read_weekly")
+    timeline.timeline_current(d, store, AS_OF)
+    rows = timeline.timeline_current(d, store, AS_OF, interval="week")
+    return rows.select("time_period", *timeline.PERIOD, *timeline.PERIOD_AVERAGES)
+
+
 @_query()
 def period_table(d: Domain) -> DataFrame:
     return periods.period_table(d.spark, periods.first_day(d.commits), END)
@@ -229,6 +238,21 @@ def metric_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross.metric_router(Domain.from_star(spark, sf_dir), filters)
 
 
+@_star_query
+def metric_router_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with none, one, three or four filters, which no pair answers; a zero counts as no filter."""
+    key = F.col("c_custkey")
+    given = lambda *kinds: (key % 8).isin(*kinds)
+    filters = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        key.alias("request_id"),
+        F.when(given(1, 5, 7), key % 20 + 1).when(given(6), F.lit(0)).alias("team_id"),
+        F.when(given(2, 5, 6, 7), key % 25 + 1).alias("project_id"),
+        F.when(given(3, 7), key % 90 + 1).alias("author_id"),
+        F.when(given(4, 5, 7), key % 30 + 1).alias("engineer_id"),
+    )
+    return cross.metric_router(Domain.from_star(spark, sf_dir), filters)
+
+
 # -- stored issue facts -----------------------------------------------------------------------------------------------
 
 
@@ -393,7 +417,9 @@ def refresh_all_metrics(d: Domain) -> DataFrame:
 def refresh_report(d: Domain) -> DataFrame:
     store = _store(d, "refresh_report")
     _aged_tables(d, store)
-    return refresh.refresh_report(d, refresh.refresh_all(d, store, AS_OF, dimensions=tuple(refresh.KEYS)), AS_OF, store.read("engineer_rollup"))
+    done = refresh.refresh_all(d, store, AS_OF, dimensions=tuple(refresh.KEYS))
+    failures = store.read("refresh_failures") if store.exists("refresh_failures") else None
+    return refresh.refresh_report(d, done, AS_OF, failures=failures)
 
 
 @_query()
@@ -569,6 +595,31 @@ def recommit_date(d: Domain) -> DataFrame:
     return partitions.read_by_month(d.spark, f"{folder}/commits")
 
 
+@_query()
+def recommit_date_everywhere(d: Domain) -> DataFrame:
+    """An id that commits of many months bear, here their repository's, moved to one day."""
+    folder = work_dir(d.spark, "recommit_date_everywhere")
+    shared = d.commits.withColumn("commit_id", F.concat(F.lit("r"), F.col("repo_id").cast("string")))
+    partitions.write_by_month(shared, f"{folder}/commits")
+    partitions.recommit_date(d.spark, f"{folder}/commits", "r1", END, f"{folder}/staging")
+    stored = partitions.read_by_month(d.spark, f"{folder}/commits")
+    return stored.groupBy("commit_month", "commit_date", "commit_id").agg(F.count(F.lit(1)).alias("commits"), F.sum("lines_of_code").alias("lines"))
+
+
+@_query()
+def partition_retention_applied(d: Domain) -> DataFrame:
+    """Commits by month after the old months were moved: where each month is, and that its files hold something."""
+    folder = work_dir(d.spark, "partition_retention_applied")
+    partitions.write_by_month(d.commits, f"{folder}/commits")
+    partitions.apply_retention(d.spark, f"{folder}/commits", END, archive=f"{folder}/archive")
+    places = [(name, partitions.stored_info(d.spark, f"{folder}/{name}")) for name in ("commits", "archive")]
+    rows = [info.select(F.lit(name).alias("place"), "partition_name", "row_count", (F.col("size_bytes") > 0).alias("stored")) for name, info in places]
+    return rows[0].unionByName(rows[1])
+
+
+_query("author_page_after")(lambda d: ranking.page_after(rollups.author_metrics(d), "author_id", after=30, limit=20))
+
+
 # -- streams ----------------------------------------------------------------------------------------------------------
 
 
@@ -587,6 +638,45 @@ def stream_affected_refresh(d: Domain) -> DataFrame:
     return refresh.all_rows({k: store.read(refresh.table_name(k)) for k in refresh.REFRESHED})
 
 
+def _late_files(d: Domain, folder: str) -> DataFrame:
+    late = d.having(commits=d.commits.where(F.col("commit_date") > F.lit(MARK)))
+    return _commit_files(late, folder)
+
+
+@_query()
+def stream_on_stored_metrics(d: Domain) -> DataFrame:
+    """Metrics stored from the commits up to MARK, kept by a stream of the later ones."""
+    folder, early = work_dir(d.spark, "stream_on_stored_metrics"), _until(d, MARK)
+    store = TableStore(d.spark, f"{folder}/store")
+    refresh.refresh_all(early, store, MARK_TIME)
+    late = _late_files(d, folder)
+    streams.affected_refresh(late, d, store, f"{folder}/checkpoint", AS_OF, history=early.commits).awaitTermination()
+    return refresh.all_rows({k: store.read(refresh.table_name(k)) for k in refresh.REFRESHED}).drop("last_calculated")
+
+
+@_query()
+def stream_on_stored_summary(d: Domain) -> DataFrame:
+    """A summary stored from the commits up to MARK, kept by a stream of the later ones."""
+    folder, early = work_dir(d.spark, "stream_on_stored_summary"), _until(d, MARK)
+    store = TableStore(d.spark, f"{folder}/store")
+    store.replace("ai_impact_summary", stored_facts.ai_impact_summary(early, MARK_TIME))
+    late = _late_files(d, folder)
+    streams.incremental_summary(late, d, store, f"{folder}/checkpoint", AS_OF, history=early.commits).awaitTermination()
+    return store.read("ai_impact_summary").drop("last_updated").withColumn("team_ids", _text_list("team_ids"))
+
+
+@_query()
+def changed_tables_refresh(d: Domain) -> DataFrame:
+    """Metrics stored while what was resolved after MARK was still open, kept after these issues changed."""
+    store = _store(d, "changed_tables_refresh")
+    open_then = F.when(F.col("resolution_date") <= F.lit(MARK), F.col("resolution_date"))
+    issues = d.jira_issues.withColumn("resolution_date", open_then)
+    refresh.refresh_all(d.having(jira_issues=issues), store, MARK_TIME, dimensions=("project", "category"))
+    streams.changed_tables_refresh(d, store, AS_OF, issues_before=issues)
+    rows = refresh.all_rows({k: store.read(refresh.table_name(k)) for k in ("project", "category")})
+    return rows.drop("last_calculated")
+
+
 @_query()
 def stream_incremental_summary(d: Domain) -> DataFrame:
     folder = work_dir(d.spark, "stream_incremental_summary")

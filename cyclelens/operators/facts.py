@@ -60,7 +60,7 @@ def commits_of(domain: Domain, engineer: int | None = None, team: int | None = N
         commits = commits.where(F.col("engineer_id") == engineer)
     if team is not None:
         chosen = domain.members.where(F.col("team_id") == team).select("engineer_id")
-        commits = lookup_join(commits, chosen, "engineer_id", "commit_id", "left_semi")
+        commits = lookup_join(commits, chosen, "engineer_id", "left_semi")
     return commits
 
 
@@ -96,6 +96,15 @@ def every_issue(domain: Domain, rolled: DataFrame | None = None) -> DataFrame:
     return _measured(domain.jira_issues.select(*ISSUE_COLUMNS).join(per_issue, "issue_id", "left"))
 
 
+def by_shifted_issue(rows: DataFrame) -> DataFrame:
+    """Rows with a join key made from the issue id, which the optimizer does not take for the id itself.
+
+    What is grouped by issue after a join on this key does not inherit the join's partitioning. So the join may be split
+    where a hot issue makes a partition large, and the grouping combines next to the split tasks before it shuffles.
+    """
+    return rows.withColumn("_issue", -F.col("issue_id"))
+
+
 def contributions(domain: Domain, every_engineer: bool = False, rolled: DataFrame | None = None) -> DataFrame:
     """One row per (resolved issue, engineer), from the commits or from their stored `engineer_rollup`.
 
@@ -103,12 +112,12 @@ def contributions(domain: Domain, every_engineer: bool = False, rolled: DataFram
     committed anything has a row.
     """
     rolled = engineer_rollup(domain) if rolled is None else rolled
-    issues = domain.resolved.select(*ISSUE_COLUMNS)
-    return _measured(rolled.join(issues, "issue_id", "left" if every_engineer else "inner"))
+    issues = by_shifted_issue(domain.resolved.select(*ISSUE_COLUMNS)).drop("issue_id")
+    return _measured(by_shifted_issue(rolled).join(issues, "_issue", "left" if every_engineer else "inner").drop("_issue"))
 
 
 def regroup(contributed: DataFrame, *keys: str, carry: Sequence[str] = ()) -> DataFrame:
-    """Contributions merged to one row per (issue, keys); stays partitioned by issue, hence needs no further shuffle.
+    """Contributions merged to one row per (issue, keys); combined per task first, then shuffled by all of the keys.
 
     Issue columns besides the resolution date are kept only if named in `carry`: what no later step reads is then not
     read from the source either.
@@ -118,7 +127,7 @@ def regroup(contributed: DataFrame, *keys: str, carry: Sequence[str] = ()) -> Da
 
 def by_team(domain: Domain, contributed: DataFrame, how: str = "inner") -> DataFrame:
     """Contributions repeated once per team of the engineer."""
-    return lookup_join(contributed, domain.members, "engineer_id", "issue_id", how, domain.members_are_few)
+    return lookup_join(contributed, domain.members, "engineer_id", how, domain.members_are_few)
 
 
 def team_fact(domain: Domain, contributed: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:

@@ -81,16 +81,17 @@ def read_by_month(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recommit_date(spark: SparkSession, path: str, commit_id: str, new_date: date, staging: str) -> None:
-    """Moves one stored commit to another date, rewriting only the months it leaves and enters.
+    """Moves all stored rows of one commit to another date, rewriting only the months they leave and enter.
 
     The new content is staged first: a folder is never overwritten while it is being read, and a failure before the
     final write leaves the table as it was.
     """
     stored = read_by_month(spark, path)
-    found = [r[0] for r in stored.where(F.col("commit_id") == commit_id).select("commit_date").take(2)]
+    # Every month that holds the id, of which there are no more than months.
+    found = {r[0] for r in stored.where(F.col("commit_id") == commit_id).select("commit_month").distinct().collect()}
     if not found:
         raise LookupError(f"Commit {commit_id} not found")
-    months = sorted({d.year * 100 + d.month for d in (*found, new_date)})
+    months = sorted(found | {new_date.year * 100 + new_date.month})
     affected = redate(stored.where(F.col("commit_month").isin(months)).drop("commit_month"), commit_id, new_date)
     write_by_month(affected, staging)
     staged = read_by_month(spark, staging).drop("commit_month")
@@ -100,10 +101,55 @@ def recommit_date(spark: SparkSession, path: str, commit_id: str, new_date: date
         drop_months(spark, path, emptied)
 
 
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop path and file system of a folder, in whatever store it is."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def month_sizes(spark: SparkSession, path: str) -> dict[int, int]:
+    """Bytes stored per month, from the folder listing alone."""
+    root, fs = _folder(spark, path)
+    found = {}
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("commit_month=") and name[13:].isdigit():
+            found[int(name[13:])] = fs.getContentSummary(status.getPath()).getLength()
+    return found
+
+
+def stored_info(spark: SparkSession, path: str) -> DataFrame:
+    """(partition_name, row_count, size_bytes) of commits stored by month: no column is read for it."""
+    sizes = spark.createDataFrame(list(month_sizes(spark, path).items()), "commit_month int, size_bytes long")
+    counts = read_by_month(spark, path).groupBy("commit_month").agg(F.count(F.lit(1)).alias("row_count"))
+    named = F.concat(F.lit("commits_"), F.col("commit_month").cast("string")).alias("partition_name")
+    return counts.join(F.broadcast(sizes), "commit_month").select(named, "row_count", "size_bytes")
+
+
+def apply_retention(spark: SparkSession, path: str, as_of: date, months_to_keep: int = 12, archive: str | None = None) -> list[int]:
+    """Moves the folders of months before the cutoff to the `archive` folder, or drops them without one; returns these months.
+
+    A move renames folders within one store and rewrites nothing. Run again, it goes on where it stopped.
+    """
+    cutoff = cutoff_month(as_of, months_to_keep)
+    old = sorted(m for m in month_sizes(spark, path) if m < cutoff.year * 100 + cutoff.month)
+    if archive is None:
+        drop_months(spark, path, set(old))
+        return old
+    root, fs = _folder(spark, path)
+    target, _ = _folder(spark, archive)
+    fs.mkdirs(target)
+    jvm = spark.sparkContext._jvm
+    for month in old:
+        name = f"commit_month={month}"
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(root, name), jvm.org.apache.hadoop.fs.Path(target, name)):
+            raise OSError(f"month {month} could not be moved to {archive}")
+    return old
+
+
 def drop_months(spark: SparkSession, path: str, months: set[int]) -> None:
     """Removes the folders of months that no longer hold any commit."""
+    root, fs = _folder(spark, path)
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for month in months:
         fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"commit_month={month}"), True)

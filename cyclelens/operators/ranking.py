@@ -28,3 +28,10 @@ def page(df: DataFrame, key: str, limit: int | None = None, offset: int = 0) ->
     if offset:
         ordered = ordered.offset(offset)
     return ordered if limit is None else ordered.limit(limit)
+
+
+def page_after(df: DataFrame, key: str, after: object = None, limit: int = 100) -> DataFrame:
+    """The next `limit` rows by a unique key, behind the last key of the page before: no task holds more than `limit` rows,
+    however deep the page lies."""
+    rest = df if after is None else df.where(F.col(key) > F.lit(after))
+    return rest.orderBy(key).limit(limit)

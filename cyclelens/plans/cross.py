@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cyclelens.domain import Domain
 from cyclelens.functions.scalars import instant
-from cyclelens.operators.facts import contributions, lookup_join, regroup, team_fact
+from cyclelens.operators.facts import by_team, contributions, issue_fact, lookup_join, regroup, team_fact
 from cyclelens.operators.summarize import AVERAGES, COUNTS, SUMMARY, summarize
 from cyclelens.plans.impact import ai_impact
 
@@ -49,7 +49,7 @@ def pair_summary(domain: Domain, kind: str, contributed: DataFrame | None = None
     if kind == "team-engineer":
         # A member's issues within the team are the member's own, so the engineer's summary is joined, not recomputed.
         own = summarize(shared, "engineer_id")
-        joined = lookup_join(own, domain.members, "engineer_id", "total_issues", "inner", domain.members_are_few)
+        joined = lookup_join(own, domain.members, "engineer_id", "inner", domain.members_are_few)
         return _pairs(joined, kind, "team_id", "engineer_id")
     raise ValueError(f"Unsupported dimension type: {kind}")
 
@@ -188,10 +188,42 @@ def route(filters: DataFrame) -> DataFrame:
 
 
 def metric_router(domain: Domain, filters: DataFrame) -> DataFrame:
-    """Routed requests with the pair's metrics; a routed pair without analysed issues has zeros."""
+    """Every request with its metrics: a routed one with its pair's, any other with the general computation's; none are zeros.
+
+    Requests that give the same filters share one computation for all values of these, so there are at most as many as
+    there are sets of filters, and each joins its requests by the values.
+    """
+    routed = route(filters)
     metrics = cross_dimensional(domain).drop("dimension_key")
-    routed = route(filters).join(metrics, ["dimension_type", "primary_id", "secondary_id"], "left")
-    mapped = F.col("dimension_type").isNotNull()
-    zeros = {c: F.when(mapped, F.coalesce(c, F.lit(0))) for c in COUNTS}
-    zeros |= {c: F.when(mapped, F.coalesce(c, F.lit(0.0))) for c in AVERAGES}
-    return routed.withColumns(zeros).select(*filters.columns, "dimension_type", "primary_id", "secondary_id", *SUMMARY)
+    pairs = routed.where(F.col("dimension_type").isNotNull()).join(metrics, ["dimension_type", "primary_id", "secondary_id"], "left")
+    out = pairs.select(*routed.columns, *SUMMARY)
+    general = routed.where(F.col("dimension_type").isNull())
+    given = [F.when(F.coalesce(c, F.lit(0)) != 0, F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate(FILTERS)]
+    general = general.withColumn("_given", reduce(lambda a, b: a + b, given))
+    shared = contributions(domain)
+    for mask in sorted(r[0] for r in general.select("_given").distinct().collect()):
+        names = [c for k, c in enumerate(FILTERS) if mask >> k & 1]
+        asked = general.where(F.col("_given") == mask).drop("_given")
+        figures = _general(domain, shared, names).toDF(*[f"_{c}" for c in names], *SUMMARY)
+        if names:
+            matches = reduce(lambda a, b: a & b, [asked[c] == figures[f"_{c}"] for c in names])
+            joined = asked.join(figures, matches, "left")
+        else:
+            joined = asked.select("*", *[figures.select(c).scalar().alias(c) for c in SUMMARY])
+        out = out.unionByName(joined.select(*routed.columns, *SUMMARY))
+    zeros = {c: F.coalesce(c, F.lit(0)) for c in COUNTS} | {c: F.coalesce(c, F.lit(0.0)) for c in AVERAGES}
+    return out.withColumns(zeros).select(*filters.columns, "dimension_type", "primary_id", "secondary_id", *SUMMARY)
+
+
+# The filters of a request.
+FILTERS = ("team_id", "project_id", "author_id", "engineer_id")
+
+
+def _general(domain: Domain, shared: DataFrame, names: list[str]) -> DataFrame:
+    """The impact for all values of some filters: team and engineer choose commits, project and author choose issues."""
+    of_commits = [c for c in names if c in ("team_id", "engineer_id")]
+    of_issues = [c for c in names if c in ("project_id", "author_id")]
+    if not of_commits:
+        return summarize(issue_fact(domain), *names).select(*names, *SUMMARY)
+    rows = by_team(domain, shared) if "team_id" in names else shared
+    return summarize(regroup(rows, *of_commits, carry=of_issues), *names).select(*names, *SUMMARY)

@@ -96,7 +96,7 @@ def dashboard_for(domain: Domain, team: int, project: int, engineer: int | None
     shared = contributions(domain)
     of_team = regroup(
         lookup_join(
-            shared, domain.members.where(F.col("team_id") == team), "engineer_id", "issue_id", "inner", domain.members_are_few
+            shared, domain.members.where(F.col("team_id") == team), "engineer_id", "inner", domain.members_are_few
         ),
         "team_id",
         carry=("project_id",),

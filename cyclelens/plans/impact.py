@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from cyclelens.domain import Domain
 from cyclelens.operators.facts import issue_fact
-from cyclelens.operators.joins import within_rows
 from cyclelens.operators.summarize import summarize, summary_struct
 
 DETAIL = ("issue_id", "cycle_time", "total_commits", "ai_commits", "non_ai_commits", "category")
 # Issues per detail page; an issue id occurs once per entity, so a page cannot hold more.
 PAGE_ISSUES = 1000
-MAX_CATEGORIES = 10_000
+# Categories per document page, about: they are dealt to pages by a hash.
+PAGE_CATEGORIES = 10_000
 
 
 def ai_impact(
@@ -61,13 +61,13 @@ def issue_detail_pages(fact: DataFrame, *keys: str) -> DataFrame:
 
 
 def impact_document(fact: DataFrame) -> DataFrame:
-    """The one nested document of a computation: its summary and both maps from category to that category's figures.
+    """The nested document of a computation: its summary and both maps from category to that category's figures.
 
-    The maps are built only for a counted number of categories; the issue lists are the pages of `issue_detail_pages`.
+    One row, or with more than PAGE_CATEGORIES categories one row per page of them, each with the whole summary. The issue lists
+    are the pages of `issue_detail_pages`.
     """
     stats = category_stats(fact)
-    if not within_rows(stats, MAX_CATEGORIES):
-        raise ValueError(f"more than {MAX_CATEGORIES} categories: read category_stats instead of a document")
+    pages = stats.select("category").distinct().count() // PAGE_CATEGORIES + 1
     entry = F.struct(
         F.col("category"),
         F.struct(
@@ -81,9 +81,14 @@ def impact_document(fact: DataFrame) -> DataFrame:
         return F.map_from_entries(F.array_sort(F.collect_list(F.when(flag, entry)))).alias(name)
 
     ai = F.col("has_ai_commits")
-    maps = stats.agg(categories(ai, "categoriesWithAi"), categories(~ai, "categoriesWithoutAi"))
+    names = ("categoriesWithAi", "categoriesWithoutAi")
+    sides = [categories(ai, names[0]), categories(~ai, names[1])]
+    detailed = F.struct(*[F.col(name) for name in names]).alias("detailedStats")
     summary = summarize(fact).select(summary_struct().alias("summary"))
-    return summary.select("summary", F.struct(*[maps.select(c).scalar().alias(c) for c in maps.columns]).alias("detailedStats"))
+    if pages == 1:
+        return stats.agg(*sides).select(summary.scalar().alias("summary"), detailed)
+    paged = stats.groupBy(F.pmod(F.xxhash64("category"), F.lit(pages)).alias("page")).agg(*sides)
+    return paged.select(summary.scalar().alias("summary"), detailed)
 
 
 def impact_documents(summary: DataFrame, *keys: str) -> DataFrame:

@@ -56,15 +56,15 @@ def restrict(
 
     def committed_by(engineers: DataFrame, source: Domain) -> tuple[Domain, DataFrame | None]:
         if rolled is not None:
-            return source, lookup_join(rolled, engineers, "engineer_id", "issue_id", "left_semi")
-        return source.having(commits=lookup_join(domain.commits, engineers, "engineer_id", "commit_id", "left_semi")), None
+            return source, lookup_join(rolled, engineers, "engineer_id", "left_semi")
+        return source.having(commits=lookup_join(domain.commits, engineers, "engineer_id", "left_semi")), None
 
     if dimension == "engineer":
         return committed_by(keys, domain)
     if dimension == "team":
         chosen = domain.having(teams=domain.teams.join(keys, "team_id", "left_semi"))
         return committed_by(chosen.members.select("engineer_id").distinct(), chosen)
-    issues = lookup_join(domain.jira_issues, keys, KEYS[dimension], "issue_id", "left_semi")
+    issues = lookup_join(domain.jira_issues, keys, KEYS[dimension], "left_semi")
     return domain.having(jira_issues=issues), rolled
 
 
@@ -87,7 +87,7 @@ def last_touched(domain: Domain, rolled: DataFrame | None = None) -> dict[str, D
     per_engineer = merge_rollups(rolled, "engineer_id")
     issues = domain.jira_issues.select("issue_id", "project_id", "author_id", "category")
     per_issue = issues.join(merge_rollups(rolled, "issue_id"), "issue_id")
-    per_member = lookup_join(per_engineer, domain.members, "engineer_id", "engineer_id", "inner", domain.members_are_few)
+    per_member = lookup_join(per_engineer, domain.members, "engineer_id", "inner", domain.members_are_few)
     source = {"team": per_member, "engineer": per_engineer}
     return {d: source.get(d, per_issue).groupBy(key).agg(day) for d, key in KEYS.items()}
 
@@ -110,7 +110,7 @@ def affected_entities(changed_commits: DataFrame, domain: Domain) -> DataFrame:
     The changed commits are reduced to distinct engineers and issues before they are looked up.
     """
     engineers = changed_commits.select("engineer_id").distinct()
-    teams = lookup_join(engineers, domain.members, "engineer_id", "engineer_id", "inner", domain.members_are_few)
+    teams = lookup_join(engineers, domain.members, "engineer_id", "inner", domain.members_are_few)
     touched = changed_commits.select(F.col("jira_issue_id").alias("issue_id")).distinct()
     issues = domain.jira_issues.select("issue_id", "project_id", "category").join(touched, "issue_id", "left_semi")
     return reduce(
@@ -150,8 +150,14 @@ def refresh(
     rolled: DataFrame | None = None,
 ) -> DataFrame:
     """Recomputes all entities of a dimension, or those in `keys`, and merges them into its stored table."""
+    return _refresh(domain, store, dimension, as_of, None if keys is None else store.replace(f"{dimension}_keys", keys), rolled)
+
+
+def _refresh(
+    domain: Domain, store: TableStore, dimension: str, as_of: datetime, keys: DataFrame | None, rolled: DataFrame | None
+) -> DataFrame:
     if keys is not None:
-        domain, rolled = restrict(domain, dimension, store.replace(f"{dimension}_keys", keys), rolled)
+        domain, rolled = restrict(domain, dimension, keys, rolled)
     if dimension == "team":
         # Summary and ranking both read the tally; written, it is computed once, and it is no larger than its keys.
         rows = rollups.team_rows(domain, store.replace("team_categories", rollups.team_categories(domain, rolled)))
@@ -170,19 +176,54 @@ def refresh_all(
 ) -> dict[str, DataFrame]:
     """Brings the stored tables up to date: every entity with `force`, else the missing and outdated ones.
 
-    The commits are read once: their rollup per (issue, engineer) is written, and all dimensions start from it.
+    What is stale is found first, from the stored tables and the entity tables; where nothing is, nothing is rolled up or
+    written. Else the commits are read once: their rollup per (issue, engineer) is written, and all dimensions start from
+    it. A dimension that fails is noted in `refresh_failures` and keeps its table; the others go on.
     """
     cutoff = instant(as_of - timedelta(hours=max_age_hours))
-    rolled = store.replace("engineer_rollup", engineer_rollup(domain))
-    tables = {}
+    due: dict[str, DataFrame | None] = {}
     for dimension in dimensions:
-        name = table_name(dimension)
-        keys = None
-        if not force and store.exists(name):
-            keys = stale_keys(owners(domain, dimension, rolled), store.read(name), KEYS[dimension], cutoff)
-        tables[dimension] = refresh(domain, store, dimension, as_of, keys, rolled)
-        store.log_refresh(name, as_of)
-    return tables
+        if force or not store.exists(table_name(dimension)):
+            due[dimension] = None
+            continue
+        stale = _stale(domain, store.read(table_name(dimension)), dimension, cutoff)
+        if not stale.isEmpty():
+            due[dimension] = store.replace(f"{dimension}_keys", stale)
+    if due:
+        rolled = store.replace("engineer_rollup", engineer_rollup(domain))
+        for dimension, keys in due.items():
+            name = table_name(dimension)
+            try:
+                _refresh(domain, store, dimension, as_of, keys, rolled)
+                store.log_refresh(name, as_of)
+            except Exception as error:  # noqa: BLE001 - one failing dimension must not stop the others
+                log_failure(store, dimension, error, as_of)
+            store.expire(name), store.expire(f"{name}_delta"), store.expire(f"{dimension}_keys")
+        store.expire("engineer_rollup"), store.expire("team_categories")
+    return {d: store.read(table_name(d)) for d in dimensions if store.exists(table_name(d))}
+
+
+def _stale(domain: Domain, stored: DataFrame, dimension: str, cutoff: Column) -> DataFrame:
+    """Keys whose stored row is missing or outdated. Commits are read only for engineers that no row is stored of."""
+    key = KEYS[dimension]
+    if dimension != "engineer":
+        return stale_keys(owners(domain, dimension), stored, key, cutoff)
+    old = stored.where(F.col("last_calculated") < cutoff).select(key)
+    unknown = domain.engineers.select(F.col("id").alias(key)).join(stored.select(key), key, "left_anti")
+    if unknown.isEmpty():
+        return old
+    return old.union(lookup_join(domain.commits, unknown, key, "left_semi").select(key).distinct())
+
+
+def log_failure(store: TableStore, dimension: str, error: Exception, as_of: datetime, batch: int | None = None) -> None:
+    """One line in `refresh_failures`."""
+    entry = store.spark.range(1).select(
+        F.lit(batch).cast("int").alias("batch"),
+        F.lit(dimension).alias("dimension"),
+        F.lit(str(error)).alias("message"),
+        instant(as_of).alias("failed_at"),
+    )
+    store.append("refresh_failures", entry)
 
 
 def current(
@@ -226,13 +267,22 @@ def all_rows(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def refresh_report(
-    domain: Domain, tables: dict[str, DataFrame], as_of: datetime, rolled: DataFrame | None = None
+    domain: Domain,
+    tables: dict[str, DataFrame],
+    as_of: datetime,
+    rolled: DataFrame | None = None,
+    failures: DataFrame | None = None,
 ) -> DataFrame:
-    """(dimension, processed, total): entities calculated at `as_of`, and entities there are."""
+    """(dimension, processed, total, failed): entities calculated at `as_of`, entities there are, refreshes that failed then."""
+    failed_at = {}
+    if failures is not None:
+        noted = failures.where(F.col("failed_at") == instant(as_of)).groupBy("dimension").count()
+        failed_at = {r["dimension"]: r["count"] for r in noted.collect()}
 
     def line(dimension: str, df: DataFrame) -> DataFrame:
         done = df.agg(F.count_if(F.col("last_calculated") == instant(as_of)).alias("processed"))
         total = owners(domain, dimension, rolled).agg(F.count(F.lit(1)).alias("total")).scalar()
-        return done.select(F.lit(dimension).alias("dimension"), "processed", total.alias("total"))
+        failed = F.lit(failed_at.get(dimension, 0)).cast("bigint").alias("failed")
+        return done.select(F.lit(dimension).alias("dimension"), "processed", total.alias("total"), failed)
 
     return reduce(DataFrame.unionByName, [line(d, df) for d, df in tables.items()])

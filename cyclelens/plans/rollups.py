@@ -106,7 +106,7 @@ def engineer_metrics_page(domain: Domain, batch: int = 100, offset: int = 0) ->
     """One page of engineers by id as nested documents; only commits of the engineers on the page are rolled up."""
     chosen = page(domain.engineers, "id", batch, offset)
     keys = chosen.select(F.col("id").alias("engineer_id"))
-    commits = lookup_join(domain.commits, keys, "engineer_id", "commit_id", "left_semi", batch <= BROADCAST_ROWS)
+    commits = lookup_join(domain.commits, keys, "engineer_id", "left_semi", batch <= BROADCAST_ROWS)
     metrics = engineer_metrics(domain.having(engineers=chosen, commits=commits))
     return metrics.select("engineer_id", "engineer_name", F.struct(*SUMMARY).alias("metrics")).orderBy("engineer_id")
 

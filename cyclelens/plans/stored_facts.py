@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cyclelens.domain import Domain
 from cyclelens.functions.scalars import instant
-from cyclelens.operators.facts import by_team, contributions, lookup_join, regroup
+from cyclelens.operators.facts import by_shifted_issue, by_team, contributions, engineer_rollup, lookup_join, regroup
 from cyclelens.operators.summarize import SUMMARY, summarize
 
 FACT = (
@@ -29,7 +29,7 @@ CARRIED = ("project_id", "author_id", "category")
 
 def commit_teams_all(domain: Domain) -> DataFrame:
     """One row per commit and team of its engineer; commits of engineers without a team keep one row without team."""
-    return lookup_join(domain.commits, domain.members, "engineer_id", "commit_id", "left", domain.members_are_few)
+    return lookup_join(domain.commits, domain.members, "engineer_id", "left", domain.members_are_few)
 
 
 def first_teams(domain: Domain) -> DataFrame:
@@ -40,7 +40,7 @@ def first_teams(domain: Domain) -> DataFrame:
 def commit_teams_first(domain: Domain) -> DataFrame:
     """One row per commit with at most one team."""
     return lookup_join(
-        domain.commits, first_teams(domain), "engineer_id", "commit_id", "left", domain.members_are_few
+        domain.commits, first_teams(domain), "engineer_id", "left", domain.members_are_few
     )
 
 
@@ -84,7 +84,7 @@ def ai_impact_base(domain: Domain, dedupe: bool = False) -> DataFrame:
     if dedupe:
         first = first_teams(domain).withColumnRenamed("team_id", "_first")
         members = domain.members.join(first, "engineer_id")
-        spread = lookup_join(contributions(domain), members, "engineer_id", "issue_id", "left", domain.members_are_few)
+        spread = lookup_join(contributions(domain), members, "engineer_id", "left", domain.members_are_few)
         counts = F.col("team_id").eqNullSafe(F.col("_first"))
         spread = spread.withColumns({c: F.when(counts, F.col(c)).otherwise(0) for c in ("total_commits", "ai_commits")})
     else:
@@ -95,7 +95,7 @@ def ai_impact_base(domain: Domain, dedupe: bool = False) -> DataFrame:
 def ai_impact_summary(domain: Domain, as_of: datetime, rolled: DataFrame | None = None) -> DataFrame:
     """Issue fact with one team per engineer, so that commits are not multiplied."""
     shared = contributions(domain, rolled=rolled)
-    placed = lookup_join(shared, first_teams(domain), "engineer_id", "issue_id", "left", domain.members_are_few)
+    placed = lookup_join(shared, first_teams(domain), "engineer_id", "left", domain.members_are_few)
     return _with_teams(regroup(placed, "team_id", carry=CARRIED), keep_null=False).withColumn("last_updated", instant(as_of))
 
 
@@ -106,9 +106,13 @@ def changed_since(domain: Domain, mark: date) -> DataFrame:
 
 
 def summary_delta(domain: Domain, changed: DataFrame, as_of: datetime) -> DataFrame:
-    """Summary rows of the changed issues, from all their commits and not only the new ones."""
-    commits = domain.commits.join(changed.withColumnRenamed("issue_id", "jira_issue_id"), "jira_issue_id", "left_semi")
-    return ai_impact_summary(domain.having(commits=commits), as_of)
+    """Summary rows of the changed issues, from all their commits and not only the new ones.
+
+    The commits are rolled up next to the scan, so that the rollup and not the commits meets the changed keys.
+    """
+    keys = by_shifted_issue(changed).select("_issue")
+    rolled = by_shifted_issue(engineer_rollup(domain)).join(keys, "_issue", "left_semi").drop("_issue")
+    return ai_impact_summary(domain, as_of, rolled)
 
 
 def ai_impact_incremental(domain: Domain, stored: DataFrame, mark: date, as_of: datetime) -> DataFrame:

@@ -211,13 +211,16 @@ def timeline_materialized(
     )
 
 
-def timeline_read(stored: DataFrame, as_of: date, start: date | None = None, end: date | None = None) -> DataFrame:
-    """Stored periods in a range, in order; an open range reaches from 1900 to `as_of`."""
-    return stored.where(F.col("time_period").between(start or date(1900, 1, 1), end or as_of)).orderBy("time_period")
+def timeline_read(
+    stored: DataFrame, as_of: date, start: date | None = None, end: date | None = None, interval: str = "month"
+) -> DataFrame:
+    """Stored periods of an interval in a range, in order; an open range reaches from 1900 to `as_of`."""
+    chosen = stored.where((F.col("interval") == interval) & F.col("time_period").between(start or date(1900, 1, 1), end or as_of))
+    return chosen.orderBy("time_period")
 
 
 def timeline_document(rows: DataFrame, interval: str = "month") -> DataFrame:
-    """The periods as one ordered document; its length is the number of periods, which MAX_CALENDAR_DAYS bounds."""
+    """The periods as one ordered document; its length is the number of periods, which the date type bounds."""
     fields = F.struct("time_period", *PERIOD, *PERIOD_AVERAGES)
     return rows.agg(F.array_sort(F.collect_list(fields)).alias("data")).select(F.lit(interval).alias("interval"), "data")
 
@@ -232,10 +235,14 @@ def timeline_current(
     max_age_hours: int = 24,
     force: bool = False,
 ) -> DataFrame:
-    """Stored periods of a range, all of them computed and merged in first if none in the range is fresh."""
+    """Stored periods of an interval in a range, all of them computed and merged in first if none in the range is fresh.
+
+    Intervals share the table, so its key is the interval and the period.
+    """
     name, today = "timeline_metrics_materialized", as_of.date()
     fresh = F.col("last_calculated") >= instant(as_of - timedelta(hours=max_age_hours))
     known = store.exists(name) and not force
-    if not known or timeline_read(store.read(name), today, start, end).where(fresh).isEmpty():
-        store.upsert(name, timeline_materialized(domain, store, as_of, end or today, start, interval), "time_period")
-    return timeline_read(store.read(name), today, start, end)
+    if not known or timeline_read(store.read(name), today, start, end, interval).where(fresh).isEmpty():
+        rows = timeline_materialized(domain, store, as_of, end or today, start, interval)
+        store.upsert(name, rows, ("interval", "time_period"))
+    return timeline_read(store.read(name), today, start, end, interval)

@@ -219,6 +219,7 @@ Q["project_metrics_materialized"] = per_entity(
 AUTHORS = "SELECT DISTINCT author_id FROM jira_issues"
 Q["author_metrics"] = scored(AUTHORS, "author_id", fact())
 Q["author_page"] = scored(AUTHORS, "author_id", fact(), "ORDER BY author_id LIMIT 20 OFFSET 10")
+Q["author_page_after"] = scored(AUTHORS, "author_id", fact(), "WHERE author_id > 30 ORDER BY author_id LIMIT 20")
 Q["author_metrics_as_engineer"] = scored(
     AUTHORS, "author_id", f"SELECT * REPLACE (engineer_id AS author_id) FROM ({ENGINEER_FACT})"
 )
@@ -306,6 +307,7 @@ def timeline(select: str, step: str = "1 MONTH", **tables: str) -> str:
 
 Q["timeline_periods"] = timeline(PERIOD_SUMMARY, pi=PI)
 Q["timeline_periods_weekly"] = timeline(PERIOD_SUMMARY, "7 DAY", pi=PI)
+Q["timeline_read_weekly"] = Q["timeline_periods_weekly"]
 Q["timeline_top_categories"] = timeline(
     f"SELECT time_period, {RANKED} FROM ranked WHERE rank <= 5", f=PI, ranked=shares("time_period")
 )
@@ -420,8 +422,11 @@ Q["cross_dimensional_checked"] = pairs(
 Q["metric_router"] = pairs(
     f"""SELECT r.request_id, r.team_id, r.project_id, r.author_id, r.engineer_id, r.dimension_type, r.primary_id,
                r.secondary_id,
-               {", ".join(f"CASE WHEN r.dimension_type IS NOT NULL THEN coalesce(p.{n}, 0) END AS {n}" for n in NAMES)}
-        FROM routed r LEFT JOIN pairs p USING (dimension_type, primary_id, secondary_id)""",
+               {", ".join(f"coalesce(CASE WHEN r.dimension_type IS NOT NULL THEN p.{n} ELSE g.{n} END, 0) AS {n}" for n in NAMES)}
+        FROM routed r LEFT JOIN pairs p USING (dimension_type, primary_id, secondary_id)
+        LEFT JOIN general g ON r.dimension_type IS NULL AND g.project_id = r.project_id""",
+    # What no pair answers asks for a project alone.
+    general=f"SELECT f.project_id, {SUMMARY} FROM f GROUP BY f.project_id",
     wanted="""SELECT c_custkey AS request_id,
         CASE WHEN c_mktsegment IN ('BUILDING', 'HOUSEHOLD') THEN CAST(c_nationkey + 1 AS BIGINT) END AS team_id,
         CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN CAST(c_nationkey + 1 AS BIGINT) END AS project_id,
@@ -438,6 +443,28 @@ Q["metric_router"] = pairs(
         CASE WHEN project_id IS NOT NULL AND coalesce(team_id, engineer_id, author_id) IS NOT NULL THEN project_id
             WHEN team_id IS NOT NULL AND engineer_id IS NOT NULL THEN engineer_id END AS secondary_id FROM wanted""",
 )
+Q["metric_router_general"] = sql(
+    f"""SELECT w.request_id, w.team_id, w.project_id, w.author_id, w.engineer_id, CAST(NULL AS VARCHAR) AS dimension_type,
+               CAST(NULL AS BIGINT) AS primary_id, CAST(NULL AS BIGINT) AS secondary_id, {SUMMARY}
+        FROM wanted w LEFT JOIN f USING (request_id) GROUP BY w.request_id, w.team_id, w.project_id, w.author_id, w.engineer_id""",
+    wanted="""SELECT c_custkey AS request_id,
+        CASE WHEN c_custkey % 8 IN (1, 5, 7) THEN c_custkey % 20 + 1 WHEN c_custkey % 8 = 6 THEN 0 END AS team_id,
+        CASE WHEN c_custkey % 8 IN (2, 5, 6, 7) THEN c_custkey % 25 + 1 END AS project_id,
+        CASE WHEN c_custkey % 8 IN (3, 7) THEN c_custkey % 90 + 1 END AS author_id,
+        CASE WHEN c_custkey % 8 IN (4, 5, 7) THEN c_custkey % 30 + 1 END AS engineer_id FROM customer""",
+    crews="SELECT engineer_id, list(team_id) AS teams FROM members GROUP BY engineer_id",
+    per_engineer="""SELECT i.issue_id, i.project_id, i.author_id, i.resolution_date, c.engineer_id, k.teams,
+        MIN(c.commit_date) AS first_commit_date, COUNT(*) AS n, COUNT(CASE WHEN c.ai_used THEN 1 END) AS ai
+        FROM jira_issues i JOIN commits c ON c.jira_issue_id = i.issue_id LEFT JOIN crews k ON k.engineer_id = c.engineer_id
+        WHERE i.resolution_date IS NOT NULL GROUP BY ALL""",
+    f="""SELECT w.request_id, e.issue_id, SUM(n) AS total_commits, SUM(ai) AS ai_commits, SUM(ai) > 0 AS has_ai_commits,
+        CAST(e.resolution_date - MIN(first_commit_date) AS INTEGER) AS cycle_time
+        FROM wanted w JOIN per_engineer e ON (coalesce(w.project_id, 0) = 0 OR w.project_id = e.project_id)
+             AND (coalesce(w.author_id, 0) = 0 OR w.author_id = e.author_id)
+             AND (coalesce(w.engineer_id, 0) = 0 OR w.engineer_id = e.engineer_id)
+             AND (coalesce(w.team_id, 0) = 0 OR list_contains(e.teams, w.team_id))
+        GROUP BY w.request_id, e.issue_id, e.resolution_date""",
+)
 
 # -- stored facts
 ALL_TEAMS = "SELECT c.*, m.team_id FROM commits c LEFT JOIN members m ON m.engineer_id = c.engineer_id"
@@ -578,7 +605,7 @@ Q["refresh_all_metrics"] = sql(
     newer=all_rows("commits"),
 )
 Q["refresh_report"] = sql(
-    "SELECT dimension, COUNT(*) AS processed, COUNT(*) AS total FROM owners GROUP BY dimension",
+    "SELECT dimension, COUNT(*) AS processed, COUNT(*) AS total, CAST(0 AS BIGINT) AS failed FROM owners GROUP BY dimension",
     owners=OWNERS + " UNION SELECT 'author', CAST(author_id AS VARCHAR) FROM jira_issues",
 )
 STAMP = f"{AS_OF} AS last_calculated"
@@ -600,6 +627,9 @@ Q["refresh_log"] = sql(
         UNION ALL SELECT DISTINCT 'category_metrics_materialized', {AS_OF} FROM jira_issues"""
 )
 Q["stream_affected_refresh"] = sql(f"SELECT *, {AS_OF} AS last_calculated FROM r", r=all_rows("commits"))
+Q["stream_on_stored_metrics"] = sql("SELECT * FROM r", r=all_rows("commits"))
+Q["stream_on_stored_summary"] = f"SELECT * EXCLUDE (last_updated) FROM ({Q['stream_incremental_summary']})"
+Q["changed_tables_refresh"] = sql("SELECT * FROM r WHERE dimension IN ('project', 'category')", r=all_rows("commits"))
 
 # -- dashboard
 Q["filter_options"] = sql(
@@ -761,6 +791,17 @@ Q["partition_info"] = sql(
               CAST(m + INTERVAL 1 MONTH AS DATE) AS to_date, COUNT(*) AS row_count
        FROM (SELECT CAST(date_trunc('month', commit_date) AS DATE) AS m FROM commits) GROUP BY m"""
 )
+Q["partition_retention_applied"] = sql(
+    """SELECT CASE WHEN m < DATE '2000-12-01' THEN 'archive' ELSE 'commits' END AS place,
+              'commits_' || strftime(m, '%Y%m') AS partition_name, COUNT(*) AS row_count, true AS stored
+       FROM (SELECT CAST(date_trunc('month', commit_date) AS DATE) AS m FROM commits) GROUP BY m"""
+)
+Q["recommit_date_everywhere"] = sql(
+    f"""SELECT CAST(strftime(commit_date, '%Y%m') AS INTEGER) AS commit_month, commit_date, commit_id,
+               COUNT(*) AS commits, CAST(SUM(lines_of_code) AS BIGINT) AS lines
+        FROM (SELECT 'r' || repo_id AS commit_id, CASE WHEN repo_id = 1 THEN {END} ELSE commit_date END AS commit_date,
+                     lines_of_code FROM commits) GROUP BY ALL"""
+)
 Q["partition_retention"] = sql(
     """SELECT 'commits_' || strftime(m, '%Y%m') AS partition_name,
               CASE WHEN m < DATE '2000-12-01' THEN 'archived' ELSE 'kept' END AS action, COUNT(*) AS row_count

@@ -1,6 +1,7 @@
 """What the plans must look like when tables are large or keys are skewed."""
 
 import re
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,11 @@ from pyspark.sql import functions as F
 from cyclelens.domain import Domain
 from cyclelens.operators import joins
 from cyclelens.operators.facts import by_team, contributions, team_fact
-from cyclelens.plans import cross, rollups, timeline
+from cyclelens.plans import cross, rollups, stored_facts, timeline
 from tests.conftest import SF, as_set
 
+AS_OF = datetime(2024, 3, 1)
+
 
 def executed(df) -> str:
     df.write.format("noop").mode("overwrite").save()
@@ -26,19 +29,19 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_salted_join_gives_the_same_rows(star):
+def test_shuffled_join_gives_the_same_rows(star):
     facts = contributions(star)
     for how in ("inner", "left"):
-        small = joins.lookup_join(facts, star.members, "engineer_id", "issue_id", how, small=True)
-        salted = joins.lookup_join(facts, star.members, "engineer_id", "issue_id", how, small=False)
-        assert as_set(small) == as_set(salted.select(*small.columns))
+        small = joins.lookup_join(facts, star.members, "engineer_id", how, small=True)
+        shuffled = joins.lookup_join(facts, star.members, "engineer_id", how, small=False)
+        assert as_set(small) == as_set(shuffled.select(*small.columns))
 
 
-def test_salted_semi_join_gives_the_same_rows(star):
+def test_shuffled_semi_join_gives_the_same_rows(star):
     keys = star.members.where("team_id = 1").select("engineer_id")
-    small = joins.lookup_join(star.commits, keys, "engineer_id", "commit_id", "left_semi", small=True)
-    salted = joins.lookup_join(star.commits, keys, "engineer_id", "commit_id", "left_semi", small=False)
-    assert as_set(small) == as_set(salted.select(*small.columns))
+    small = joins.lookup_join(star.commits, keys, "engineer_id", "left_semi", small=True)
+    shuffled = joins.lookup_join(star.commits, keys, "engineer_id", "left_semi", small=False)
+    assert as_set(small) == as_set(shuffled.select(*small.columns))
 
 
 def test_large_lookup_is_not_broadcast(spark, star, no_broadcast):
@@ -49,17 +52,15 @@ def test_large_lookup_is_not_broadcast(spark, star, no_broadcast):
     assert as_set(rollups.team_metrics(big)) == as_set(rollups.team_metrics(star))
 
 
-def test_size_check_stops_at_the_bound(spark):
+def test_size_check_counts(spark):
     assert joins.within_rows(spark.range(10), 10) and not joins.within_rows(spark.range(11), 10)
 
 
-def test_hot_key_is_spread_over_salts(spark, star):
-    """A third of all facts on one engineer must not reach one (key, salt) group."""
-    hot = contributions(star).withColumn("engineer_id", F.when(F.col("issue_id") % 3 == 0, 1).otherwise(F.col("engineer_id")))
-    salt = F.pmod(F.xxhash64("issue_id"), F.lit(joins.SALTS))
-    spread = hot.where("engineer_id = 1").groupBy(salt.alias("s")).count()
-    total = hot.where("engineer_id = 1").count()
-    assert spread.agg(F.max("count")).first()[0] < total / 10
+def test_large_lookup_is_not_multiplied(spark, star, no_broadcast):
+    """No row of a large lookup is repeated before the shuffle."""
+    joined = joins.lookup_join(contributions(star), star.members, "engineer_id", small=False)
+    plan = executed(joined)
+    assert "explode(sequence" not in plan.lower() and "SinglePartition" not in plan
 
 
 def test_skewed_line_items_are_split_at_run_time(spark, no_broadcast, tmp_path):
@@ -98,10 +99,56 @@ def test_pairs_read_the_commits_once(star, no_broadcast):
     assert "ReusedExchange" in plan
 
 
-def test_rollups_need_no_shuffle_after_the_issue_join(star, no_broadcast):
-    """commits, orders, issues, (issue, engineer), (issue) and the final (team) shuffle; none by (issue, team)."""
-    plan = executed(team_fact(star))
-    assert "hashpartitioning(issue_id" in plan and not re.search(r"hashpartitioning\([^)]*team_id", plan)
+SKEW = {
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
+
+
+@pytest.mark.parametrize(
+    "plan_of",
+    [
+        rollups.team_metrics,
+        cross.cross_dimensional,
+        stored_facts.ai_impact_base,
+        lambda d: stored_facts.ai_impact_summary(d, AS_OF),
+        lambda d: stored_facts.summary_delta(d, stored_facts.changed_since(d, date(1999, 1, 1)), AS_OF),
+    ],
+    ids=["team_metrics", "cross_dimensional", "ai_impact_base", "ai_impact_summary", "summary_delta"],
+)
+def test_a_hot_issue_is_split(spark, no_broadcast, plan_of):
+    """A third of the commits, by very many engineers, on one issue: its join is split, and results do not change."""
+    star = Domain.from_star(spark, SF)
+    people = spark.range(1, 30_001)
+    engineers = people.select("id", F.lit("E").alias("name"))
+    hot = people.select(
+        F.concat(F.lit("h"), F.col("id").cast("string")).alias("commit_id"),
+        F.col("id").alias("engineer_id"),
+        F.lit(8).cast("long").alias("jira_issue_id"),
+        F.lit(1).cast("long").alias("repo_id"),
+        F.lit(date(2000, 1, 1)).alias("commit_date"),
+        F.lit(True).alias("ai_used"),
+        F.lit(1).alias("lines_of_code"),
+    )
+    issues = star.jira_issues.withColumn("resolution_date", F.coalesce("resolution_date", F.lit(date(2001, 1, 1))))
+    commits = star.commits.unionByName(hot.select(star.commits.columns))
+    crowd = star.having(commits=commits, jira_issues=issues, engineers=engineers)
+    crowd.__dict__["members_are_few"] = True
+    whole = as_set(plan_of(crowd))
+    before = {k: spark.conf.get(k) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
+    try:
+        plan = executed(plan_of(crowd))
+        split = as_set(plan_of(crowd))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "skew=true" in plan
+    assert split == whole
 
 
 def test_top_k_is_limited_before_the_shuffle(spark, star):

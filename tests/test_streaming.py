@@ -49,9 +49,9 @@ def test_a_repeated_batch_changes_nothing(spark, small):
     store = TableStore(spark, work_dir(spark, "repeat"))
     first = small.commits.where("commit_date <= DATE '2024-01-05'")
     second = small.commits.where("commit_date > DATE '2024-01-05'")
-    streams._absorb(small, store, first, 0)
-    once = as_set(streams._absorb(small, store, second, 1)[1])
-    assert once == as_set(streams._absorb(small, store, second, 1)[1])
+    streams._absorb(small, store, "repeat", None, first, 0)
+    once = as_set(streams._absorb(small, store, "repeat", None, second, 1)[1])
+    assert once == as_set(streams._absorb(small, store, "repeat", None, second, 1)[1])
     from cyclelens.operators.facts import engineer_rollup
 
     assert once == as_set(engineer_rollup(small))
@@ -102,3 +102,35 @@ def test_changed_team_is_refreshed(spark, small):
     after = small.having(teams=grown)
     tables = streams.changed_tables_refresh(after, store, AS_OF, teams_before=small.teams)
     assert as_set(tables["team"].drop("last_calculated")) == as_set(refresh.metric_rows(after, "team"))
+
+
+def test_a_stream_goes_on_from_stored_tables(spark, small):
+    """Tables made from the first commits, a stream of the last: the same as from all of them; no history is lost."""
+    folder = work_dir(spark, "stream")
+    store = TableStore(spark, f"{folder}/store")
+    early = small.having(commits=small.commits.where(F.col("commit_date") <= DAYS[1][1]))
+    refresh.refresh_all(early, store, datetime(2024, 2, 1))
+    store.replace("ai_impact_summary", stored_facts.ai_impact_summary(early, datetime(2024, 2, 1)))
+    rollup = store.read("engineer_rollup").collect()
+    _arrive(small, f"{folder}/in", DAYS[2])
+    for run, mark in ((streams.affected_refresh, "a"), (streams.incremental_summary, "b")):
+        stream = streams.commit_stream(spark, f"{folder}/in", files_per_batch=1)
+        run(stream, small, store, f"{folder}/checkpoint-{mark}", AS_OF, history=early.commits).awaitTermination()
+    # Both streams, and the batch refresh, keep their own state.
+    assert store.read("engineer_rollup").collect() == rollup
+    for dimension in refresh.REFRESHED:
+        stored = store.read(refresh.table_name(dimension)).drop("last_calculated")
+        assert as_set(stored) == as_set(refresh.metric_rows(small, dimension).select(stored.columns))
+    whole = stored_facts.ai_impact_summary(small, AS_OF).drop("last_updated")
+    assert as_set(store.read("ai_impact_summary").drop("last_updated")) == as_set(whole)
+
+
+def test_a_stream_does_not_start_blind(spark, small):
+    import pytest
+
+    folder = work_dir(spark, "stream")
+    store = TableStore(spark, f"{folder}/store")
+    refresh.refresh_all(small, store, AS_OF)
+    _arrive(small, f"{folder}/in", DAYS[0])
+    with pytest.raises(ValueError, match="history"):
+        streams.affected_refresh(streams.commit_stream(spark, f"{folder}/in"), small, store, f"{folder}/c", AS_OF)
