@@ -208,3 +208,19 @@ def fetched(archive: DataFrame, record_ids: DataFrame) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page, as read back from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     return records(archived(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
+), d AS (
+  SELECT *, CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS bits FROM p
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, CAST(5 * k + j + 1 AS BIGINT), 1) AS INTEGER) * (16 >> CAST(j AS INTEGER))))::BIGINT, 1)), '')
+           AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+"""
