@@ -31,6 +31,8 @@ HEADLINE = (
     "ai_impact_summary",
     "ai_impact_incremental",
     "cycle_time_summary",
+    "refresh_all_metrics",
+    "stream_on_stored_summary",
 )
 
 

@@ -477,6 +477,24 @@ def csv_rejects(d: Domain) -> DataFrame:
     return csv_source.ingest(d.spark, path, "commits").rejected
 
 
+@_query()
+def csv_folder_mixed_headers(d: Domain) -> DataFrame:
+    """Projects from two exports whose files order their columns differently."""
+    folder = f"{work_dir(d.spark, 'csv_folder')}/projects"
+    odd = F.col("project_id") % 2 == 1
+    for part, columns in ((d.projects.where(odd), ("project_id", "project_name")), (d.projects.where(~odd), ("project_name", "project_id"))):
+        part.select(*columns).write.mode("append").options(header="true").csv(folder)
+    return csv_source.ingest(d.spark, folder, "projects").accepted
+
+
+@_query()
+def csv_reject_count(d: Domain) -> DataFrame:
+    path = f"{work_dir(d.spark, 'csv_reject_count')}/commits.csv"
+    _commit_lines(d).write.options(header="true", sep="\u0001").csv(path)
+    found = csv_source.ingest(d.spark, path, "commits")
+    return d.spark.range(1).select(F.lit(found.rejected.count()).cast("bigint").alias("rejected"), F.lit(found.accepted.count()).cast("bigint").alias("accepted"))
+
+
 @_query()
 def seed_all(d: Domain) -> DataFrame:
     folder = work_dir(d.spark, "seed_all")

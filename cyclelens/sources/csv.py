@@ -15,7 +15,7 @@ from cyclelens.functions.scalars import blank_to_null, leading_int, true_flag
 
 BAD_LINE = "_bad_line"
 # Doubled quotes inside a quoted field stand for one quote, as in RFC 4180.
-FORMAT = {"header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+FORMAT = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
 @dataclass(frozen=True)
@@ -63,19 +63,39 @@ def typed_projection(raw: DataFrame, table: str, mode: str = "strict") -> DataFr
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, named by the file's header, plus the line itself where its column count is wrong."""
+    """All columns as text, named by each file's own header, plus the line itself where its column count is wrong.
+
+    Files of a folder may order their columns differently or leave some out; what a file lacks is NULL. A line that repeats its
+    file's header is a header.
+    """
     if not path or not isinstance(path, str):
         raise ValueError("Invalid file path")
     try:
-        first = spark.read.text(path).first()
+        lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
     except AnalysisException as error:
         raise FileNotFoundError(f"File not found: {path}") from error
-    if first is None:
+    lines = lines.where(F.trim("value") != "")
+    # A file's beginning is read by one task, in order, so the first line that it sees is the header.
+    headers = lines.where("_at = 0").groupBy("_file").agg(F.first("value").alias("_header"))
+    kinds = sorted(r[0] for r in headers.select("_header").distinct().collect())
+    if not kinds:
         raise ValueError(f"Empty file: {path}")
-    header = next(csv.reader([first[0]]))
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*header, BAD_LINE]])
-    # Without column pruning every line is split in full, so a wrong column count is noticed whatever is selected.
-    return spark.read.options(**FORMAT, columnNameOfCorruptRecord=BAD_LINE, columnPruning="false").schema(schema).csv(path)
+    names = {kind: next(csv.reader([kind])) for kind in kinds}
+    columns = list(dict.fromkeys(n for kind in kinds for n in names[kind]))
+    if len(kinds) > 1:
+        lines = lines.join(headers, "_file")
+    out = None
+    for kind in kinds:
+        own, line = lines.where(F.col("value") != kind), F.col("value")
+        if len(kinds) > 1:
+            # What is parsed depends on the header too, so that no check of it is moved to where other files' lines are.
+            own, line = own.where(F.col("_header") == kind), F.when(F.col("_header") == kind, F.col("value"))
+        schema = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in [*names[kind], BAD_LINE])
+        parsed = own.select(F.from_csv(line, schema, FORMAT | {"columnNameOfCorruptRecord": BAD_LINE}).alias("r"))
+        field = lambda n, of=names[kind]: F.col("r").getField(n) if n in of else F.lit(None).cast("string")
+        rows = parsed.select(*[field(n).alias(n) for n in columns], F.col("r").getField(BAD_LINE).alias(BAD_LINE))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def ingest(spark: SparkSession, path: str, table: str, mode: str = "strict") -> Ingested:
@@ -84,8 +104,7 @@ def ingest(spark: SparkSession, path: str, table: str, mode: str = "strict") ->
         raise ValueError(f"Unknown model: {table}")
     raw = read_raw(spark, path)
     well_formed = raw.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
-    # Spark refuses to read the bad-line column alone, so another column is named as a fallback that never applies.
-    rejected = raw.where(F.col(BAD_LINE).isNotNull()).select(F.coalesce(BAD_LINE, raw.columns[0]).alias("line"))
+    rejected = raw.where(F.col(BAD_LINE).isNotNull()).select(F.col(BAD_LINE).alias("line"))
     typed = typed_projection(well_formed, table, mode)
     if mode == "strict":
         return Ingested(table, typed, rejected, typed.limit(0))
@@ -104,7 +123,7 @@ def load_metrics(judged: DataFrame, table: str) -> DataFrame:
 def bulk_read(spark: SparkSession, path: str, table: str) -> DataFrame:
     """The whole file or nothing: any line that does not fit the table's schema fails the job."""
     schema = schemas.SCHEMAS[table]
-    options = FORMAT | {"mode": "FAILFAST", "enforceSchema": "false"}
+    options = FORMAT | {"header": "true", "mode": "FAILFAST", "enforceSchema": "false"}
     return spark.read.options(**options).schema(schema).csv(path)
 
 

@@ -677,6 +677,10 @@ Q["dashboard_bundle"] = sql(
 # -- sources and quality
 Q["csv_ingest"] = sql("SELECT * FROM teams")
 Q["csv_ingest_commits"] = sql("SELECT * FROM commits")
+Q["csv_folder_mixed_headers"] = sql("SELECT project_id, project_name FROM projects")
+Q["csv_reject_count"] = sql(
+    "SELECT COUNT(CASE WHEN ai_used THEN 1 END) AS rejected, COUNT(CASE WHEN NOT ai_used THEN 1 END) AS accepted FROM commits"
+)
 Q["csv_rejects"] = sql(
     """SELECT concat_ws(',', commit_id, engineer_id, jira_issue_id, repo_id, commit_date, ai_used) AS line
        FROM commits WHERE ai_used"""

@@ -253,3 +253,11 @@ def test_month_filter_prunes_folders(spark, small, tmp_path):
     partitions.write_by_month(small.commits, path)
     one = partitions.read_by_month(spark, path).where("commit_month = 202402")
     assert "PartitionFilters: [isnotnull(commit_month" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_file_goes_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("project_id,project_name\n1,One\n2,20\n")
+    (tmp_path / "b.csv").write_text("project_name,project_id\nThree,3\n20,4\nbad\n")
+    found = csv.ingest(spark, str(tmp_path), "projects")
+    assert sorted((r.project_id, r.project_name) for r in found.accepted.collect()) == [(1, "One"), (2, "20"), (3, "Three"), (4, "20")]
+    assert found.rejected.count() == 1 and [r.line for r in found.rejected.collect()] == ["bad"]
