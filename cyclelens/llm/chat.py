@@ -1,8 +1,8 @@
 """Tool calls of conversations: linked with their results, checked against schemas, put in order and written as canonical JSON.
 
 All in DataFrame functions. Calls and results are hash-joined by identifier. A call that refers to another one's result (an argument
-{"$ref": "<call id>"}) comes after it: calls are peeled off round by round once all they refer to is placed. Arguments are parsed to
-variants, whose objects hold their keys in order, so that writing them gives one text for one value.
+{"$ref": "<call id>"}) comes after it: chains of references are walked by doubling, and where several meet, calls are placed once all they
+refer to is. Arguments are parsed to variants, whose objects hold their keys in order, so that writing them gives one text for one value.
 """
 
 from __future__ import annotations
@@ -73,33 +73,60 @@ def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level, time) of calls (call_id, turn, arguments): a call's level is 2 more than the highest level it refers to, or 0.
 
     Its time is its turn, or the latest time that it refers to if that is later. References to calls that do not exist count for nothing;
-    calls on a cycle, or behind one, get level -1 and their own turn. There are as many rounds as the longest chain has calls, each over
-    the calls that are ready.
+    calls on a cycle, or behind one, get level -1 and their own turn. Chains of calls with one reference each, which may be as long as a
+    conversation, are walked by doubling steps, so their rounds grow with the logarithm of the length. Calls with several references
+    are then peeled off once all they refer to is placed, in as many rounds as such calls follow one another.
     """
     refs = F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(r'"\$ref":"([^"\\]+)"'), F.lit(1))))
     nodes = calls.select("call_id", "turn")
     edges = calls.select(F.col("call_id").alias("to"), refs.alias("from"))
     edges = written(edges.join(nodes.select(F.col("call_id").alias("from")), "from", "left_semi"), "chat-references")
-    waiting = edges.select(F.col("to").alias("call_id")).distinct()
-    placed = written(nodes.join(waiting, "call_id", "left_anti").select("call_id", F.lit(0).alias("level"), F.col("turn").alias("time")), "chat-level")
-    ready, done = placed, [placed]
-    # An edge is open until the call it comes from is placed; a call is ready when its last open edge closes.
-    open_edges = edges.withColumn("level", F.lit(None).cast("int")).withColumn("time", F.lit(None).cast("long"))
+    counted = written(edges.groupBy("to").agg(F.count("*").alias("n"), F.min("from").alias("from")), "chat-reference-counts")
+    placed = nodes.join(counted.select(F.col("to").alias("call_id")), "call_id", "left_anti")
+    placed = written(placed.select("call_id", F.lit(0).cast("long").alias("level"), F.col("turn").alias("time")), "chat-level")
+    jumps = _jumps(counted.where("n = 1"), nodes)
+    several = edges.join(counted.where("n > 1").select("to"), "to", "left_semi")
+    # A reference is followed to the end of its chain; an edge is open until the call there is placed.
+    ends = jumps.select(F.col("id").alias("from"), F.col("ancestor").alias("end"), "steps", "latest")
+    open_edges = several.join(ends, "from", "left").select("to", F.coalesce("end", "from").alias("from"), F.coalesce("steps", F.lit(0)).alias("steps"), "latest")
+    open_edges = written(open_edges.withColumn("level", F.lit(None).cast("long")).withColumn("time", F.lit(None).cast("long")), "chat-open")
+    ready, done = placed, placed
     while not open_edges.isEmpty() and not ready.isEmpty():
         at = ready.select(F.col("call_id").alias("from"), F.col("level").alias("new_level"), F.col("time").alias("new_time"))
-        marked = open_edges.join(at, "from", "left")
-        marked = written(marked.select("from", "to", F.coalesce("level", "new_level").alias("level"), F.coalesce("time", "new_time").alias("time")), "chat-edges")
+        level = F.coalesce("level", F.col("new_level") + 2 * F.col("steps")).alias("level")
+        time = F.coalesce("time", F.greatest("new_time", F.when(F.col("new_time").isNotNull(), F.col("latest")))).alias("time")
+        marked = written(open_edges.join(at, "from", "left").select("to", "from", "steps", "latest", level, time), "chat-edges")
         closed = marked.groupBy("to").agg(F.count_if(F.col("level").isNull()).alias("open"), F.max("level").alias("level"), F.max("time").alias("time")).where("open = 0")
         ready = closed.select(F.col("to").alias("call_id"), (F.col("level") + 2).alias("level"), "time").join(nodes, "call_id")
         ready = written(ready.select("call_id", "level", F.greatest("time", "turn").alias("time")), "chat-level")
         open_edges = written(marked.join(ready.select(F.col("call_id").alias("to")), "to", "left_anti"), "chat-open")
-        done.append(ready)
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
-    out = written(out, "chat-levels")
-    stuck = nodes.join(out.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(-1).alias("level"), F.col("turn").alias("time"))
-    return out.union(stuck)
+        done = done.union(ready)
+    done = done.select(F.col("call_id").alias("end"), F.col("level").alias("end_level"), F.col("time").alias("end_time"))
+    chained = jumps.join(done, jumps["ancestor"] == done["end"]).select(
+        F.col("id").alias("call_id"), (F.col("end_level") + 2 * F.col("steps")).alias("level"), F.greatest("end_time", "latest").alias("time")
+    )
+    out = written(done.toDF("call_id", "level", "time").union(chained), "chat-levels")
+    stuck = nodes.join(out.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(-1).cast("long").alias("level"), F.col("turn").alias("time"))
+    return out.union(stuck).withColumn("level", F.col("level").cast("int"))
+
+
+def _jumps(single: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, ancestor, steps, latest) of calls with one reference (to, from): the first call up the chain that has none or several, the steps
+    to it, and the latest turn on the way. Calls that run into a cycle keep an ancestor with one reference."""
+    first = single.join(nodes, single["to"] == nodes["call_id"])
+    jumps = written(first.select(F.col("to").alias("id"), F.col("from").alias("ancestor"), F.lit(1).cast("long").alias("steps"), F.col("turn").alias("latest")), "chat-jumps")
+    for _ in range(jumps.count().bit_length() + 1):
+        on = jumps.toDF("on_id", "on_ancestor", "on_steps", "on_latest")
+        moved = jumps.join(on, jumps["ancestor"] == on["on_id"], "left")
+        if moved.where("on_id is not null").isEmpty():
+            break
+        jumps = written(
+            moved.select(
+                "id", F.coalesce("on_ancestor", "ancestor").alias("ancestor"), (F.col("steps") + F.coalesce("on_steps", F.lit(0))).alias("steps"), F.greatest("latest", "on_latest").alias("latest")
+            ),
+            "chat-jumps",
+        )
+    return jumps
 
 
 def formatted(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

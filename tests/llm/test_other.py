@@ -61,6 +61,21 @@ def test_calls_are_linked_checked_and_ordered(spark):
     assert all(list(json.loads(r.json)) == sorted(json.loads(r.json)) for r in rows)
 
 
+def test_levels_of_chains_and_meetings(spark):
+    """A long chain, calls that refer to its ends and middle, and a tail behind them; turns run against the order here and there."""
+    refs = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(40)}
+    refs |= {"m": ["c39", "c10", "r"], "r": [], "t": ["m"], "u": ["t", "c5"], "x": ["y"], "y": ["x"], "z": ["x", "r"]}
+    turns = {c: (7 * k) % 50 for k, c in enumerate(refs)}
+    rows = [(c, turns[c], "{" + ",".join(f'"p{k}":{{"$ref":"{r}"}}' for k, r in enumerate(of)) + "}") for c, of in refs.items()]
+    got = {r.call_id: (r.level, r.time) for r in chat.levels(spark.createDataFrame(rows, "call_id string, turn long, arguments string")).collect()}
+
+    def expected(c):
+        parts = [expected(r) for r in refs[c]]
+        return max((p[0] + 2 for p in parts), default=0), max([turns[c], *(p[1] for p in parts)])
+
+    assert got == {c: (-1, turns[c]) if c in "xyz" else expected(c) for c in refs}
+
+
 def test_no_calls(spark):
     calls, results, schemas = call_rows(spark)
     assert chat.formatted(calls.limit(0), results.limit(0), schemas.limit(0)).count() == 0
