@@ -3,6 +3,8 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from cyclelens.catalog import QUERIES
+from oracles import ORACLES
 from tests.compare import connect, differences
 from tests.conftest import SF
 
@@ -13,12 +15,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    assert differences(spark, con, name, SF, queries(), oracle_sql()) is None
+    assert differences(spark, con, name, SF, QUERIES, ORACLES) is None
 
 
 def test_entry(spark):
