@@ -103,8 +103,23 @@ def test_near_groups(spark, monkeypatch):
     assert Counter(map(tuple, near_dedup.near_duplicates(documents(spark, rows)).collect())) == near_brute(rows)
 
 
-def test_near_groups_in_small_blocks(monkeypatch):
-    """Blocks that give only their likeliest pairs at first lose no link; run on the functions that tasks run."""
+def test_near_groups_of_open_blocks(spark, monkeypatch):
+    """The same groups when every block has too many survivors, and is searched again with its whole sets."""
+    monkeypatch.setattr(near_dedup, "_across", open_blocks)
+    rows = near_rows()
+    assert Counter(map(tuple, near_dedup.near_duplicates(documents(spark, rows)).collect())) == near_brute(rows)
+
+
+def open_blocks(batches):
+    """Gives no survivor and leaves all blocks open."""
+    import pyarrow as pa
+
+    for rows in near_dedup._contiguous(batches, ["bucket", "left", "right"]):
+        bucket = rows.column("bucket")[0].as_py()
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, None, bucket)], names=["a", "b", "open"])
+
+
+def test_a_block_gives_its_likeliest_or_its_links(monkeypatch):
     import numpy as np
     import pyarrow as pa
 
@@ -117,15 +132,24 @@ def test_near_groups_in_small_blocks(monkeypatch):
             pa.array(np.full(n, 5)), pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n)), pa.array(np.full(n, -1)), pa.array(np.arange(n)),
             pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)),
             pa.array([near_dedup.signature(s).tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets]),
+            pa.array([s.tobytes() for s in sets], pa.binary()),
         ],
-        names=["bucket", "band", "node", "pivot", "label", "block", "left", "right", "signature", "n_shingles"],
+        names=["bucket", "band", "node", "pivot", "label", "block", "left", "right", "signature", "n_shingles", "shingles"],
     )
-    few, every = (pa.Table.from_batches(near_dedup._across(iter([rows]), whole)).to_pylist() for whole in (False, True))
-    assert [r["open"] for r in few if r["open"] is not None] == [5]
-    assert {(r["a"], r["b"]) for r in few if r["a"] is not None} < {(r["a"], r["b"]) for r in every}
-    assert len(few) - 1 <= 2 * n and all(r["open"] is None for r in every)
-    linked = {(a, b) for a in range(n) for b in range(a + 1, n) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
-    assert linked <= {(r["a"], r["b"]) for r in every}
+    few = pa.Table.from_batches(near_dedup._across(iter([rows]))).to_pylist()
+    assert [r["open"] for r in few if r["open"] is not None] == [5] and len(few) - 1 <= 2 * n
+    links = {(a, b) for a in range(n) for b in range(a + 1, n) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    given = {(r["a"], r["b"]) for r in pa.Table.from_batches(near_dedup._linked(iter([rows]))).to_pylist()}
+    assert given <= links and len(given) < n
+
+    def groups(pairs):
+        root = list(range(n))
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    assert groups(given) == groups(links)
 
 
 def test_signatures_estimate_similarity():
