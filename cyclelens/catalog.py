@@ -541,6 +541,38 @@ _query("fk_orphans")(quality.fk_orphans)
 _query("null_violations")(quality.null_violations)
 
 
+@_query()
+def pk_duplicates_found(d: Domain) -> DataFrame:
+    """Tables in which some projects and the commits of some repositories come twice."""
+    projects = d.projects.unionByName(d.projects.where("project_id <= 3"))
+    return quality.pk_duplicates(d.having(projects=projects, commits=d.commits.unionByName(d.commits.where("repo_id % 7 = 0"))))
+
+
+@_query()
+def fk_orphans_found(d: Domain) -> DataFrame:
+    """Tables that lack every tenth engineer, every ninth repository and project 5."""
+    return quality.fk_orphans(
+        d.having(engineers=d.engineers.where("id % 10 <> 0"), repositories=d.repositories.where("repo_id % 9 <> 0"), projects=d.projects.where("project_id <> 5"))
+    )
+
+
+@_query()
+def null_violations_found(d: Domain) -> DataFrame:
+    """Commits without engineer and issues without project here and there."""
+    commits = d.commits.withColumn("engineer_id", F.when(F.col("repo_id") % 11 != 0, F.col("engineer_id")))
+    issues = d.jira_issues.withColumn("project_id", F.when(F.col("issue_id") % 13 != 0, F.col("project_id")))
+    return quality.null_violations(d.having(commits=commits, jira_issues=issues))
+
+
+@_query()
+def metrics_validation_failed(d: Domain) -> DataFrame:
+    """Documents of engineers of which some lack their metrics."""
+    kept = F.when(F.col("engineer_id") % 3 != 0, F.struct(*SUMMARY))
+    document = F.to_json(F.struct(F.col("engineer_id").alias("engineerId"), F.col("engineer_name").alias("engineerName"), kept.alias("metrics")))
+    documents = rollups.engineer_metrics(d).select(document.alias("document"))
+    return quality.metrics_validation(documents, "document", ("engineerId", "engineerName", "metrics"))
+
+
 @_query()
 def metrics_validation(d: Domain) -> DataFrame:
     document = F.to_json(

@@ -743,6 +743,10 @@ Q["fk_orphans"] = sql(
         )
     )
 )
+NULLED = {
+    ("commits", "engineer_id"): "CASE WHEN repo_id % 11 <> 0 THEN engineer_id END",
+    ("jira_issues", "project_id"): "CASE WHEN issue_id % 13 <> 0 THEN project_id END",
+}
 REQUIRED = {
     "engineers": "id name",
     "teams": "team_id team_name engineer_ids",
@@ -758,6 +762,33 @@ Q["null_violations"] = sql(
         for c in cs.split()
     )
 )
+Q["pk_duplicates_found"] = sql(
+    """SELECT 'projects' AS table_name, CAST(project_id AS VARCHAR) AS key, CAST(2 AS BIGINT) AS copies FROM projects WHERE project_id <= 3
+       UNION ALL SELECT 'commits', commit_id || '|' || CAST(commit_date AS VARCHAR), SUM(CASE WHEN repo_id % 7 = 0 THEN 2 ELSE 1 END)::BIGINT
+       FROM commits GROUP BY commit_id, commit_date HAVING SUM(CASE WHEN repo_id % 7 = 0 THEN 2 ELSE 1 END) > 1"""
+)
+Q["fk_orphans_found"] = sql(
+    """SELECT 'repositories.project_id->projects.project_id' AS edge, COUNT(*) AS n_orphans FROM repositories
+       WHERE repo_id % 9 <> 0 AND project_id = 5
+       UNION ALL SELECT 'jira_issues.project_id->projects.project_id', COUNT(*) FROM jira_issues WHERE project_id = 5
+       UNION ALL SELECT 'jira_issues.author_id->engineers.id', COUNT(*) FROM jira_issues
+       WHERE author_id NOT IN (SELECT id FROM engineers WHERE id % 10 <> 0)
+       UNION ALL SELECT 'commits.engineer_id->engineers.id', COUNT(*) FROM commits WHERE engineer_id % 10 = 0
+       UNION ALL SELECT 'commits.jira_issue_id->jira_issues.issue_id', COUNT(*) FROM commits
+       WHERE jira_issue_id NOT IN (SELECT issue_id FROM jira_issues)
+       UNION ALL SELECT 'commits.repo_id->repositories.repo_id', COUNT(*) FROM commits WHERE repo_id % 9 = 0"""
+)
+Q["null_violations_found"] = sql(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) - COUNT({NULLED.get((t, c), c)}) AS nulls FROM {t}"
+        for t, cs in REQUIRED.items()
+        for c in cs.split()
+    )
+)
+Q["metrics_validation_failed"] = sql(
+    """SELECT COUNT(CASE WHEN id % 3 = 0 THEN 1 END) = 0 AS ok,
+              CASE WHEN COUNT(CASE WHEN id % 3 = 0 THEN 1 END) > 0 THEN 'Missing required JSON keys' ELSE '' END AS message FROM engineers"""
+)
 Q["metrics_validation"] = sql(
     """SELECT COUNT(*) > 0 AS ok, CASE WHEN COUNT(*) > 0 THEN '' ELSE 'No metrics retrieved' END AS message
        FROM engineers"""
