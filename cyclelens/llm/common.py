@@ -27,6 +27,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows that one task takes.
+TASK_ROWS = 100_000
+
+
+def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, known to have at most `rows` narrow rows, in as many tasks as these need: many small rounds do not wait for empty tasks."""
+    return df.coalesce(rows // TASK_ROWS + 1)
+
+
 def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """`df.mapInArrow`, after this package has been sent to the executors as a job's Python file (once for each context)."""
     context = df.sparkSession.sparkContext

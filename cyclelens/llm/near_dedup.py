@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclelens.llm.common import mapped, picked, table, without, written
+from cyclelens.llm.common import in_few_tasks, mapped, picked, table, without, written
 from cyclelens.llm.components import components
 from cyclelens.llm.words import mixed, shingle_set, texts_as_words
 
@@ -28,8 +28,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Signature positions compared at a time, and the posterior probability of a link below which a pair is given up.
 BATCH, MISS = 16, 1e-6
-#: Nodes on either side of one comparison block.
-BLOCK = 256
+#: Nodes on either side of one comparison block, about.
+BLOCK = 1024
 
 _RNG = np.random.Generator(np.random.PCG64(9))
 _MULTIPLY = _RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -67,15 +67,15 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> tuple[int, ...]
     return tuple(out)
 
 
-def surviving(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which rows of the signature arrays x and y are not ruled out, batch by batch."""
+def surviving(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of the signature arrays x and y are not ruled out, batch by batch, and in how many positions these agree."""
     at, equal = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
     for k, least in enumerate(least_matches()):
         part = slice(k * BATCH, (k + 1) * BATCH)
         equal = equal + (x[at, part] == y[at, part]).sum(axis=1)
         on = equal >= least
         at, equal = at[on], equal[on]
-    return at
+    return at, equal
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            keep = surviving(_matrix(batch.column(2)), _matrix(batch.column(3)))
+            keep, _ = surviving(_matrix(batch.column(2)), _matrix(batch.column(3)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["a", "b"])
 
 
@@ -140,7 +140,8 @@ def _like_size(x: str, y: str) -> str:
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) that are links by their whole sets. Only texts of documents in a pair are moved."""
     pairs = written(pairs, "near-survivors")
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-survivor-ids")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = written(in_few_tasks(ids, 2 * pairs.count()), "near-survivor-ids")
     texts = picked(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ids, "id")
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -168,36 +169,88 @@ def _contiguous(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
         yield kept
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Survivors among the pairs of one block that lie in different components.
+#: Survivors that one block gives for each of its nodes; a block with more gives each node's likeliest alone and stays open.
+AT_ONCE = 1
+
+
+def _survivors(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one block, in different components, that neither sizes nor signatures rule out, and their equal positions.
 
     A pair that several bands bring together is compared in the first of them alone; pairs with the bucket's pivot have been before.
     """
-    out_a, out_b = [], []
+    node, label, size, block = (rows.column(c).to_numpy() for c in ("node", "label", "n_shingles", "block"))
+    band, pivot, left, right = (rows.column(c)[0].as_py() for c in ("band", "pivot", "left", "right"))
+    x, y = (np.flatnonzero(block == left), np.flatnonzero(block == right))
+    sig = np.concatenate([_matrix(c) for c in rows.column("signature").chunks])
+    i, j = (m.ravel() for m in np.meshgrid(x, y, indexing="ij"))
+    ok = (label[i] != label[j]) & (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j]))
+    ok &= (node[i] != pivot) & (node[j] != pivot) & ((left != right) | (node[i] < node[j]))
+    i, j = i[ok], j[ok]
+    found = [(np.zeros(0, np.int64),) * 3]
+    for k in range(0, len(i), 8192):
+        p, q = i[k : k + 8192], j[k : k + 8192]
+        if band:
+            early = (sig[p, : band * ROWS] == sig[q, : band * ROWS]).reshape(len(p), band, ROWS).all(axis=2).any(axis=1)
+            p, q = p[~early], q[~early]
+        on, equal = surviving(sig[p], sig[q])
+        found.append((p[on], q[on], equal))
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Survivors (a, b) of each block, and the buckets (open) that have more."""
+    out: tuple[list, list, list] = ([], [], [])
     for rows in _contiguous(batches, ["bucket", "left", "right"]):
-        n = rows.num_rows
-        if n < 2:
+        if rows.num_rows < 2:
             continue
-        node, label, size, block = (rows.column(c).to_numpy() for c in ("node", "label", "n_shingles", "block"))
-        band, pivot, left, right = (rows.column(c)[0].as_py() for c in ("band", "pivot", "left", "right"))
-        x, y = (np.flatnonzero(block == left), np.flatnonzero(block == right))
-        sig = np.concatenate([_matrix(c) for c in rows.column("signature").chunks])
-        i, j = (m.ravel() for m in np.meshgrid(x, y, indexing="ij"))
-        ok = (label[i] != label[j]) & (100 * np.minimum(size[i], size[j]) >= PERCENT * np.maximum(size[i], size[j]))
-        ok &= (node[i] != pivot) & (node[j] != pivot) & ((left != right) | (node[i] < node[j]))
-        i, j = i[ok], j[ok]
-        for k in range(0, len(i), 8192):
-            p, q = i[k : k + 8192], j[k : k + 8192]
-            if band:
-                early = (sig[p, : band * ROWS] == sig[q, : band * ROWS]).reshape(len(p), band, ROWS).all(axis=2).any(axis=1)
-                p, q = p[~early], q[~early]
-            on = surviving(sig[p], sig[q])
-            out_a += node[p[on]].tolist()
-            out_b += node[q[on]].tolist()
-        if len(out_a) >= 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-            out_a, out_b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+        node = rows.column("node").to_numpy()
+        p, q, equal = _survivors(rows)
+        if len(p) > AT_ONCE * rows.num_rows:
+            likeliest = np.zeros(len(p), dtype=bool)
+            for side in (p, q):
+                order = np.lexsort((-equal, side))
+                likeliest[order[np.append(True, side[order][1:] != side[order][:-1])]] = True
+            p, q = p[likeliest], q[likeliest]
+            out[0].append(None), out[1].append(None), out[2].append(rows.column("bucket")[0].as_py())
+        out[0].extend(node[p].tolist()), out[1].extend(node[q].tolist()), out[2].extend([None] * len(p))
+        if len(out[0]) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b", "open"])
+            out = ([], [], [])
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b", "open"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of each block whose rows bring their whole sets: survivors are verified from the likeliest on, and those whose nodes
+    an earlier link of the block has joined are passed over, so that a block gives fewer links than it has rows."""
+    for rows in _contiguous(batches, ["bucket", "left", "right"]):
+        if rows.num_rows < 2:
+            continue
+        node, label = rows.column("node").to_numpy(), rows.column("label").to_numpy()
+        sets = [np.frombuffer(s.as_py(), np.uint64) for s in rows.column("shingles")]
+        root: dict[int, int] = {}
+
+        def find(x: int, root=root) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        p, q, equal = _survivors(rows)
+        out: list[tuple[int, int]] = []
+        for k in np.argsort(-equal, kind="stable"):
+            x, y = find(label[p[k]]), find(label[q[k]])
+            if x != y:
+                a, b = sets[p[k]], sets[q[k]]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= PERCENT * (len(a) + len(b) - both):
+                    root[max(x, y)] = min(x, y)
+                    out.append((node[p[k]], node[q[k]]))
+        yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], pa.int64()) for n in (0, 1)], names=["a", "b"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(h, SHINGLE).tobytes() for h in texts_as_words(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["of", "shingles"])
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -216,8 +269,11 @@ def _pruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return mapped(joined.select("a", "b", "sig_a", "sig_b"), _prune, "a long, b long")
 
 
-def _remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Survivors among the pairs that share a bucket but no component and are not with the bucket's pivot."""
+def _blocks(members: DataFrame, labels: DataFrame, columns: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, dealt to blocks of bounded size, each pair of blocks one after another.
+
+    `columns` has a row of further columns for each node (of, ...).
+    """
     named = members.join(labels, members["node"] == labels["of"], "left").select("bucket", "band", "node", "pivot", F.coalesce("label", "node").alias("label"))
     named = written(named, "near-labelled")
     split = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
@@ -225,9 +281,42 @@ def _remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataF
     held = named.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("bucket", "band", "node", "pivot", "label", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    held = held.join(nodes.select("node", "signature", "n_shingles"), "node")
-    placed = held.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
-    return mapped(placed, _across, "a long, b long").distinct()
+    held = held.join(columns, held["node"] == columns["of"]).drop("of")
+    return held.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (of, label) of nodes, with the components that `links` (a, b) join as one."""
+    side = lambda c: F.coalesce(F.col(f"label_{c}"), F.col(c)).alias(c)
+    lifted = links.join(labels.toDF("of_a", "label_a"), F.col("a") == F.col("of_a"), "left").join(labels.toDF("of_b", "label_b"), F.col("b") == F.col("of_b"), "left")
+    joined = components(lifted.select(side("a"), side("b"))).toDF("was", "root")
+    known = labels.union(joined.join(labels, joined["was"] == labels["of"], "left_anti").select("was", "was"))
+    again = joined.toDF("had", "now")
+    return written(known.join(again, known["label"] == again["had"], "left").select("of", F.coalesce("now", "label").alias("label")), "near-labels")
+
+
+def _grouped(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(of, label): the component of every node that is linked with another.
+
+    After the stars, each bucket's blocks are searched. A block with few survivors gives them all; one with many, as among thousands of
+    copies of a text, gives the likeliest first, which leaves few components, and then is searched once more with its whole sets at hand.
+    """
+    members = _buckets(nodes)
+    stars = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    none = nodes.sparkSession.createDataFrame([], "of long, label long")
+    labels = _merged(none, verified(_pruned(stars, nodes), docs, id_col, text_col))
+    signed = nodes.select(F.col("node").alias("of"), "signature", "n_shingles")
+    found = written(mapped(_blocks(members, labels, signed), _across, "a long, b long, open long"), "near-across")
+    labels = _merged(labels, verified(found.where("a is not null").select("a", "b").distinct(), docs, id_col, text_col))
+    still = written(found.where("open is not null").select(F.col("open").alias("still")).distinct(), "near-open")
+    if still.isEmpty():
+        return labels
+    members = written(members.join(still, members["bucket"] == still["still"], "left_semi"), "near-open-members")
+    ids = written(members.select("node").distinct(), "near-open-nodes")
+    texts = picked(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ids, "id")
+    sets = written(mapped(texts, _sets, "of long, shingles binary").distinct(), "near-sets")
+    whole = signed.join(sets.withColumnRenamed("of", "set_of"), F.col("of") == F.col("set_of")).drop("set_of")
+    return _merged(labels, mapped(_blocks(members, labels, whole), _linked, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,19 +332,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies")
     )
     nodes = written(nodes, "near-nodes")
-    members = _buckets(nodes)
-    stars = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = components(verified(_pruned(stars, nodes), docs, id_col, text_col))
-    first = first.select(F.col("node").alias("of"), F.col("root").alias("label"))
-    late = written(verified(_remaining(members, first, nodes), docs, id_col, text_col), "near-late-links")
-    label = lambda side: F.coalesce(F.col(f"label_{side}"), F.col(side)).alias(side)
-    lifted = late.join(first.toDF("of_a", "label_a"), F.col("a") == F.col("of_a"), "left").join(first.toDF("of_b", "label_b"), F.col("b") == F.col("of_b"), "left")
-    second = components(lifted.select(label("a"), label("b")))
-    joined = first.union(second.join(first, second["node"] == first["of"], "left_anti").select("node", "node")).distinct()
-    joined = joined.join(second, joined["label"] == second["node"], "left").select("of", F.coalesce("root", "label").alias("root"))
-    joined = written(joined, "near-roots")
-    smallest = written(joined.groupBy("root").agg(F.min("of").alias("component")), "near-smallest")
-    of_node = joined.join(smallest, "root").select("of", "component")
+    labels = _grouped(nodes, docs, id_col, text_col).withColumnRenamed("label", "root")
+    smallest = written(labels.groupBy("root").agg(F.min("of").alias("component")), "near-smallest")
+    of_node = labels.join(smallest, "root").select("of", "component")
     classes = nodes.select("set_key", "node", "copies").join(of_node, F.col("node") == F.col("of"), "left")
     classes = classes.where("copies > 1 or component is not null").select(F.col("set_key").alias("class_key"), F.coalesce("component", "node").alias("component"))
     classes = written(classes, "near-classes")
@@ -271,3 +350,26 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) END AS shingles FROM w
+), x AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), y AS (
+  SELECT * FROM x SEMI JOIN (SELECT shingle FROM x GROUP BY shingle HAVING count(*) > 1) USING (shingle)
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM y a JOIN y b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), c AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""

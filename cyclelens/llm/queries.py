@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from cyclelens.llm.bpe import op6_bpe
-from cyclelens.llm.chat import op1_chat
+from cyclelens.llm.chat import OP1_SQL, op1_chat
 from cyclelens.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from cyclelens.llm.language import op4_language
-from cyclelens.llm.near_dedup import op9_near_dedup
+from cyclelens.llm.near_dedup import OP9_SQL, op9_near_dedup
 from cyclelens.llm.packing import op10_packing
 from cyclelens.llm.quality import op5_quality
 from cyclelens.llm.secrets import op7_secrets
 from cyclelens.llm.topk import OP2_SQL, op2_topk
-from cyclelens.llm.warc import op8_warc
+from cyclelens.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_chat": op1_chat,
@@ -27,6 +27,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_chat": OP1_SQL,
     "op2_topk": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op8_warc": OP8_SQL,
+    "op9_near_dedup": OP9_SQL,
 }
