@@ -129,18 +129,20 @@ def _jumps(single: DataFrame, nodes: DataFrame) -> DataFrame:
     return jumps
 
 
-def formatted(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per call and per result: conv_id, position, level, kind, call_id, status, errors, json.
+def formatted(calls: DataFrame, results: DataFrame, schemas: DataFrame, messages: DataFrame | None = None) -> DataFrame:
+    """One row per call, result and message: conv_id, position, level, kind, call_id, status, errors, json.
 
     `calls` has conv_id, call_id, turn, tool, arguments (JSON), `results` conv_id, call_id, turn, content; call ids are unique. Of rows that
     repeat an id the first by turn and then by the other columns stands. Rows without an id cannot be linked: calls are `unnamed`
     and results `orphan`, each row by itself. Status of a call: linked, unanswered, cyclic; of a result: linked, orphan. Position counts
     from 0 in a conversation: by time, then level, a result directly behind its call's level; no item comes before what it refers to.
-    Null turns count as 0. Empty tables give no rows; other columns are not read.
+    Null turns count as 0. Empty tables give no rows; other columns are not read. Where `calls` has `content`, what was said with the call, it
+    is written with it. `messages` (conv_id, turn, role, content) are neither: each row is a `plain` item of level 0 by itself.
     """
-    calls = calls.select(F.col("conv_id").cast("long"), F.col("call_id"), F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), "tool", "arguments")
+    said = [c for c in calls.columns if c == "content"]
+    calls = calls.select(F.col("conv_id").cast("long"), F.col("call_id"), F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), "tool", "arguments", *[F.col(c).alias("said") for c in said])
     results = results.select(F.col("conv_id").cast("long"), F.col("call_id"), F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), "content")
-    named = _first(calls.where("call_id is not null"), ["call_id"], ["turn", "conv_id", "tool", "arguments"])
+    named = _first(calls.where("call_id is not null"), ["call_id"], ["turn", "conv_id", "tool", "arguments", *["said" for _ in said]])
     answers = _first(results.where("call_id is not null"), ["call_id"], ["turn", "conv_id", "content"])
     valid = written(checked(named, schemas), "chat-calls")
     nameless = checked(calls.where("call_id is null"), schemas)
@@ -155,7 +157,8 @@ def formatted(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataF
     none = F.array().cast("array<string>")
 
     def call_json(call_id: Column) -> Column:
-        return text('{"arguments":', F.col("arguments"), ',"call_id":', quoted(call_id), ',"conv_id":', number("conv_id"), ',"role":"assistant","tool":', quoted(F.col("tool")), "}")
+        content = [',"content":', quoted(F.col("said"))] if said else []
+        return text('{"arguments":', F.col("arguments"), ',"call_id":', quoted(call_id), *content, ',"conv_id":', number("conv_id"), ',"role":"assistant","tool":', quoted(F.col("tool")), "}")
 
     status = F.when(F.col("level") < 0, "cyclic").when(F.col("of_call").isNull(), "unanswered").otherwise("linked")
     made = linked.where("call_id is not null").select(
@@ -179,6 +182,10 @@ def formatted(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataF
     made = made.union(
         results.where("call_id is null").select("conv_id", F.col("turn").alias("time"), F.lit(0).alias("level"), F.lit("result").alias("kind"), "call_id", F.lit("orphan").alias("status"), none.alias("errors"), result_json(F.col("call_id"), "conv_id").alias("json"))
     )
+    if messages is not None:
+        turn, own = F.coalesce("turn", F.lit(0)).cast("long").alias("time"), F.col("conv_id").cast("long").alias("conv_id")
+        message_json = text('{"content":', quoted(F.col("content")), ',"conv_id":', number("conv_id"), ',"role":', quoted(F.col("role")), "}")
+        made = made.union(messages.select(own, turn, F.lit(0).alias("level"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit("plain").alias("status"), none.alias("errors"), message_json.alias("json")))
     # Numbered within stretches of turns, behind all that the stretches before them hold: a long conversation is many stretches.
     items = written(made.withColumn("stretch", F.floor(F.col("time") / TOGETHER)), "chat-items")
     counts = items.groupBy("conv_id", "stretch").agg(F.count("*").alias("n"))
@@ -203,6 +210,12 @@ SCHEMAS = [
 def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations as calls and results: an assistant's turn calls `reply` with the turn before it as its prompt, or `open` at the first
     turn, and refers to the assistant's turn before; the user's next turn is the result. Of rows that repeat a turn the first stands."""
+    calls, results, _ = as_items(conversations)
+    return calls.drop("content"), results
+
+
+def as_items(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As as_calls, with the assistant's whole text as the call's content, and the system's turns as messages."""
     turns = _first(conversations.where("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text"), ["conv_id", "turn"], ["role", "text"])
     turns = written(turns, "chat-turns")
     call_id = lambda turn: F.md5(F.concat_ws(":", F.col("conv_id"), turn).cast("binary"))
@@ -213,9 +226,10 @@ def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     arguments = F.to_json(
         F.struct(words.alias("words"), F.col("prompt"), F.when(F.col("earlier").isNotNull(), F.struct(F.col("earlier").alias("$ref"))).alias("after"))
     )
-    calls = said.select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.when(F.col("any"), "reply").otherwise("open").alias("tool"), arguments.alias("arguments"))
+    calls = said.select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.when(F.col("any"), "reply").otherwise("open").alias("tool"), arguments.alias("arguments"), F.col("text").alias("content"))
     results = turns.where("role = 'user'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    return calls, results
+    messages = turns.where("role = 'system'").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    return calls, results, messages
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,6 +237,12 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted(calls, results, spark.createDataFrame(SCHEMAS, "tool string, param string, type string, required boolean"))
 
 
+def op1_chat_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op1_chat, whose rows OP1_SQL fixes, with every text of the conversations."""
+    calls, results, messages = as_items(table(spark, sf_dir, "conversations"))
+    return formatted(calls, results, spark.createDataFrame(SCHEMAS, "tool string, param string, type string, required boolean"), messages)
+
+
 OP1_SQL = """
 WITH t AS (
   SELECT * FROM (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS n
@@ -253,3 +273,42 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY time, level, ki
        status, errors, json
 FROM items
 """
+
+OP1_WHOLE_SQL = """
+WITH n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY text NULLS FIRST) AS k, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS f
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+), r AS (
+  SELECT *, CASE WHEN k = 1 AND conv_id IS NOT NULL AND turn IS NOT NULL THEN md5(conv_id || ':' || (turn - CASE WHEN role = 'user' THEN 1 ELSE 0 END)) END AS call_id FROM n
+), a AS (
+  SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn & 1 ORDER BY turn) AS run FROM r WHERE role = 'assistant' AND call_id IS NOT NULL
+), placed AS (
+  SELECT conv_id, turn, call_id, 2 * (row_number() OVER (PARTITION BY conv_id, turn & 1, run ORDER BY turn) - 1) AS level FROM a
+), c AS (
+  SELECT s.conv_id, s.turn, s.text, s.call_id, coalesce(p.level, 0) AS level, b.turn IS NOT NULL AS replies, CASE WHEN b.role <> 'system' THEN b.text END AS prompt,
+         e.call_id AS earlier, len(string_split(trim(coalesce(s.text, ''), ' '), ' ')) AS words
+  FROM r s LEFT JOIN placed p ON p.call_id = s.call_id LEFT JOIN n b ON b.conv_id = s.conv_id AND b.turn = s.turn - 1 AND b.f = 1
+           LEFT JOIN placed e ON e.conv_id = s.conv_id AND e.turn = s.turn - 2
+  WHERE s.role = 'assistant'
+), items AS (
+  SELECT c.conv_id, coalesce(c.turn, 0) AS time, c.level, 'call' AS kind, c.call_id,
+         CASE WHEN c.call_id IS NULL THEN 'unnamed' WHEN u.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+         concat_ws(',', CASE WHEN replies AND prompt IS NULL THEN 'missing:prompt' END, CASE WHEN NOT replies AND earlier IS NOT NULL THEN 'unknown:after' END) AS errors,
+         '{"arguments":{' || concat_ws(',', '"after":{"$ref":"' || earlier || '"}', '"prompt":' || CAST(to_json(prompt) AS VARCHAR), '"words":' || words)
+           || '},"call_id":' || coalesce('"' || c.call_id || '"', 'null') || ',"content":' || coalesce(CAST(to_json(c.text) AS VARCHAR), 'null')
+           || ',"conv_id":' || coalesce(CAST(c.conv_id AS VARCHAR), 'null') || ',"role":"assistant","tool":"' || CASE WHEN replies THEN 'reply' ELSE 'open' END || '"}' AS json
+  FROM c LEFT JOIN r u ON u.call_id = c.call_id AND u.role = 'user'
+  UNION ALL
+  SELECT u.conv_id, coalesce(p.turn, u.turn, 0), coalesce(p.level + 1, 0), 'result', u.call_id, CASE WHEN p.call_id IS NULL THEN 'orphan' ELSE 'linked' END, '',
+         '{"call_id":' || coalesce('"' || u.call_id || '"', 'null') || ',"content":' || coalesce(CAST(to_json(u.text) AS VARCHAR), 'null')
+           || ',"conv_id":' || coalesce(CAST(u.conv_id AS VARCHAR), 'null') || ',"role":"tool"}'
+  FROM r u LEFT JOIN placed p ON p.call_id = u.call_id WHERE u.role = 'user'
+  UNION ALL
+  SELECT conv_id, coalesce(turn, 0), 0, 'message', NULL, 'plain', '', '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null')
+           || ',"conv_id":' || coalesce(CAST(conv_id AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}'
+  FROM n WHERE role IS NULL OR role NOT IN ('assistant', 'user')
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY time, level, kind, call_id NULLS FIRST, json) - 1 AS position, CAST(level AS INTEGER) AS level, kind, call_id,
+       status, errors, json
+FROM items
+"""

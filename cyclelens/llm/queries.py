@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cyclelens.llm.bpe import op6_bpe
-from cyclelens.llm.chat import OP1_SQL, op1_chat
+from cyclelens.llm.chat import OP1_SQL, OP1_WHOLE_SQL, op1_chat, op1_chat_whole
 from cyclelens.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from cyclelens.llm.language import op4_language
 from cyclelens.llm.near_dedup import OP9_SQL, op9_near_dedup
@@ -33,3 +33,7 @@ ORACLES = {
     "op8_warc": OP8_SQL,
     "op9_near_dedup": OP9_SQL,
 }
+
+# A query beside the ten whose rows its SQL fixes: the same operator on the whole of its table.
+WHOLE = {"op1_chat_whole": op1_chat_whole}
+WHOLE_ORACLES = {"op1_chat_whole": OP1_WHOLE_SQL}
