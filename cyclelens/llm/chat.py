@@ -210,26 +210,50 @@ SCHEMAS = [
 def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations as calls and results: an assistant's turn calls `reply` with the turn before it as its prompt, or `open` at the first
     turn, and refers to the assistant's turn before; the user's next turn is the result. Of rows that repeat a turn the first stands."""
-    calls, results, _ = as_items(conversations)
-    return calls.drop("content"), results
+    turns = _first(conversations.where("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text"), ["conv_id", "turn"], ["role", "text"])
+    turns = written(turns, "chat-turns")
+    return _calls(turns, turns).drop("content"), _results(turns)
 
 
 def as_items(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As as_calls, with the assistant's whole text as the call's content, and the system's turns as messages."""
-    turns = _first(conversations.where("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text"), ["conv_id", "turn"], ["role", "text"])
-    turns = written(turns, "chat-turns")
-    call_id = lambda turn: F.md5(F.concat_ws(":", F.col("conv_id"), turn).cast("binary"))
+    """As as_calls, with an item for every row: an assistant's whole text is its call's content, and turns of any other role, or none, are
+    messages. Only rows that are equal in all columns are one. Of several rows with a turn and role the first by text is linked; the
+    others, and rows without a conversation or turn, are unnamed calls and orphan results. A prompt is the first row of the turn before."""
+    rows = written(conversations.select("conv_id", "turn", "role", "text").distinct(), "chat-rows")
+    spoken = rows.where("role in ('assistant', 'user')")
+    numbered = spoken.where("conv_id is not null and turn is not null")
+    named = written(_first(numbered, ["conv_id", "turn", "role"], ["text"]).withColumn("named", F.lit(True)), "chat-named")
+    others = spoken.alias("s").join(named.alias("n"), [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in rows.columns], "left_anti")
+    spoken = written(named.unionByName(others.withColumn("named", F.lit(False))), "chat-spoken")
+    turns = written(_first(rows.where("conv_id is not null and turn is not null"), ["conv_id", "turn"], ["role", "text"]), "chat-turns")
+    messages = rows.where("role is null or role not in ('assistant', 'user')").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    unnamed = F.when(F.col("named"), F.col("call_id")).alias("call_id")
+    calls, results = _calls(spoken, turns, "named"), _results(spoken, "named")
+    return calls.withColumn("call_id", unnamed).drop("named"), results.withColumn("call_id", unnamed).drop("named"), messages
+
+
+def _call_id(turn: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.col("conv_id"), turn).cast("binary"))
+
+
+def _calls(rows: DataFrame, turns: DataFrame, *others: str) -> DataFrame:
+    """The assistant's rows as calls; `turns` has one row per turn."""
+    spoken = rows.where("role = 'assistant'")
+    linked = spoken.where("named") if "named" in others else spoken
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.when(F.col("role") != "system", F.col("text")).alias("prompt"), F.lit(True).alias("any"))
-    earlier = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") + 2).alias("turn"), call_id(F.col("turn")).alias("earlier"))
-    said = turns.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left").join(earlier, ["conv_id", "turn"], "left")
+    earlier = linked.select("conv_id", (F.col("turn") + 2).alias("turn"), _call_id(F.col("turn")).alias("earlier"))
+    said = spoken.join(before, ["conv_id", "turn"], "left").join(earlier, ["conv_id", "turn"], "left")
     words = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), " "))
     arguments = F.to_json(
         F.struct(words.alias("words"), F.col("prompt"), F.when(F.col("earlier").isNotNull(), F.struct(F.col("earlier").alias("$ref"))).alias("after"))
     )
-    calls = said.select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.when(F.col("any"), "reply").otherwise("open").alias("tool"), arguments.alias("arguments"), F.col("text").alias("content"))
-    results = turns.where("role = 'user'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    messages = turns.where("role = 'system'").select("conv_id", "turn", "role", F.col("text").alias("content"))
-    return calls, results, messages
+    tool = F.when(F.col("any"), "reply").otherwise("open").alias("tool")
+    return said.select("conv_id", _call_id(F.col("turn")).alias("call_id"), "turn", tool, arguments.alias("arguments"), F.col("text").alias("content"), *others)
+
+
+def _results(rows: DataFrame, *others: str) -> DataFrame:
+    """The user's rows as results of the turn before."""
+    return rows.where("role = 'user'").select("conv_id", _call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"), *others)
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
