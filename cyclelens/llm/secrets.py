@@ -35,6 +35,15 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+#: A private key from its BEGIN line to its END line; where that is missing, to the end of the header and base64 lines behind it. Line breaks
+#: may be escaped, as in JSON. Repeats are possessive, which Java runs without a stack.
+_BREAK = r"(?:\s|\\[nrt])"
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    rf"|(?:{_BREAK}*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/]{{20,}}+={{0,2}}+))*+"
+    rf"(?:[\x20\t]*+(?:[\r\n]|\\[nr]){_BREAK}*+[A-Za-z0-9+/]++={{0,2}}+(?![^\r\n\\\"']))?)"
+)
 #: Published formats of well-known services.
 RULES = (
     *BASE,
@@ -43,7 +52,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    Rule("pem", _PEM),
 )
 #: Strings that a part of an expression may stand for are listed up to this number, then only their ends.
 _LISTED = 24
