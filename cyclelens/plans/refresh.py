@@ -176,7 +176,7 @@ def refresh_all(
 ) -> dict[str, DataFrame]:
     """Brings the stored tables up to date: every entity with `force`, else the missing and outdated ones.
 
-    What is stale is found first, from the stored tables and the entity tables; where nothing is, nothing is rolled up or
+    What is stale is found first, from the stored tables, the entity tables and the engineers of the commits; where nothing is, nothing is rolled up or
     written. Else the commits are read once: their rollup per (issue, engineer) is written, and all dimensions start from
     it. A dimension that fails is noted in `refresh_failures` and keeps its table; the others go on.
     """
@@ -204,15 +204,8 @@ def refresh_all(
 
 
 def _stale(domain: Domain, stored: DataFrame, dimension: str, cutoff: Column) -> DataFrame:
-    """Keys whose stored row is missing or outdated. Commits are read only for engineers that no row is stored of."""
-    key = KEYS[dimension]
-    if dimension != "engineer":
-        return stale_keys(owners(domain, dimension), stored, key, cutoff)
-    old = stored.where(F.col("last_calculated") < cutoff).select(key)
-    unknown = domain.engineers.select(F.col("id").alias(key)).join(stored.select(key), key, "left_anti")
-    if unknown.isEmpty():
-        return old
-    return old.union(lookup_join(domain.commits, unknown, key, "left_semi").select(key).distinct())
+    """Keys whose stored row is missing or outdated. An engineer owns a row by having commits, whether or not `engineers` knows the id."""
+    return stale_keys(owners(domain, dimension), stored, KEYS[dimension], cutoff)
 
 
 def log_failure(store: TableStore, dimension: str, error: Exception, as_of: datetime, batch: int | None = None) -> None:
