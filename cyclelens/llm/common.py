@@ -62,14 +62,35 @@ BROADCAST_IDS = 1_000_000
 
 
 def sized(ids: DataFrame) -> DataFrame:
-    """A written table of ids, marked for broadcast where its counted rows allow it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """A written table of ids, marked for broadcast where its counted rows allow it. Wider rows count as four."""
+    return F.broadcast(ids) if ids.count() * (1 if len(ids.columns) == 1 else 4) <= BROADCAST_IDS else ids
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs`, all columns, whose id is not among `dropped` (one written column). A null id is never dropped."""
-    gone = sized(dropped).select(F.col(dropped.columns[0]).alias("__dropped_id"))
-    return docs.join(gone, docs[id_col] == gone["__dropped_id"], "left_anti")
+def text_key(text_col: str) -> Column:
+    """What tells texts of one id apart; a null text counts as empty."""
+    return F.xxhash64(text_or_empty(text_col))
+
+
+def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """`docs` and the name of a column that tells its rows with an id apart.
+
+    That is the id where none repeats. Else the rows are written with __row, a number in the order of the ids, null where the id is.
+    """
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        return docs, id_col
+    numbered = docs.orderBy(F.col(id_col), text_key(text_col)).withColumn("__row", F.monotonically_increasing_id())
+    return written(numbered.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.col("__row"))), "told-apart"), "__row"
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str | None = None) -> DataFrame:
+    """The rows of `docs`, all columns, whose id is not among `dropped` (one written column). A null id is never dropped.
+
+    With `text_col`, `dropped` has a text_key as its second column, and only the id's rows with that text go.
+    """
+    names = ["__dropped_id", "__dropped_text"][: len(dropped.columns)]
+    gone = sized(dropped).toDF(*names)
+    same = docs[id_col] == gone["__dropped_id"]
+    return docs.join(gone, same if text_col is None else same & (text_key(text_col) == gone["__dropped_text"]), "left_anti")
 
 
 def picked(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:

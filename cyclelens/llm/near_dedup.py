@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclelens.llm.common import in_few_tasks, mapped, picked, table, without, written
+from cyclelens.llm.common import in_few_tasks, mapped, picked, table, told_apart, without, written
 from cyclelens.llm.components import components
 from cyclelens.llm.words import mixed, shingle_set, texts_as_words
 
@@ -344,8 +344,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each group of near duplicates; all columns as they are."""
-    return without(docs, written(near_duplicates(docs, id_col, text_col).where("not kept").select("doc_id").distinct(), "near-dropped"), id_col)
+    """`docs` with one document of each group of near duplicates; all columns as they are. Rows with a null id stay; rows that share an id
+    are decided on one by one."""
+    rows, row = told_apart(docs, id_col, text_col)
+    dropped = written(near_duplicates(rows, row, text_col).where("not kept").select("doc_id").distinct(), "near-dropped")
+    return without(rows, dropped, row).select(docs.columns)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclelens.llm.common import mapped, table, without, written
+from cyclelens.llm.common import mapped, table, text_key, without, written
 from cyclelens.llm.words import mixed, slices, token_hashes, utf8
 
 #: Features are hashed to so many buckets; the models are two numbers for each.
@@ -73,7 +73,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def weighted(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_features, log_weight) of each row."""
+    """(doc_id, text_key, n_features, log_weight) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,10 +81,10 @@ def weighted(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_co
             for first, last, bucket, text in features(batch.column(1)):
                 n[first:last] = np.bincount(text, minlength=last - first)
                 weight[first:last] = np.bincount(text, ratio[bucket], last - first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(weight)], names=["doc_id", "n_features", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(weight)], names=["doc_id", "text_key", "n_features", "log_weight"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return mapped(rows, run, "doc_id long, n_features long, log_weight double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
+    return mapped(rows, run, "doc_id long, text_key long, n_features long, log_weight double")
 
 
 #: A document is rejected for being likelier as raw text than as target text by this factor, up to the sampling noise.
@@ -121,6 +121,11 @@ def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     fall together, also where that makes more than k. A null or empty text weighs 0. With no document labelled good every weight is 0.
     The result has no rows for an empty table; other columns are not read.
     """
+    return _sampled(docs, labels, id_col, text_col, odds, k).drop("text_key")
+
+
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, odds: float = ODDS, k: int | None = None) -> DataFrame:
+    """The rows of resampled with the text_key of each."""
     scored = weighted(docs, fitted(docs, labels, id_col, text_col), id_col, text_col)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
     scored = scored.withColumn("score", F.col("log_weight") - F.log(-F.log(uniform)))
@@ -134,13 +139,14 @@ def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         least, above = kth_largest(scored, "rank_key", k)
         tie, _ = kth_largest(scored.where(F.col("rank_key") == least), "tie_key", k - above)
         kept = (F.col("rank_key") > least) | ((F.col("rank_key") == least) & (F.col("tie_key") >= tie))
-    return scored.select("doc_id", "n_features", "log_weight", "score", kept.alias("kept"))
+    return scored.select("doc_id", "text_key", "n_features", "log_weight", "score", kept.alias("kept"))
 
 
 def good_ones(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that the sample leaves out; all columns as they are. Rows with a null id stay."""
-    dropped = written(resampled(docs, labels, id_col, text_col).where("not kept and doc_id is not null").select("doc_id").distinct(), "quality-dropped")
-    return without(docs, dropped, id_col)
+    """`docs` without the rows that the sample leaves out; all columns as they are. Rows with a null id stay; of rows that share an id only those
+    with the same text go together."""
+    dropped = written(_sampled(docs, labels, id_col, text_col).where("not kept and doc_id is not null").select("doc_id", "text_key").distinct(), "quality-dropped")
+    return without(docs, dropped, id_col, text_col)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
