@@ -6,12 +6,15 @@ from cyclelens.llm.bpe import op6_bpe
 from cyclelens.llm.chat import OP1_SQL, OP1_WHOLE_SQL, op1_chat, op1_chat_whole
 from cyclelens.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from cyclelens.llm.language import op4_language
+from cyclelens.llm.merkle import OP11_SQL, op11_manifest
+from cyclelens.llm.mining import OP13_SQL, op13_negatives
 from cyclelens.llm.near_dedup import OP9_SQL, op9_near_dedup
 from cyclelens.llm.packing import op10_packing
 from cyclelens.llm.quality import op5_quality
 from cyclelens.llm.secrets import op7_secrets
 from cyclelens.llm.topk import OP2_SQL, op2_topk
 from cyclelens.llm.warc import OP8_SQL, op8_warc
+from cyclelens.llm.wrappers import OP12_SQL, op12_html
 
 QUERIES = {
     "op1_chat": op1_chat,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_near_dedup": op9_near_dedup,
     "op10_packing": op10_packing,
+    "op11_manifest": op11_manifest,
+    "op12_html": op12_html,
+    "op13_negatives": op13_negatives,
 }
 
 ORACLES = {
@@ -32,6 +38,9 @@ ORACLES = {
     "op3_exact_dedup": OP3_SQL,
     "op8_warc": OP8_SQL,
     "op9_near_dedup": OP9_SQL,
+    "op11_manifest": OP11_SQL,
+    "op12_html": OP12_SQL,
+    "op13_negatives": OP13_SQL,
 }
 
 # A query beside the ten whose rows its SQL fixes: the same operator on the whole of its table.

@@ -33,4 +33,4 @@ def test_all_are_registered():
     import __spark_entry__
 
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))
