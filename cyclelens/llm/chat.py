@@ -207,18 +207,12 @@ SCHEMAS = [
 ]
 
 
-def as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Conversations as calls and results: an assistant's turn calls `reply` with the turn before it as its prompt, or `open` at the first
-    turn, and refers to the assistant's turn before; the user's next turn is the result. Of rows that repeat a turn the first stands."""
-    turns = _first(conversations.where("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text"), ["conv_id", "turn"], ["role", "text"])
-    turns = written(turns, "chat-turns")
-    return _calls(turns, turns).drop("content"), _results(turns)
-
-
 def as_items(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """As as_calls, with an item for every row: an assistant's whole text is its call's content, and turns of any other role, or none, are
-    messages. Only rows that are equal in all columns are one. Of several rows with a turn and role the first by text is linked; the
-    others, and rows without a conversation or turn, are unnamed calls and orphan results. A prompt is the first row of the turn before."""
+    """Conversations as calls, results and messages, an item for every row: an assistant's turn calls `reply` with the turn before it as its
+    prompt, or `open` at the first turn, and refers to the assistant's turn before; its whole text is the call's content. The user's next
+    turn is the result. Turns of any other role, or none, are messages. Only rows that are equal in all columns are one. Of several rows with
+    a turn and role the first by text is linked; the others, and rows without a conversation or turn, are unnamed calls and orphan results.
+    A prompt is the first row of the turn before."""
     rows = written(conversations.select("conv_id", "turn", "role", "text").distinct(), "chat-rows")
     spoken = rows.where("role in ('assistant', 'user')")
     numbered = spoken.where("conv_id is not null and turn is not null")
@@ -257,48 +251,11 @@ def _results(rows: DataFrame, *others: str) -> DataFrame:
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = as_calls(table(spark, sf_dir, "conversations"))
-    return formatted(calls, results, spark.createDataFrame(SCHEMAS, "tool string, param string, type string, required boolean"))
-
-
-def op1_chat_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op1_chat, whose rows OP1_SQL fixes, with every text of the conversations."""
     calls, results, messages = as_items(table(spark, sf_dir, "conversations"))
     return formatted(calls, results, spark.createDataFrame(SCHEMAS, "tool string, param string, type string, required boolean"), messages)
 
 
 OP1_SQL = """
-WITH t AS (
-  SELECT * FROM (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS n
-                 FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WHERE n = 1
-), a AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS k FROM t WHERE role = 'assistant'
-), c AS (
-  SELECT a.conv_id, a.turn, md5(a.conv_id || ':' || a.turn) AS call_id, b.turn IS NOT NULL AS replies, CASE WHEN b.role <> 'system' THEN b.text END AS prompt,
-         2 * (row_number() OVER (PARTITION BY a.conv_id, a.turn % 2, a.turn - 2 * a.k ORDER BY a.turn) - 1) AS level,
-         e.turn IS NOT NULL AS follows, len(string_split(trim(coalesce(a.text, ''), ' '), ' ')) AS words
-  FROM a LEFT JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1
-         LEFT JOIN a e ON e.conv_id = a.conv_id AND e.turn = a.turn - 2
-), u AS (
-  SELECT conv_id, turn, text, md5(conv_id || ':' || (turn - 1)) AS call_id FROM t WHERE role = 'user'
-), items AS (
-  SELECT c.conv_id, c.turn AS time, c.level, 'call' AS kind, c.call_id, CASE WHEN u.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-         concat_ws(',', CASE WHEN replies AND prompt IS NULL THEN 'missing:prompt' END, CASE WHEN NOT replies AND follows THEN 'unknown:after' END) AS errors,
-         '{"arguments":{' || concat_ws(',', CASE WHEN follows THEN '"after":{"$ref":"' || md5(c.conv_id || ':' || (c.turn - 2)) || '"}' END,
-             CASE WHEN prompt IS NOT NULL THEN '"prompt":' || CAST(to_json(prompt) AS VARCHAR) END, '"words":' || words)
-           || '},"call_id":"' || c.call_id || '","conv_id":' || c.conv_id || ',"role":"assistant","tool":"' || CASE WHEN replies THEN 'reply' ELSE 'open' END || '"}' AS json
-  FROM c LEFT JOIN u ON u.call_id = c.call_id
-  UNION ALL
-  SELECT u.conv_id, coalesce(c.turn, u.turn), coalesce(c.level + 1, 0), 'result', u.call_id, CASE WHEN c.call_id IS NULL THEN 'orphan' ELSE 'linked' END, '',
-         '{"call_id":"' || u.call_id || '","content":' || coalesce(CAST(to_json(u.text) AS VARCHAR), 'null') || ',"conv_id":' || u.conv_id || ',"role":"tool"}'
-  FROM u LEFT JOIN c ON c.call_id = u.call_id
-)
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY time, level, kind, call_id) - 1 AS position, CAST(level AS INTEGER) AS level, kind, call_id,
-       status, errors, json
-FROM items
-"""
-
-OP1_WHOLE_SQL = """
 WITH n AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY text NULLS FIRST) AS k, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS f
   FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)

@@ -57,6 +57,19 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores more as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Ids that a join may broadcast: 16 MB of longs at most. A longer list is joined by a shuffle, with the same rows out.
 BROADCAST_IDS = 1_000_000
 
@@ -74,12 +87,13 @@ def text_key(text_col: str) -> Column:
 def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """`docs` and the name of a column that tells its rows with an id apart.
 
-    That is the id where none repeats. Else the rows are written with __row, a number in the order of the ids, null where the id is.
+    That is the id where none repeats. Else the rows are written with one column more, a number in the order of the ids, null where the id is.
     """
     if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         return docs, id_col
-    numbered = docs.orderBy(F.col(id_col), text_key(text_col)).withColumn("__row", F.monotonically_increasing_id())
-    return written(numbered.withColumn("__row", F.when(F.col(id_col).isNotNull(), F.col("__row"))), "told-apart"), "__row"
+    row = unused(docs, "__row")
+    numbered = docs.orderBy(F.col(id_col), text_key(text_col)).withColumn(row, F.monotonically_increasing_id())
+    return written(numbered.withColumn(row, F.when(F.col(id_col).isNotNull(), F.col(row))), "told-apart"), row
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str | None = None) -> DataFrame:

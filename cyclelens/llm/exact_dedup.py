@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cyclelens.llm.common import SPACE, table, text_or_empty, told_apart, without, written
+from cyclelens.llm.common import SPACE, named, table, text_or_empty, told_apart, without, written
 
 #: A chunk ends after a space that follows two of these characters; it has MIN to MAX characters, the last one of a text 1 to MAX.
 BOUNDARY = r"(?<=[dgkmuy][dgkmuy.,!?] )"
@@ -96,7 +96,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     decided on one by one, so that one row of a group stays."""
     rows, row = told_apart(docs, id_col, text_col)
     dropped = written(exact_duplicates(rows, row, text_col).where("not kept and doc_id is not null").select("doc_id").distinct(), "dedup-dropped")
-    return without(rows, dropped, row).select(docs.columns)
+    return without(rows, dropped, row).select([named(c) for c in docs.columns])
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,11 @@ make its trigrams likeliest, and languages are added to its set as long as the l
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ _PLAIN = np.full(256, 32, dtype=np.uint8)
 _PLAIN[128:] = np.arange(128, 256)
 _PLAIN[97:123] = np.arange(97, 123)
 _PLAIN[65:91] = np.arange(97, 123)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def trigrams(column: pa.Array) -> Iterator[np.ndarray]:

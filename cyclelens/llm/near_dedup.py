@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclelens.llm.common import in_few_tasks, mapped, picked, table, told_apart, without, written
+from cyclelens.llm.common import in_few_tasks, mapped, named, picked, table, told_apart, without, written
 from cyclelens.llm.components import components
 from cyclelens.llm.words import mixed, shingle_set, texts_as_words
 
@@ -348,7 +348,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are decided on one by one."""
     rows, row = told_apart(docs, id_col, text_col)
     dropped = written(near_duplicates(rows, row, text_col).where("not kept").select("doc_id").distinct(), "near-dropped")
-    return without(rows, dropped, row).select(docs.columns)
+    return without(rows, dropped, row).select([named(c) for c in docs.columns])
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

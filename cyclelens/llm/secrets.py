@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cyclelens.llm.common import BROADCAST_IDS, table, text_or_empty, written
+from cyclelens.llm.common import BROADCAST_IDS, named, table, text_or_empty, unused, written
 
 
 @dataclass(frozen=True)
@@ -210,8 +210,9 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.pattern), found).otherwise(empty)
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs`, all columns, with __spans: the spans of all rules as (start, kind, end), ordered, kind being the rule's number.
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, str, str]:
+    """`docs`, all columns, with two more, whose names are returned: the text or an empty one, and the spans of all rules as
+    (start, kind, end), ordered, kind being the rule's number.
 
     Matches of a rule are its leftmost non-overlapping ones; spans of different rules may overlap. A null text is an empty one.
     """
@@ -219,13 +220,15 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     # Rows are found again by id and text hash. A hash that two texts share makes a candidate too many at worst.
     may = candidates(texts, rules)
     may = F.broadcast(may) if may.count() <= BROADCAST_IDS // 10 else may
+    text, spans_of, may_id, may_hash, may_rules = (unused(docs, n) for n in ("__text", "__spans", "__of_id", "__of_hash", "__rules"))
+    may = may.toDF(may_id, may_hash, may_rules)
     own_id, own_hash = F.col(id_col).cast("long"), F.xxhash64(text_or_empty(text_col))
-    joined = docs.join(may, own_id.eqNullSafe(may["of_id"]) & (own_hash == may["of_hash"]), "left").withColumn("__text", text_or_empty(text_col))
+    joined = docs.join(may, own_id.eqNullSafe(F.col(may_id)) & (own_hash == F.col(may_hash)), "left").withColumn(text, text_or_empty(text_col))
     found, none = [], F.array().cast("array<struct<start:long,kind:int,end:long>>")
     for k, rule in enumerate(rules):
-        spans = _spans(F.col("__text"), rule, k)
-        found.append(spans if frozenset() in trigram_query(rule.pattern) else F.when(F.array_contains(may["rules"], rule.kind), spans).otherwise(none))
-    return joined.select(*[docs[c] for c in docs.columns], "__text", F.array_sort(F.concat(*found)).alias("__spans"))
+        spans = _spans(F.col(text), rule, k)
+        found.append(spans if frozenset() in trigram_query(rule.pattern) else F.when(F.array_contains(may_rules, rule.kind), spans).otherwise(none))
+    return joined.select(*[named(c) for c in docs.columns], text, F.array_sort(F.concat(*found)).alias(spans_of)), text, spans_of
 
 
 def _spelled(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -240,7 +243,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     is of those of the base rules alone. A null or empty text has none. Rows that repeat, or have a null id, get a row each. An empty
     table gives no rows; other columns are not read.
     """
-    rows = scanned(docs.select(id_col, text_col), id_col, text_col, rules).select(F.col(id_col).cast("long").alias("doc_id"), "__spans")
+    rows, _, spans = scanned(docs.select(id_col, text_col), id_col, text_col, rules)
+    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(spans).alias("__spans"))
     base = F.filter("__spans", lambda s: s["kind"] < len(BASE))
     number = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == k)).cast("long")
     return rows.select(
@@ -254,17 +258,17 @@ MASK = "[REDACTED]"
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`docs` with each run of secret characters of the text replaced by MASK; other columns, and texts without secrets, as they are."""
-    rows = scanned(docs, id_col, text_col, rules)
+    rows, whole, spans = scanned(docs, id_col, text_col, rules)
 
     def step(acc, s):
-        gap = F.col("__text").substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        gap = F.col(whole).substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
         opened = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(MASK))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), opened.alias("out"))
 
     begun = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("__spans", begun, step, lambda acc: F.concat(acc["out"], F.col("__text").substr((acc["at"] + 1).cast("int"), F.length("__text"))))
-    text = F.when(F.size("__spans") > 0, masked).otherwise(F.col(text_col))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    masked = F.aggregate(spans, begun, step, lambda acc: F.concat(acc["out"], F.col(whole).substr((acc["at"] + 1).cast("int"), F.length(whole))))
+    text = F.when(F.size(spans) > 0, masked).otherwise(F.col(text_col))
+    return rows.select(*[text.alias(c) if c == text_col else named(c) for c in docs.columns])
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

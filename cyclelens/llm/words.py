@@ -115,24 +115,52 @@ _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 _KIND[_IS_SPACE] = 0
 
 
-def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def token_hashes(data: np.ndarray, offsets: np.ndarray, slice_bytes: int = 2 * SLICE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of letters and digits and the runs of other signs, case kept, and the text (0 on) that each belongs to.
 
-    A text of over 2 * SLICE bytes is taken in parts of SLICE; a run that lies across two parts counts as two.
+    Taken in parts of `slice_bytes`; a run that lies across parts, however long, is one: its polynomial goes on in the next part.
     """
     parts, texts = [], []
     offsets = offsets - offsets[0]
-    for at in range(0, len(data), 2 * SLICE):
-        part = data[at : at + 2 * SLICE]
+    open_sum, open_length, open_kind, open_text = 0, 0, 0, 0
+
+    def close() -> None:
+        nonlocal open_length
+        if open_length:
+            parts.append(mixed(np.array([open_sum], dtype=np.uint64)))
+            texts.append(np.array([open_text], dtype=np.int64))
+            open_length = 0
+
+    for at in range(0, len(data), slice_bytes):
+        part = data[at : at + slice_bytes]
         kind = _KIND[part]
         begins = kind != 0
         begins[1:] &= kind[1:] != kind[:-1]
         inner = offsets[(offsets >= at) & (offsets < at + len(part))] - at
         begins[inner] = kind[inner] != 0
         starts = np.flatnonzero(begins)
-        if len(starts):
-            parts.append(mixed(np.add.reduceat(_BYTE[part] * _POWER[: len(part)], starts) * _INVERSE[starts]))
-            texts.append(np.searchsorted(offsets, starts + at, "right") - 1)
+        if not len(starts):
+            close()
+            continue
+        sums = np.add.reduceat(_BYTE[part] * _POWER[: len(part)], starts) * _INVERSE[starts]
+        of_text = np.searchsorted(offsets, starts + at, "right") - 1
+        goes_on = bool(open_length) and starts[0] == 0 and kind[0] == open_kind and not (len(inner) and inner[0] == 0)
+        if goes_on:
+            first = int(starts[1]) if len(starts) > 1 else len(part)
+            spaces = np.flatnonzero(kind[:first] == 0)
+            open_sum = (open_sum + pow(_BASE, open_length, 1 << 64) * int(sums[0])) % (1 << 64)
+            open_length += int(spaces[0]) if len(spaces) else first
+            if len(starts) == 1 and not len(spaces):
+                continue
+            close()
+            starts, sums, of_text = starts[1:], sums[1:], of_text[1:]
+        close()
+        if len(starts) and kind[-1] != 0:
+            open_sum, open_length, open_kind, open_text = int(sums[-1]), len(part) - int(starts[-1]), int(kind[-1]), int(of_text[-1])
+            sums, of_text = sums[:-1], of_text[:-1]
+        parts.append(mixed(sums))
+        texts.append(of_text)
+    close()
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(parts), np.concatenate(texts)

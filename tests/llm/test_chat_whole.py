@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from cyclelens.llm import chat
-from cyclelens.llm.queries import WHOLE, WHOLE_ORACLES
+from cyclelens.llm.queries import ORACLES, QUERIES
 from tests.compare import differences
 from tests.conftest import SF
 
@@ -23,7 +23,7 @@ def items(spark, rows):
 def test_whole_matches_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{sf}/conversations.parquet')")
-    assert differences(spark, con, "op1_chat_whole", sf, WHOLE, WHOLE_ORACLES) is None
+    assert differences(spark, con, "op1_chat", sf, QUERIES, ORACLES) is None
 
 
 def test_every_text_is_in_its_own_item(spark):
@@ -56,4 +56,4 @@ def test_flawed_rows_match_sql(spark, tmp_path):
     spark.createDataFrame(FLAWED, CONVERSATIONS).write.parquet(f"{tmp_path}/conversations.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
-    assert differences(spark, con, "op1_chat_whole", str(tmp_path), WHOLE, WHOLE_ORACLES) is None
+    assert differences(spark, con, "op1_chat", str(tmp_path), QUERIES, ORACLES) is None

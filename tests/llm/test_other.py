@@ -85,11 +85,12 @@ def test_no_calls(spark):
 def test_awkward_conversations(spark):
     rows = [(1, 0, "user", None), (1, 0, "user", None), (1, 1, "assistant", ""), (None, 0, "user", "x"), (2, None, "user", "x"), (3, 5, None, "y"), (4, 0, "assistant", "z" * 100_000)]
     conversations = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    calls, results = chat.as_calls(conversations.withColumn("row", F.lit(1)).withColumn("prompt", F.lit("p")))
+    calls, results, messages = chat.as_items(conversations.withColumn("row", F.lit(1)).withColumn("prompt", F.lit("p")))
     schemas = spark.createDataFrame(chat.SCHEMAS, "tool string, param string, type string, required boolean")
-    got = chat.formatted(calls, results, schemas).collect()
-    assert sorted((r.conv_id, r.position, r.kind, r.status, r.errors) for r in got) == [
-        (1, 0, "result", "orphan", ""), (1, 1, "call", "unanswered", "missing:prompt"), (4, 0, "call", "unanswered", "")
+    got = chat.formatted(calls, results, schemas, messages).collect()
+    assert sorted(((r.conv_id, r.position, r.kind, r.status, r.errors) for r in got), key=str) == [
+        (1, 0, "result", "orphan", ""), (1, 1, "call", "unanswered", "missing:prompt"), (2, 0, "result", "orphan", ""), (3, 0, "message", "plain", ""),
+        (4, 0, "call", "unanswered", ""), (None, 0, "result", "orphan", ""),
     ]
 
 
