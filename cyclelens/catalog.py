@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cyclelens import schemas
-from cyclelens.domain import Domain
+from cyclelens.domain import Domain, StrictDomain
 from cyclelens.functions import scalars as fx
 from cyclelens.functions import sql as sql_functions
 from cyclelens.operators import partitions, periods, quality, ranking
@@ -18,11 +18,15 @@ from cyclelens.operators.merge import changed_rows
 from cyclelens.operators.ranking import page
 from cyclelens.operators.summarize import SUMMARY
 from cyclelens.plans import cross, cycle_time, dashboard, impact, refresh, rollups, stored_facts, timeline
+from cyclelens.plans.high_water import ImpactTables
 from cyclelens.session import work_dir
 from cyclelens.sources import csv as csv_source
 from cyclelens.sources import tables
+from cyclelens.sources.buckets import BucketStore
+from cyclelens.sources.load_set import LoadSets
 from cyclelens.sources.storage import TableStore
 from cyclelens.streaming import refresh as streams
+from cyclelens.streaming.live import Live
 
 # Injected instead of the wall clock, so that results can be compared.
 AS_OF = datetime(2001, 12, 31)
@@ -733,3 +737,161 @@ def stream_incremental_summary(d: Domain) -> DataFrame:
     store = TableStore(d.spark, f"{folder}/store")
     streams.incremental_summary(_commit_files(d, folder), d, store, f"{folder}/checkpoint", AS_OF).awaitTermination()
     return store.read("ai_impact_summary").withColumn("team_ids", _text_list("team_ids"))
+
+
+# -- stored tables by bucket, sets of tables, moves and retries ---------------------------------------------------------
+
+
+def _impact_tables(d: Domain, label: str) -> ImpactTables:
+    """The impact tables at MARK, brought up to date from the commits stored by month."""
+    folder = work_dir(d.spark, label)
+    partitions.write_by_month(d.commits, f"{folder}/commits")
+    kept = ImpactTables(BucketStore(d.spark, f"{folder}/store"))
+    kept.rebuild(_until(d, MARK), MARK_TIME)
+    kept.advance(d, f"{folder}/commits", AS_OF)
+    return kept
+
+
+@_query()
+def ai_impact_high_water(d: Domain) -> DataFrame:
+    summary = _impact_tables(d, "ai_impact_high_water").store.read("ai_impact_summary")
+    return summary.withColumn("team_ids", _text_list("team_ids"))
+
+
+@_query()
+def issues_of_team_posted(d: Domain) -> DataFrame:
+    """One team's issues from the postings."""
+    rows = _impact_tables(d, "issues_of_team_posted").issues_of_team(1)
+    return rows.drop("last_updated").withColumn("team_ids", _text_list("team_ids"))
+
+
+@_query()
+def metrics_upsert_buckets(d: Domain) -> DataFrame:
+    """Engineers' metrics of mid-1995 in buckets, of which a refresh of those with late commits writes the touched ones."""
+    store = BucketStore(d.spark, work_dir(d.spark, "metrics_upsert_buckets"), bucket_rows=16)
+    refresh.refresh(_until(d, date(1995, 6, 30)), store, "engineer", MARK_TIME)
+    newer = d.commits.where(F.col("commit_date") > F.lit(date(2001, 8, 1))).select("engineer_id").distinct()
+    return refresh.refresh(d, store, "engineer", AS_OF, newer).select("engineer_id", *SUMMARY, "last_calculated")
+
+
+def _loads(d: Domain) -> tuple[LoadSets, list[tuple[str, DataFrame]]]:
+    """Two loads of all tables with the commits up to MARK, in the second of which some engineers and repositories are missing."""
+    sets = LoadSets(d.spark, work_dir(d.spark, "load_sets"))
+    whole = {t: d.table(t) for t in schemas.TABLES}
+    # Commits with a repeated key would not pass.
+    early = _until(d, MARK).commits.dropDuplicates(list(schemas.PRIMARY_KEYS["commits"]))
+    reports = [("first", sets.load(whole | {"commits": early}))]
+    broken = whole | {"engineers": d.engineers.where("id % 10 <> 0"), "repositories": d.repositories.where("repo_id % 9 <> 0")}
+    reports.append(("broken", sets.load(broken | {"commits": early})))
+    return sets, reports
+
+
+@_query()
+def load_set_refused(d: Domain) -> DataFrame:
+    """What readers see after a set with bad references was refused, and what was found in it."""
+    sets, reports = _loads(d)
+    seen = tables.table_counts(sets.current()).select(F.lit("seen").alias("place"), F.col("table_name").alias("name"), "n")
+    found = [report.select(F.lit(place).alias("place"), F.col("subject").alias("name"), "n") for place, report in reports]
+    return seen.unionByName(found[0]).unionByName(found[1])
+
+
+@_query()
+def load_set_published(d: Domain) -> DataFrame:
+    """After the refused set, one of two tables that fit the published others."""
+    sets, _ = _loads(d)
+    few = d.commits.where("lines_of_code % 2 = 0").dropDuplicates(list(schemas.PRIMARY_KEYS["commits"]))
+    sets.load({"commits": few, "teams": d.teams.where("team_id % 2 = 0")})
+    return tables.table_counts(sets.current())
+
+
+@_query()
+def refresh_with_retries(d: Domain) -> DataFrame:
+    """Metrics of all teams, one of which has an unreadable member list; it is left over with the number of its tries."""
+    store = _store(d, "refresh_with_retries")
+    bad = F.when(F.col("team_id") == 2, F.lit("1,x2")).otherwise(F.col("engineer_ids"))
+    strict = StrictDomain(d.spark, d._tables | {"teams": d.teams.withColumn("engineer_ids", bad)})
+    rows = refresh.refresh_guarded(strict, store, "team", AS_OF, rolled=store.replace("engineer_rollup", engineer_rollup(d)))
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in SUMMARY]
+    left = store.read("refresh_retries").select(F.col("entity_key").cast("bigint").alias("team_id"), *none, F.col("tries"))
+    return rows.select("team_id", *SUMMARY, F.lit(0).alias("tries")).unionByName(left)
+
+
+# -- streams of changes -----------------------------------------------------------------------------------------------
+
+
+def _live(d: Domain, label: str) -> tuple[Live, str]:
+    folder = work_dir(d.spark, label)
+    return Live(d, BucketStore(d.spark, f"{folder}/store"), AS_OF), folder
+
+
+def _fed(live: Live, folder: str, table: str, batches: list[DataFrame]) -> None:
+    """Rows delivered in several goes; the stream is started anew for each and goes on from its checkpoint."""
+    for rows in batches:
+        rows.coalesce(4).write.mode("append").parquet(f"{folder}/{table}-arriving")
+        stream = _stream_of(live, f"{folder}/{table}-arriving", rows)
+        run = live.commits if table == "commits" else (lambda s, c: live.rows(table, s, c))
+        run(stream, f"{folder}/{table}-checkpoint").awaitTermination()
+
+
+def _stream_of(live: Live, folder: str, like: DataFrame) -> DataFrame:
+    return live.store.spark.readStream.schema(like.schema).parquet(folder)
+
+
+def _kept(live: Live) -> DataFrame:
+    return refresh.all_rows({k: live.store.read(refresh.table_name(k)) for k in refresh.REFRESHED}).drop("last_calculated")
+
+
+def _named_apart(d: Domain) -> DataFrame:
+    """Commits with ids of their own: where one repeats, the later rows get a number."""
+    nth = F.row_number().over(Window.partitionBy("commit_id").orderBy("commit_date", "ai_used", "lines_of_code"))
+    return d.commits.withColumn("nth", nth).withColumn("commit_id", F.when(F.col("nth") == 1, F.col("commit_id")).otherwise(F.concat_ws("#", "commit_id", "nth"))).drop("nth")
+
+
+@_query()
+def stream_commit_updates(d: Domain) -> DataFrame:
+    """Metrics stored from wrong early versions of the commits, kept by a stream that corrects, repeats, delays and adds some."""
+    final = _named_apart(d)
+    wrong = F.pmod(F.xxhash64("commit_id"), F.lit(3)) == 0
+    first = final.withColumns({
+        "commit_date": F.when(wrong, F.date_add("commit_date", (F.col("lines_of_code") % 21 - 10).cast("int"))).otherwise(F.col("commit_date")),
+        "engineer_id": F.when(wrong & (F.col("lines_of_code") % 2 == 0), F.lit(1)).otherwise(F.col("engineer_id")),
+        "jira_issue_id": F.when(wrong & (F.col("lines_of_code") % 5 == 0), F.lit(1)).otherwise(F.col("jira_issue_id")),
+        "ai_used": F.col("ai_used") != wrong,
+    })
+    early = F.col("repo_id") % 2 == 0
+    live, folder = _live(d.having(commits=first.where(early)), "stream_commit_updates")
+    live.load()
+    versioned = lambda rows, n: rows.withColumn("version", F.lit(n).cast("long"))
+    added = versioned(first.where(~early), 1)
+    corrected = versioned(final.where(wrong), 2)
+    again = versioned(first.where(F.col("repo_id") % 3 == 0), 1)
+    _fed(live, folder, "commits", [added, corrected.union(again), again.union(corrected)])
+    return _kept(live)
+
+
+@_query()
+def stream_issue_changes(d: Domain) -> DataFrame:
+    """Metrics stored while later issues were open and some lay in other projects; the changes arrive, one batch of them irrelevant."""
+    moved = F.col("issue_id") % 10 == 0
+    open_then = F.when(F.col("resolution_date") <= F.lit(MARK), F.col("resolution_date"))
+    before = d.jira_issues.withColumns({"resolution_date": open_then, "project_id": F.when(moved, F.lit(1).cast("long")).otherwise(F.col("project_id"))})
+    live, folder = _live(d.having(jira_issues=before), "stream_issue_changes")
+    live.load()
+    versioned = lambda rows, n: rows.withColumn("version", F.lit(n).cast("long"))
+    half = F.col("issue_id") % 2 == 0
+    irrelevant = before.where("issue_id % 7 = 0").withColumn("author_id", F.col("author_id") + 1)
+    late = versioned(before.where(~half), 0)
+    _fed(live, folder, "jira_issues", [versioned(irrelevant, 1), versioned(d.jira_issues.where(half), 2), versioned(d.jira_issues.where(~half), 2), late])
+    return _kept(live)
+
+
+@_query()
+def stream_team_changes(d: Domain) -> DataFrame:
+    """Metrics stored when some teams had other members; the teams as they are arrive, and one again under a new name."""
+    other = F.when(F.col("team_id") % 4 == 1, F.lit("1,2,3")).otherwise(F.col("engineer_ids"))
+    live, folder = _live(d.having(teams=d.teams.withColumn("engineer_ids", other)), "stream_team_changes")
+    live.load()
+    versioned = lambda rows, n: rows.withColumn("version", F.lit(n).cast("long"))
+    renamed = d.teams.where("team_id = 2").withColumn("team_name", F.lit("New"))
+    _fed(live, folder, "teams", [versioned(d.teams.where("team_id % 8 = 1"), 1), versioned(d.teams, 2), versioned(renamed, 3)])
+    return _kept(live)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cyclelens import schemas
 from cyclelens.functions.scalars import id_list
-from cyclelens.operators.joins import within_rows
+from cyclelens.operators.joins import BROADCAST_ROWS, within_rows
 from cyclelens.session import adapt
 
 
@@ -59,7 +59,7 @@ class Domain:
 
     def having(self, **tables: DataFrame) -> Domain:
         """This domain with some of its tables exchanged."""
-        changed = Domain(self.spark, self._tables | tables)
+        changed = type(self)(self.spark, self._tables | tables)
         if "teams" not in tables:
             changed.__dict__ |= {k: v for k, v in self.__dict__.items() if k in ("members", "members_are_few")}
         return changed
@@ -135,3 +135,17 @@ class Domain:
 
         makers = (engineers, teams, projects, repositories, jira_issues, commits)
         return cls(spark, {make.__name__: make for make in makers})
+
+
+class StrictDomain(Domain):
+    """Base tables of which a team's id list must be readable to the last id: an unreadable one fails what reads that team."""
+
+    @cached_property
+    def members(self) -> DataFrame:
+        parts = F.transform(F.split("engineer_ids", ","), lambda part: F.trim(part).cast("bigint"))
+        return self.teams.select("team_id", F.explode(F.array_distinct(parts)).alias("engineer_id"))
+
+    @cached_property
+    def members_are_few(self) -> bool:
+        """Counted by the lists' lengths, so that no id is read."""
+        return (self.teams.agg(F.sum(F.size(F.split("engineer_ids", ",")))).first()[0] or 0) <= BROADCAST_ROWS

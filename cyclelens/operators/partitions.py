@@ -83,22 +83,94 @@ def read_by_month(spark: SparkSession, path: str) -> DataFrame:
 def recommit_date(spark: SparkSession, path: str, commit_id: str, new_date: date, staging: str) -> None:
     """Moves all stored rows of one commit to another date, rewriting only the months they leave and enter.
 
-    The new content is staged first: a folder is never overwritten while it is being read, and a failure before the
-    final write leaves the table as it was.
+    The new content is staged first, then a journal names the months, then each month's folder is exchanged. A failure at any step restores
+    the old state; a process that dies is followed up by the next call, which finishes a move that has a journal and forgets one that has none.
     """
+    recover_move(spark, path, staging)
     stored = read_by_month(spark, path)
     # Every month that holds the id, of which there are no more than months.
     found = {r[0] for r in stored.where(F.col("commit_id") == commit_id).select("commit_month").distinct().collect()}
     if not found:
         raise LookupError(f"Commit {commit_id} not found")
     months = sorted(found | {new_date.year * 100 + new_date.month})
-    affected = redate(stored.where(F.col("commit_month").isin(months)).drop("commit_month"), commit_id, new_date)
-    write_by_month(affected, staging)
-    staged = read_by_month(spark, staging).drop("commit_month")
-    emptied = set(months) - {r[0] for r in read_by_month(spark, staging).select("commit_month").distinct().collect()}
-    write_by_month(staged, path)
-    if emptied:
-        drop_months(spark, path, emptied)
+    move = _Move(spark, path, staging)
+    try:
+        affected = redate(stored.where(F.col("commit_month").isin(months)).drop("commit_month"), commit_id, new_date)
+        write_by_month(affected, move.content)
+        move.begin(months)
+        move.finish()
+    except Exception:
+        move.undo()
+        raise
+
+
+def recover_move(spark: SparkSession, path: str, staging: str) -> None:
+    """Ends a move that was cut short: by its journal if it got that far, else by dropping what was staged."""
+    move = _Move(spark, path, staging)
+    if move.months() is None:
+        move.clear()
+    else:
+        move.finish()
+
+
+class _Move:
+    """The exchange of month folders for staged ones. What has been done is read off the folders, so each step may be repeated."""
+
+    def __init__(self, spark: SparkSession, path: str, staging: str):
+        self.root, self.fs = _folder(spark, path)
+        self.staging, _ = _folder(spark, staging)
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.content = f"{staging}/content"
+
+    def _at(self, place: str, month: int):
+        return self._path(f"{self.staging}/{place}" if place else str(self.root), f"commit_month={month}")
+
+    def _rename(self, source, target) -> None:
+        self.fs.mkdirs(target.getParent())
+        if not self.fs.rename(source, target):
+            raise OSError(f"{source} could not be moved to {target}")
+
+    def begin(self, months: list[int]) -> None:
+        """The journal: an empty folder for each month, named `new-` where the table has no such month yet; complete once it bears its name."""
+        for month in months:
+            known = "" if self.fs.exists(self._at("", month)) else "new-"
+            self.fs.mkdirs(self._path(f"{self.staging}/journal-draft/{known}{month}"))
+        self._rename(self._path(f"{self.staging}/journal-draft"), self._path(f"{self.staging}/journal"))
+
+    def months(self) -> list[tuple[int, bool]] | None:
+        """(month, whether it is new) by the journal, None without one."""
+        journal = self._path(f"{self.staging}/journal")
+        if not self.fs.exists(journal):
+            return None
+        names = sorted(s.getPath().getName() for s in self.fs.listStatus(journal))
+        return [(int(n.removeprefix("new-")), n.startswith("new-")) for n in names]
+
+    def finish(self) -> None:
+        """Sets each month's old folder aside and moves the new one, if commits are left for it, to its place."""
+        for month, fresh in self.months():
+            staged, old, live = self._at("content", month), self._at("old", month), self._at("", month)
+            if not fresh and not self.fs.exists(old):
+                self._rename(live, old)
+            if self.fs.exists(staged):
+                self._rename(staged, live)
+        self.clear()
+
+    def undo(self) -> None:
+        """Puts the old folders back and forgets the move."""
+        for month, fresh in self.months() or []:
+            old, live = self._at("old", month), self._at("", month)
+            if (fresh or self.fs.exists(old)) and self.fs.exists(live):
+                self.fs.delete(live, True)
+            if self.fs.exists(old):
+                self._rename(old, live)
+        self.clear()
+
+    def clear(self) -> None:
+        """The journal goes first: without it, what else is staged means nothing."""
+        for name in ("journal", ""):
+            place = self._path(f"{self.staging}/{name}") if name else self.staging
+            if self.fs.exists(place):
+                self.fs.delete(place, True)
 
 
 def _folder(spark: SparkSession, path: str):

@@ -163,7 +163,8 @@ def _refresh(
         rows = rollups.team_rows(domain, store.replace("team_categories", rollups.team_categories(domain, rolled)))
     else:
         rows = metric_rows(domain, dimension, rolled)
-    return store.upsert(table_name(dimension), rows.withColumn("last_calculated", instant(as_of)), KEYS[dimension])
+    # An entity that lost its last commit, or is no more, loses its row.
+    return store.upsert(table_name(dimension), rows.withColumn("last_calculated", instant(as_of)), KEYS[dimension], gone=keys)
 
 
 def refresh_all(
@@ -203,6 +204,72 @@ def refresh_all(
     return {d: store.read(table_name(d)) for d in dimensions if store.exists(table_name(d))}
 
 
+#: Times that an entity's refresh is tried before it is left to a person.
+MOST_TRIES = 3
+#: Entities that are tried one by one; a failing set is halved until it is no larger.
+SINGLE = 1
+
+
+def refresh_guarded(
+    domain: Domain,
+    store: TableStore,
+    dimension: str,
+    as_of: datetime,
+    keys: DataFrame | None = None,
+    rolled: DataFrame | None = None,
+    most_tries: int = MOST_TRIES,
+) -> DataFrame:
+    """As `refresh`, but an entity that cannot be computed does not keep the others from it.
+
+    All keys are one job, as usual. Only if that fails are they halved by a hash of the key, and a half that fails again, until the bad
+    keys are alone: two jobs for each halving and bad key. These go to `refresh_retries` with the number of their tries; they are tried
+    again with the next keys until they have failed `most_tries` times, and keep their last row meanwhile. Returns the table.
+    """
+    key = KEYS[dimension]
+    wanted = owners(domain, dimension, rolled) if keys is None else keys
+    retries = _retries(store, dimension)
+    again = retries.where(F.col("tries") < most_tries).select(F.col("entity_key").cast(wanted.schema[key].dataType).alias(key))
+    spent = retries.where(F.col("tries") >= most_tries).select(F.col("entity_key").cast(wanted.schema[key].dataType).alias(key))
+    wanted = store.replace(f"{dimension}_wanted", wanted.unionByName(again).distinct().join(spent, key, "left_anti"))
+    bad: list[tuple[str, str]] = []
+
+    def attempt(part: DataFrame, depth: int) -> None:
+        part = store.replace(f"{dimension}_keys", part)
+        n = part.count()
+        if not n:
+            return
+        try:
+            _refresh(domain, store, dimension, as_of, part, rolled)
+        except Exception as error:  # noqa: BLE001 - whatever fails is narrowed down to its entities
+            if n <= SINGLE:
+                bad.append((str(part.first()[0]), str(error).splitlines()[0][:500]))
+                log_failure(store, dimension, error, as_of)
+                return
+            # Another bit of the hash each time; read from the stored table, as the keys of this half are replaced meanwhile.
+            held = store.replace(f"{dimension}_held_{depth}", part)
+            side = F.shiftright(F.xxhash64(F.lit(depth // 64), F.col(key)), depth % 64).bitwiseAND(F.lit(1))
+            for half in (0, 1):
+                attempt(held.where(side == half), depth + 1)
+
+    attempt(wanted, 0)
+    failed = store.spark.createDataFrame([(dimension, k, 1, m) for k, m in bad], RETRY)
+    counted = failed.join(retries.select("entity_key", F.col("tries").alias("before")), "entity_key", "left")
+    counted = counted.withColumn("tries", F.col("tries") + F.coalesce("before", F.lit(0))).drop("before").select(*failed.columns)
+    others = store.read("refresh_retries").where(F.col("dimension") != dimension) if store.exists("refresh_retries") else failed.limit(0)
+    untried = retries.join(spent.select(F.col(key).cast("string").alias("entity_key")), "entity_key", "left_semi")
+    store.replace("refresh_retries", others.unionByName(untried).unionByName(counted))
+    return store.read(table_name(dimension))
+
+
+RETRY = "dimension string, entity_key string, tries int, message string"
+
+
+def _retries(store: TableStore, dimension: str) -> DataFrame:
+    if not store.exists("refresh_retries"):
+        return store.spark.createDataFrame([], RETRY)
+    return store.read("refresh_retries").where(F.col("dimension") == dimension)
+
+
 def _stale(domain: Domain, stored: DataFrame, dimension: str, cutoff: Column) -> DataFrame:
     """Keys whose stored row is missing or outdated. An engineer owns a row by having commits, whether or not `engineers` knows the id."""
     return stale_keys(owners(domain, dimension), stored, KEYS[dimension], cutoff)

@@ -57,12 +57,16 @@ class TableStore:
         taken = self._versions(name)
         return self.put(name, df, int(taken[-1][1:]) + 1 if taken else 1)
 
-    def upsert(self, name: str, new: DataFrame, key: str | Sequence[str]) -> DataFrame:
-        """New rows replace stored rows of the same key; others stay. The new rows are computed once, then merged."""
+    def upsert(self, name: str, new: DataFrame, key: str | Sequence[str], gone: DataFrame | None = None) -> DataFrame:
+        """New rows replace stored rows of the same key; stored rows whose key is in `gone` and has no new row go; others stay.
+
+        The new rows are computed once, then merged.
+        """
         if not self.exists(name):
             return self.replace(name, new)
         delta = self.replace(f"{name}_delta", new)
-        return self.replace(name, replace_rows(self.read(name), delta, key))
+        old = self.read(name) if gone is None else self.read(name).join(gone, key, "left_anti")
+        return self.replace(name, replace_rows(old, delta, key))
 
     def expire(self, name: str, keep: int = 3) -> None:
         """Drops all but the newest versions; those kept leave time for readers of the version before the last."""

@@ -629,6 +629,19 @@ Q["refresh_log"] = sql(
 Q["stream_affected_refresh"] = sql(f"SELECT *, {AS_OF} AS last_calculated FROM r", r=all_rows("commits"))
 Q["stream_on_stored_metrics"] = sql("SELECT * FROM r", r=all_rows("commits"))
 Q["stream_on_stored_summary"] = f"SELECT * EXCLUDE (last_updated) FROM ({Q['stream_incremental_summary']})"
+Q["metrics_upsert_buckets"] = Q["metrics_upsert"]
+Q["ai_impact_high_water"] = CHANGED_SUMMARY
+Q["issues_of_team_posted"] = sql("SELECT * FROM s WHERE list_contains(string_split(team_ids, ','), '1')", s=STORED_SUMMARY)
+Q["refresh_with_retries"] = sql(
+    f"""SELECT team_id, {names()}, CAST(0 AS INTEGER) AS tries FROM s WHERE team_id <> 2
+        UNION ALL SELECT 2, {", ".join("NULL" for _ in NAMES)}, 1""",
+    tc=TEAM_COMMITS,
+    f=TEAM_FACT,
+    sized=TEAMS_SIZED,
+    s=TEAM_SUMMARY,
+)
+for name in ("stream_commit_updates", "stream_issue_changes", "stream_team_changes"):
+    Q[name] = Q["stream_on_stored_metrics"]
 Q["changed_tables_refresh"] = sql("SELECT * FROM r WHERE dimension IN ('project', 'category')", r=all_rows("commits"))
 
 # -- dashboard
@@ -778,6 +791,23 @@ Q["fk_orphans_found"] = sql(
        WHERE jira_issue_id NOT IN (SELECT issue_id FROM jira_issues)
        UNION ALL SELECT 'commits.repo_id->repositories.repo_id', COUNT(*) FROM commits WHERE repo_id % 9 = 0"""
 )
+KEPT_SET = "SELECT DISTINCT ON (commit_id, commit_date) * FROM commits"
+SET_COUNTS = " UNION ALL ".join(
+    f"SELECT '{t}' AS name, COUNT(*) AS n FROM {'kept' if t == 'commits' else t}"
+    for t in ("engineers", "teams", "projects", "repositories", "jira_issues", "commits")
+)
+Q["load_set_refused"] = sql(
+    f"""SELECT 'seen' AS place, * FROM ({SET_COUNTS})
+        UNION ALL SELECT 'broken', * FROM (
+        SELECT 'jira_issues.author_id->engineers.id', COUNT(*) AS n FROM jira_issues WHERE author_id NOT IN (SELECT id FROM engineers WHERE id % 10 <> 0)
+        UNION ALL SELECT 'commits.engineer_id->engineers.id', COUNT(*) FROM kept WHERE engineer_id % 10 = 0
+        UNION ALL SELECT 'commits.repo_id->repositories.repo_id', COUNT(*) FROM kept WHERE repo_id % 9 = 0) WHERE n > 0""",
+    kept=f"{KEPT_SET} WHERE commit_date <= {MARK}",
+)
+Q["load_set_published"] = sql(
+    f"SELECT name AS table_name, n FROM ({SET_COUNTS.replace('FROM teams', 'FROM teams WHERE team_id % 2 = 0')})",
+    kept=f"{KEPT_SET} WHERE lines_of_code % 2 = 0",
+)
 Q["null_violations_found"] = sql(
     " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) - COUNT({NULLED.get((t, c), c)}) AS nulls FROM {t}"
