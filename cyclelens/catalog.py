@@ -865,7 +865,7 @@ def stream_commit_updates(d: Domain) -> DataFrame:
     added = versioned(first.where(~early), 1)
     corrected = versioned(final.where(wrong), 2)
     again = versioned(first.where(F.col("repo_id") % 3 == 0), 1)
-    _fed(live, folder, "commits", [added, corrected.union(again), again.union(corrected)])
+    _fed(live, folder, "commits", [added, corrected.union(again)])
     return _kept(live)
 
 
@@ -880,8 +880,8 @@ def stream_issue_changes(d: Domain) -> DataFrame:
     versioned = lambda rows, n: rows.withColumn("version", F.lit(n).cast("long"))
     half = F.col("issue_id") % 2 == 0
     irrelevant = before.where("issue_id % 7 = 0").withColumn("author_id", F.col("author_id") + 1)
-    late = versioned(before.where(~half), 0)
-    _fed(live, folder, "jira_issues", [versioned(irrelevant, 1), versioned(d.jira_issues.where(half), 2), versioned(d.jira_issues.where(~half), 2), late])
+    late = versioned(before.where(half), 0)
+    _fed(live, folder, "jira_issues", [versioned(irrelevant, 1), versioned(d.jira_issues.where(half), 2), versioned(d.jira_issues.where(~half), 2).union(late)])
     return _kept(live)
 
 

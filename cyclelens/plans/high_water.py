@@ -50,7 +50,7 @@ class ImpactTables:
         rolled = self.store.deal(ROLLUP, engineer_rollup(domain), "issue_id")
         summary = self.store.deal(SUMMARY_TABLE, stored_facts.ai_impact_summary(domain, as_of, rolled), "issue_id")
         self.store.deal(POSTINGS, posted(summary), "team_id")
-        self.store.replace(MARK, rolled.agg(F.coalesce(F.max("last_commit_date"), F.lit(date.min)).alias("mark")))
+        self.store.replace(MARK, rolled.agg(F.coalesce(F.max("last_commit_date"), F.lit("0001-01-01").cast("date")).alias("mark")))
         return summary
 
     def advance(self, domain: Domain, folder: str, as_of: datetime) -> DataFrame:

@@ -19,11 +19,11 @@ D = date
 class Fed:
     """Live tables of a domain, and rows that arrive."""
 
-    def __init__(self, spark, domain):
+    def __init__(self, spark, domain, dimensions=refresh.REFRESHED):
         self.spark, self.folder = spark, work_dir(spark, "live")
         self.store = BucketStore(spark, f"{self.folder}/store")
-        live.Live(domain, self.store, EARLIER).load()
-        self.live = live.Live(domain, self.store, AS_OF)
+        live.Live(domain, self.store, EARLIER, dimensions).load()
+        self.live, self.dimensions = live.Live(domain, self.store, AS_OF, dimensions), dimensions
 
     def arrive(self, table, rows):
         schema = T.StructType([*schemas.SCHEMAS[table].fields, T.StructField("version", T.LongType())])
@@ -34,12 +34,12 @@ class Fed:
         run(stream, f"{self.folder}/{table}-checkpoint").awaitTermination()
 
     def versions(self):
-        names = [refresh.table_name(d) for d in refresh.REFRESHED] + ["ai_impact_summary"]
+        names = [refresh.table_name(d) for d in self.dimensions] + ["ai_impact_summary"]
         return {n: self.store._complete(n)[-1] for n in names}
 
     def check(self, domain):
         assert not self.store.exists("refresh_failures")
-        for dimension in refresh.REFRESHED:
+        for dimension in self.dimensions:
             stored = self.store.read(refresh.table_name(dimension)).drop("last_calculated")
             assert as_set(stored) == as_set(refresh.metric_rows(domain, dimension).select(stored.columns)), dimension
         whole = stored_facts.ai_impact_summary(domain, AS_OF).drop("last_updated")
@@ -68,7 +68,7 @@ def test_commits_updated_moved_repeated_and_late(spark):
 
 
 def test_issues_changed_and_teams_follow(spark):
-    fed = Fed(spark, make_domain(spark))
+    fed = Fed(spark, make_domain(spark), ("team", "project"))
     old = fed.store.read(refresh.table_name("team")).where("team_id = 1").first()
     before = fed.versions()
     # An author is no column of these metrics: the stored issue follows, no metric is written.
@@ -88,7 +88,7 @@ def test_issues_changed_and_teams_follow(spark):
 
 
 def test_teams_changed(spark):
-    fed = Fed(spark, make_domain(spark))
+    fed = Fed(spark, make_domain(spark), ("team",))
     fed.arrive("teams", [(3, "Idle", "4,2", 1), (1, "Core", "1", 1)])
     teams = [(1, "Core", "1"), (2, "Edge", "3,1"), (3, "Idle", "4,2")]
     fed.check(make_domain(spark, ROWS | {"teams": teams}))
