@@ -592,15 +592,15 @@ def all_rows(commits: str) -> str:
 
 
 Q["refresh_all_metrics"] = sql(
-    """SELECT n.*, TIMESTAMP '2001-06-26 00:00:00' AS last_calculated FROM newer n
-       JOIN stale USING (dimension, entity_key)
-       UNION ALL
-       SELECT o.*, CAST(t.day AS TIMESTAMP) FROM older o JOIN touched t USING (dimension, entity_key)
-       ANTI JOIN stale USING (dimension, entity_key)""",
+    f"""SELECT dimension, entity_key, {names("x.")},
+               CASE WHEN late THEN TIMESTAMP '2001-06-26 00:00:00' ELSE CAST(s.day AS TIMESTAMP) END AS last_calculated
+        FROM (SELECT *, TRUE AS late FROM newer UNION ALL SELECT *, FALSE FROM older) x JOIN state s USING (dimension, entity_key)
+        WHERE late = s.stale""",
     earlier=EARLIER,
     touched=TOUCHED.format(c="earlier"),
     owners=OWNERS,
-    stale=STALE,
+    state=f"""SELECT o.dimension, o.entity_key, t.day, t.day IS NULL OR t.day < {STALE_FROM} AS stale
+              FROM owners o LEFT JOIN touched t USING (dimension, entity_key)""",
     older=all_rows("earlier"),
     newer=all_rows("commits"),
 )
