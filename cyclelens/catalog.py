@@ -819,9 +819,9 @@ def refresh_with_retries(d: Domain) -> DataFrame:
 # -- streams of changes -----------------------------------------------------------------------------------------------
 
 
-def _live(d: Domain, label: str) -> tuple[Live, str]:
+def _live(d: Domain, label: str, as_of: datetime = AS_OF, dimensions: tuple[str, ...] = refresh.REFRESHED) -> tuple[Live, str]:
     folder = work_dir(d.spark, label)
-    return Live(d, BucketStore(d.spark, f"{folder}/store"), AS_OF), folder
+    return Live(d, BucketStore(d.spark, f"{folder}/store"), as_of, dimensions), folder
 
 
 def _fed(live: Live, folder: str, table: str, batches: list[DataFrame]) -> None:
@@ -895,3 +895,11 @@ def stream_team_changes(d: Domain) -> DataFrame:
     renamed = d.teams.where("team_id = 2").withColumn("team_name", F.lit("New"))
     _fed(live, folder, "teams", [versioned(d.teams.where("team_id % 8 = 1"), 1), versioned(d.teams, 2), versioned(renamed, 3)])
     return _kept(live)
+
+
+@_query()
+def current_from_stored(d: Domain) -> DataFrame:
+    """Teams and projects stored at MARK and read at AS_OF: outdated, so refreshed from the stored tables and not from the commits."""
+    live, _ = _live(d, "current_from_stored", MARK_TIME, ("team", "project"))
+    live.load()
+    return refresh.all_rows({k: live.current(k, AS_OF) for k in live.dimensions})

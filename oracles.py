@@ -642,6 +642,7 @@ Q["refresh_with_retries"] = sql(
 )
 for name in ("stream_commit_updates", "stream_issue_changes", "stream_team_changes"):
     Q[name] = Q["stream_on_stored_metrics"]
+Q["current_from_stored"] = sql(f"SELECT *, {AS_OF} AS last_calculated FROM r WHERE dimension IN ('team', 'project')", r=all_rows("commits"))
 Q["changed_tables_refresh"] = sql("SELECT * FROM r WHERE dimension IN ('project', 'category')", r=all_rows("commits"))
 
 # -- dashboard

@@ -97,6 +97,26 @@ def test_teams_changed(spark):
     assert fed.versions() == before and fed.store.read("teams").where("team_id = 2").first().team_name == "Border"
 
 
+def test_a_read_asks_no_base_table(spark):
+    """Base tables that fail as soon as they are read: neither a fresh nor an outdated read touches them."""
+    domain = make_domain(spark)
+    store = BucketStore(spark, work_dir(spark, "live"))
+    kept = live.Live(domain, store, EARLIER, ("team",))
+    kept.load()
+    lost = {t: domain.table(t).withColumn(domain.table(t).columns[0], F.raise_error(F.lit("read")).cast(domain.table(t).schema[0].dataType)) for t in schemas.TABLES}
+    kept.base = domain.having(**lost)
+    before = store._complete(refresh.table_name("team"))
+    fresh = kept.current("team", datetime(2024, 2, 1, 12))
+    assert store._complete(refresh.table_name("team")) == before and fresh.count() == 3
+    assert all(f.startswith(f"file:{store.root}") or store.root in f for f in fresh.inputFiles())
+    # One team is refreshed by itself, then the others.
+    one = kept.current("team", AS_OF, entity=2).collect()
+    assert [(r.team_id, r.last_calculated) for r in one] == [(2, AS_OF)]
+    assert sorted((r.team_id, r.last_calculated) for r in store.read(refresh.table_name("team")).collect()) == [(1, EARLIER), (2, AS_OF), (3, EARLIER)]
+    rows = kept.current("team", AS_OF)
+    assert as_set(rows.drop("last_calculated")) == as_set(refresh.metric_rows(domain, "team").select(rows.drop("last_calculated").columns))
+
+
 def test_daily_counts_add_up_to_nothing(spark):
     rows = [(1, 1, D(2024, 1, 1), 1, 1), (1, 1, D(2024, 1, 1), -1, -1), (1, 1, D(2024, 1, 2), 1, 0), (1, None, D(2024, 1, 2), 1, 0)]
     daily = live.daily_counts(spark.createDataFrame(rows, live.SIGNED))
