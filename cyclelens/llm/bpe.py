@@ -26,6 +26,8 @@ from cyclelens.llm.common import mapped, table
 
 #: Symbols that a transducer takes before it emits what is stable; characters of a text that are split into words at once.
 BLOCK, STRETCH = 512, 1 << 16
+#: Characters of a run without white space that are taken at once, where the run is longer than two stretches.
+SEGMENT = 1 << 14
 #: Words whose ids a task remembers.
 REMEMBERED = 400_000
 #: Longest word that is remembered; a longer one goes through the transducer each time.
@@ -109,6 +111,17 @@ class Merges:
             for word, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(run)):
                 yield bytes(map(self.letters.__getitem__, word))
 
+    def one_word(self, before: str, after: str) -> bool:
+        """Whether two neighbouring characters, of which neither is an apostrophe, lie in one word."""
+        return len(self.splitter.pre_tokenize_str(before + after)) == 1
+
+    def edges(self, run: str) -> tuple[str, str]:
+        """The first and the last character of a run once it is normalised."""
+        plain = normal(run)
+        if not plain.isascii() and max(plain) >= chr(FAMILIAR):
+            plain = self.normalizer.normalize_str(run)
+        return plain[:1], plain[-1:]
+
     def merged(self, symbols: list[int]) -> list[int]:
         """All merges applied in order of rank, the leftmost first."""
         if len(symbols) > 64:
@@ -217,18 +230,64 @@ class Encoder(Remembered):
             self.keep(run, out)
         return out
 
+    def part(self, part: bytes, last: bool) -> bytes:
+        """Ids that are certain once this part of a word is read. The last byte of a word is another symbol than the same byte within it."""
+        m, ids = self.merges, []
+        inner = part[:-1] if last else part
+        for k in range(0, len(inner), BLOCK):
+            ids.extend(self.transducer.feed(map(m.inner.__getitem__, inner[k : k + BLOCK])))
+        if last:
+            self.transducer.symbols.append(m.final[part[-1]])
+            ids.extend(self.transducer.finish())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def segments(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """Ids of the run that text[at:end] is, a segment at a time; a word that goes on over a cut is one word to the transducer."""
+        m = self.merges
+        held, begun, before = b"", False, ""
+        while at < end:
+            cut = _cut_after(text, at, end)
+            run = text[at:cut]
+            words = list(m.words(run))
+            first, last = m.edges(run)
+            if held:
+                goes_on = m.one_word(before, first)
+                if goes_on or begun:
+                    yield self.part(held, not goes_on)
+                else:
+                    yield self.known.get(held) or self.word(held)
+                begun = goes_on
+                if begun and len(words) > 1:
+                    yield self.part(words.pop(0), True)
+                    begun = False
+            for word in words[:-1]:
+                yield self.known.get(word) or self.word(word)
+            held, before, at = words[-1], last, cut
+        if held:
+            yield self.part(held, True) if begun else self.known.get(held) or self.word(held)
+
+    def long(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """Ids of a run of any length; special tokens part it."""
+        m = self.merges
+        for found in m.split.finditer(text, at, end) if m.split else ():
+            yield from self.segments(text, at, found.start())
+            yield struct.pack("<I", m.special[found.group()])
+            at = found.end()
+        yield from self.segments(text, at, end)
+
+    def ids(self, text: str, stretch: int | None = None) -> Iterator[bytes]:
+        """Ids of a text as they become certain."""
+        for part in runs(text, stretch or STRETCH):
+            if isinstance(part, tuple):
+                yield from self.long(text, *part)
+            else:
+                yield b"".join(map(self.__getitem__, part))
+
     def word(self, word: bytes) -> bytes:
         out = self.known.old.get(word)
         if out is None:
-            m, ids = self.merges, []
-            if len(word) > SHORT:  # the last byte ends the word, so it is held back
-                for k in range(0, len(word) - 1, BLOCK):
-                    ids.extend(self.transducer.feed(map(m.inner.__getitem__, word[k : min(k + BLOCK, len(word) - 1)])))
-            else:
-                self.transducer.symbols = [*map(m.inner.__getitem__, word[:-1])]
-            self.transducer.symbols.append(m.final[word[-1]])
-            ids.extend(self.transducer.finish())
-            out = struct.pack(f"<{len(ids)}I", *ids)
+            self.transducer.symbols = []
+            out = self.part(word, True)
         if len(word) <= SHORT:
             self.known.keep(word, out)
         return out
@@ -243,13 +302,40 @@ _UNLIKE = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
 
-def runs(text: str, stretch: int = STRETCH) -> Iterator[list[str]]:
-    """The text's runs of other than white space, a stretch at a time."""
+_LAST_SPACE = regex.compile("(?r)" + _SPACES.pattern)
+
+
+def _alone(c: str) -> bool:
+    """Whether normalising never joins the character to what is before it: no mark, no part of a Korean syllable, nothing unassigned."""
+    return unicodedata.category(c)[0] in "LNPS" and not unicodedata.combining(c) and not ("\u1100" <= c <= "\u11ff" or "\ua960" <= c <= "\ua97f" or "\ud7b0" <= c <= "\ud7ff")
+
+
+def _cut_after(text: str, at: int, end: int) -> int:
+    """Where a segment that begins at `at` may end, so that normalising and splitting each side gives the same words but for one that goes on.
+
+    An apostrophe may make a word with up to two characters that follow it, so none lies near a cut.
+    """
+    cut = at + SEGMENT
+    while cut < end and not (_alone(text[cut]) and "'" not in text[cut - 3 : cut + 1]):
+        cut += 1
+    return min(cut, end)
+
+
+def runs(text: str, stretch: int = STRETCH) -> Iterator[list[str] | tuple[int, int]]:
+    """The text's runs of other than white space, a stretch at a time; of a run of more than two stretches its place alone."""
     unlike, at = _UNLIKE.search(text) is not None, 0
     while at < len(text):
-        end = at + stretch
+        end = min(at + stretch, len(text))
         if end < len(text):
-            space = _SPACES.search(text, end)
+            space = _SPACES.search(text, end, end + stretch)
+            if space is None and end + stretch < len(text):
+                space = _LAST_SPACE.search(text, at, end)
+                if space is None:
+                    space = _SPACES.search(text, end)
+                    end = space.start() if space else len(text)
+                    yield at, end
+                    at = end
+                    continue
             end = space.end() if space else len(text)
         part = text[at:end]
         # str.split takes four control characters for white space that the tokenizers take for characters.
@@ -300,11 +386,13 @@ def loaded(path: str) -> tuple[Encoder, Decoder]:
 
 
 def digest(text: str, encoder: Encoder, decoder: Decoder) -> tuple[int, str, str]:
-    """Number of ids, and SHA-256 of the ids and of the decoded text; only one stretch of either is held."""
+    """Number of ids, and SHA-256 of the ids and of the decoded text; of either, two stretches or a segment of a long run are held.
+
+    Only a run of combining marks is held whole, as their order is not certain before its end.
+    """
     n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
     decoder.reset()
-    for part in runs(text):
-        data = b"".join(map(encoder.__getitem__, part))
+    for data in encoder.ids(text):
         n += len(data) // 4
         of_ids.update(data)
         of_text.update(decoder.feed(memoryview(data).cast("I")).encode())
@@ -315,7 +403,7 @@ def digest(text: str, encoder: Encoder, decoder: Decoder) -> tuple[int, str, str
 def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 of the text encoded and decoded again.
 
-    A null text is an empty one, which has no ids. The file at `path` is read on the executors, where it must lie as on the driver.
+    A null text is an empty one, which has no ids; a very long one is read in parts, also where it has no white space. The file at `path` is read on the executors, where it must lie as on the driver.
     Rows that repeat get a row each; other columns are not read.
     """
 

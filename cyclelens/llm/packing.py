@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cyclelens.llm.bpe import loaded, runs
+from cyclelens.llm.bpe import loaded
 from cyclelens.llm.common import mapped, table, written
 
 WINDOW, TIERS = 4096, (512, 1024, 2048, 4096)
@@ -59,8 +59,8 @@ def _cut(text: str, encoder) -> tuple[list[tuple[int, int, int, list[int]]], int
             at += len(part)
         return data[at:]
 
-    for part in runs(text):
-        held = take(held + b"".join(map(encoder.__getitem__, part)), False)
+    for data in encoder.ids(text):
+        held = take(held + data, False)
     take(held + END.to_bytes(4, "little"), True)
     return pieces, start
 
