@@ -20,8 +20,8 @@ from cyclelens.llm.common import mapped, table, written
 K, SCALE, EVERY = 5, 256, 50
 #: Vectors and queries in a block, about.
 VECTORS, QUERIES = 16_384, 4_096
-#: Rows of each list that are read first; each further step reads twice as many.
-FIRST = 256
+#: Rows of each list that are read first; each further step reads as many as all before.
+FIRST = 8
 
 
 def integers(rows: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
@@ -45,6 +45,7 @@ class Lists:
         # Sums of products are exact in doubles below 2**53; beyond, integers are used.
         self.largest = float(np.abs(self.vectors).max(initial=0)) if self.vectors.size else 0.0
         self.floats = self.vectors.astype(float)
+        self.squares = np.einsum("ij,ij->i", self.floats, self.floats)
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows other than the query's own: higher scores first, then smaller ids."""
@@ -61,7 +62,7 @@ class Lists:
             seen[self.falling[up, depth:to].ravel()] = True
             seen[self.falling[~up, n - to : n - depth].ravel()] = True
             new = np.flatnonzero(seen & ~met)
-            met, depth, step = seen, to, step * 2
+            met, depth, step = seen, to, to
             new = new[self.ids[new] != query_id]
             rows = np.concatenate([best, new])
             scores = np.concatenate([scores, data[new] @ q])
@@ -71,12 +72,32 @@ class Lists:
                 break
             # The most that a row not met can score: in each list it lies beyond the last row read.
             last = np.where(up, self.falling[:, to - 1], self.falling[:, n - to])
-            bound = data[last, np.arange(dims)] @ q
-            if len(best) == k and bound < scores[-1]:
+            edge = data[last, np.arange(dims)]
+            if len(best) == k and (edge @ q < scores[-1] or _most(edge, q, self.squares[~met].max()) < scores[-1]):
                 break
         return self.ids[best], scores.astype(np.int64)
 
 
+#: Multipliers that the bound by length tries, in units of the query's length over the rows' greatest.
+_TRIED = np.geomspace(1 / 16, 16, 33)
+
+
+def _most(edge: np.ndarray, query: np.ndarray, square: float) -> float:
+    """No row scores more whose components lie beyond `edge` in the direction of the query and whose squared length is `square` at most.
+
+    For any m > 0 the product a*y is at most the greatest a*y - m/2 * (y*y - square) over all y that are not beyond the edge, which each
+    component reaches at a/m or at the edge. The least over some m is taken, and a little more for rounding.
+    """
+    a, y = np.abs(query).astype(float), np.where(query >= 0, edge, -edge).astype(float)
+    length = float(np.sqrt(a @ a))
+    if not length or not square > 0:
+        return float("inf")
+    m = _TRIED[:, None] * (length / np.sqrt(square))
+    y = np.minimum(y, a / m)
+    bounds = y @ a - m[:, 0] / 2 * (np.einsum("ij,ij->i", y, y) - square)
+    return float(bounds.min() + 1e-9 * (length * np.sqrt(square) + 1))
+
+
 def _stacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
     """Vectors as rows; a shorter one is filled with zeros."""
     out = np.zeros((len(column), width), dtype=np.int64)

@@ -216,3 +216,34 @@ def test_pipeline(spark):
 
 def test_awkward_covers_repeats():
     assert Counter(awkward())[awkward()[5]] == 2
+
+
+def test_lengths_bound_what_is_not_met():
+    """Where dimensions differ in spread, fewer than half of the rows are scored, with the result of a full scan."""
+    rng = np.random.default_rng(11)
+    v = (rng.normal(size=(8_000, 16)) * 256 * 0.6 ** np.arange(16)).astype(np.int64)
+    lists, scored = topk.Lists(np.arange(8_000), v), 0
+    real = lists.floats
+
+    class Counting:
+        def __getitem__(self, rows):
+            nonlocal scored
+            scored += len(rows) if isinstance(rows, np.ndarray) else 0
+            return real[rows]
+
+    lists.floats = Counting()
+    for query in v[:40]:
+        ids, scores = lists.top(-1, query, 5)
+        every = v @ query
+        best = np.lexsort((np.arange(len(v)), -every))[:5]
+        assert ids.tolist() == best.tolist() and scores.tolist() == every[best].tolist()
+    assert scored < 0.5 * 40 * len(v), scored / 40 / len(v)
+
+
+def test_bound_by_length_holds():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        rows = rng.normal(size=(50, 5)) * rng.uniform(0.1, 9, 5)
+        query = rng.normal(size=5) * rng.integers(0, 2, 5)
+        edge = np.where(query >= 0, rows.max(axis=0), rows.min(axis=0))
+        assert topk._most(edge, query, (rows * rows).sum(axis=1).max()) >= (rows @ query).max()
