@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclelens.llm.common import in_few_tasks, mapped, named, picked, table, told_apart, without, written
@@ -269,6 +269,31 @@ def _pruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return mapped(joined.select("a", "b", "sig_a", "sig_b"), _prune, "a long, b long")
 
 
+def _block(label: Column, number: Column) -> Column:
+    """A block's name within its bucket; two blocks of one name would be searched as one."""
+    return F.xxhash64(label.cast("long"), number.cast("long"))
+
+
+def _meetings(sizes: DataFrame) -> DataFrame:
+    """(bucket, block, left, right): the pairs of blocks that hold different components, each with either of its blocks.
+
+    `sizes` has a row for each bucket and label. Blocks of one component do not meet, so a bucket whose nodes are joined but for a few has
+    about as many rows to exchange as nodes.
+    """
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    large = sizes.where("own is not null").select("bucket", "label", "own")
+    own = large.select("bucket", "label", numbers(F.col("own")).alias("k")).select("bucket", _block(F.col("label"), F.col("k")).alias("y"))
+    shared = sizes.where("mixed > 0").select("bucket", "mixed").distinct().select("bucket", numbers(F.col("mixed")).alias("k"))
+    shared = shared.select("bucket", _block(F.lit(None), F.col("k")).alias("x"))
+    within = shared.join(shared.select("bucket", F.col("x").alias("y")), "bucket").where("x <= y")
+    other = large.select("bucket", F.col("label").alias("label_y"), F.col("own").alias("own_y"))
+    apart = large.join(other, "bucket").where("label < label_y").withColumn("k", numbers(F.col("own"))).withColumn("m", numbers(F.col("own_y")))
+    apart = apart.select("bucket", _block(F.col("label"), F.col("k")).alias("x"), _block(F.col("label_y"), F.col("m")).alias("y"))
+    pairs = within.union(shared.join(own, "bucket").select("bucket", "x", "y")).union(apart)
+    pairs = pairs.select("bucket", F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
+    return pairs.select("bucket", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"), "left", "right").distinct()
+
+
 def _blocks(members: DataFrame, labels: DataFrame, columns: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, dealt to blocks of bounded size, each pair of blocks one after another.
 
@@ -276,11 +301,17 @@ def _blocks(members: DataFrame, labels: DataFrame, columns: DataFrame) -> DataFr
     """
     named = members.join(labels, members["node"] == labels["of"], "left").select("bucket", "band", "node", "pivot", F.coalesce("label", "node").alias("label"))
     named = written(named, "near-labelled")
-    split = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-    split = written(split.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-split-buckets")
-    held = named.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("bucket", "band", "node", "pivot", "label", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("n").alias("rows"), F.sum(F.when(F.col("n") < BLOCK, F.col("n"))).alias("small"))
+    split = split.where("labels > 1 and rows > 2").select("bucket", F.ceil(F.coalesce("small", F.lit(0)) / BLOCK).alias("mixed"))
+    sizes = written(sizes.join(split, "bucket").withColumn("own", F.when(F.col("n") >= BLOCK, F.ceil(F.col("n") / BLOCK))), "near-split-buckets")
+    sides = written(_meetings(sizes), "near-block-pairs")
+    # A component of a block or more has blocks of its own; the others share some.
+    of_bucket, of_label = F.col("of_bucket") == named["bucket"], F.col("of_label") == named["label"]
+    held = named.join(sizes.select(F.col("bucket").alias("of_bucket"), F.col("label").alias("of_label"), "own", "mixed"), of_bucket & of_label)
+    of = F.when(F.col("own").isNotNull(), _block(F.col("label"), F.pmod(F.xxhash64("node"), F.col("own")))).otherwise(_block(F.lit(None), F.pmod(F.xxhash64("node"), F.col("mixed"))))
+    held = held.select("bucket", "band", "node", "pivot", "label", of.alias("block")).join(sides, ["bucket", "block"])
+    held = held.select("bucket", "band", "node", "pivot", "label", "block", "left", "right")
     held = held.join(columns, held["node"] == columns["of"]).drop("of")
     return held.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
 
