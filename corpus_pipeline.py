@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The quality model's sampling and the tokenizer's ids have no SQL form; the operators are tested singly, the five stages together are not.
+#: The quality model's sampling and the tokenizer's ids have no SQL form; tests/llm/test_pipeline.py compares run() with plain Python.
 ORACLE_SQL = None
