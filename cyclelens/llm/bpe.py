@@ -28,8 +28,8 @@ from cyclelens.llm.common import mapped, table
 BLOCK, STRETCH = 512, 1 << 16
 #: Characters of a run without white space that are taken at once, where the run is longer than two stretches.
 SEGMENT = 1 << 14
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Runs and words whose ids a task remembers, twice as many of each at most.
+REMEMBERED, WORDS = 400_000, 100_000
 #: Longest word that is remembered; a longer one goes through the transducer each time.
 SHORT = 64
 #: Code points below are taken apart here.
@@ -212,7 +212,7 @@ class Encoder(Remembered):
     def __init__(self, merges: Merges):
         super().__init__(REMEMBERED)
         self.merges = merges
-        self.known = Remembered(REMEMBERED)
+        self.known = Remembered(WORDS)
         self.transducer = Transducer(merges)
 
     def __missing__(self, run: str) -> bytes:
@@ -286,8 +286,13 @@ class Encoder(Remembered):
     def word(self, word: bytes) -> bytes:
         out = self.known.old.get(word)
         if out is None:
-            self.transducer.symbols = []
-            out = self.part(word, True)
+            if len(word) > SHORT:
+                self.transducer.symbols = []
+                out = self.part(word, True)
+            else:
+                m = self.merges
+                ids = m.merged([*map(m.inner.__getitem__, word[:-1]), m.final[word[-1]]])
+                out = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= SHORT:
             self.known.keep(word, out)
         return out
