@@ -15,6 +15,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 import regex
@@ -28,8 +29,8 @@ from cyclelens.llm.common import mapped, table
 BLOCK, STRETCH = 512, 1 << 16
 #: Characters of a run without white space that are taken at once, where the run is longer than two stretches.
 SEGMENT = 1 << 14
-#: Runs and words whose ids a task remembers, twice as many of each at most.
-REMEMBERED, WORDS = 400_000, 100_000
+#: Runs and words whose ids a task remembers, twice as many of each at most. Runs are only remembered where characters are not all familiar.
+REMEMBERED, WORDS = 100_000, 200_000
 #: Longest word that is remembered; a longer one goes through the transducer each time.
 SHORT = 64
 #: Code points below are taken apart here.
@@ -127,7 +128,7 @@ class Merges:
         if len(symbols) > 64:
             return self._merged_long(symbols)
         get, none = self.pairs.get, len(self.made)
-        ranks = [get(pair, none) for pair in zip(symbols, symbols[1:])]
+        ranks = list(map(get, zip(symbols, symbols[1:]), repeat(none)))
         while ranks:
             rank = min(ranks)
             if rank == none:
@@ -213,8 +214,17 @@ class Encoder(Remembered):
         super().__init__(REMEMBERED)
         self.merges = merges
         self.known = Remembered(WORDS)
+        self.plain = Plain(self)
         self.transducer = Transducer(merges)
 
+    def familiar(self, part: str) -> list[str] | None:
+        """The words of a stretch that needs neither the library's splitter nor its special tokens, which only ask for white space to be no word."""
+        m = self.merges
+        if m.special and m.mark in part:
+            return None
+        plain = normal(part)
+        return m.pieces.findall(plain) if plain.isascii() or max(plain) < chr(FAMILIAR) else None
+
     def __missing__(self, run: str) -> bytes:
         out = self.old.get(run)
         if out is None:
@@ -277,26 +287,48 @@ class Encoder(Remembered):
 
     def ids(self, text: str, stretch: int | None = None) -> Iterator[bytes]:
         """Ids of a text as they become certain."""
-        for part in runs(text, stretch or STRETCH):
+        unlike = _UNLIKE.search(text) is not None
+        for part in stretches(text, stretch or STRETCH):
             if isinstance(part, tuple):
                 yield from self.long(text, *part)
+            elif (words := self.familiar(part)) is not None:
+                yield b"".join(map(self.plain.__getitem__, words))
             else:
-                yield b"".join(map(self.__getitem__, part))
+                yield b"".join(map(self.__getitem__, _parted(part, unlike)))
 
     def word(self, word: bytes) -> bytes:
         out = self.known.old.get(word)
         if out is None:
-            if len(word) > SHORT:
-                self.transducer.symbols = []
-                out = self.part(word, True)
-            else:
-                m = self.merges
-                ids = m.merged([*map(m.inner.__getitem__, word[:-1]), m.final[word[-1]]])
-                out = struct.pack(f"<{len(ids)}I", *ids)
+            out = self.encoded(word)
         if len(word) <= SHORT:
             self.known.keep(word, out)
         return out
 
+    def encoded(self, word: bytes) -> bytes:
+        """Ids of a whole word."""
+        if len(word) > SHORT:
+            self.transducer.symbols = []
+            return self.part(word, True)
+        m = self.merges
+        ids = m.merged([*map(m.inner.__getitem__, word[:-1]), m.final[word[-1]]])
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Plain(Remembered):
+    """Ids of a word of familiar characters; remembers short words."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__(WORDS)
+        self.word = encoder.encoded
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.old.get(word)
+        if out is None:
+            out = self.word(word.encode())
+        if len(word) <= SHORT:
+            self.keep(word, out)
+        return out
+
 
 def normal(text: str) -> str:
     """NFC, then every character's own lower case (no special form of a sigma that ends a word)."""
@@ -326,9 +358,9 @@ def _cut_after(text: str, at: int, end: int) -> int:
     return min(cut, end)
 
 
-def runs(text: str, stretch: int = STRETCH) -> Iterator[list[str] | tuple[int, int]]:
-    """The text's runs of other than white space, a stretch at a time; of a run of more than two stretches its place alone."""
-    unlike, at = _UNLIKE.search(text) is not None, 0
+def stretches(text: str, stretch: int = STRETCH) -> Iterator[str | tuple[int, int]]:
+    """The text in parts that end at white space; of a run without any of more than two stretches its place alone."""
+    at = 0
     while at < len(text):
         end = min(at + stretch, len(text))
         if end < len(text):
@@ -342,12 +374,15 @@ def runs(text: str, stretch: int = STRETCH) -> Iterator[list[str] | tuple[int, i
                     at = end
                     continue
             end = space.end() if space else len(text)
-        part = text[at:end]
-        # str.split takes four control characters for white space that the tokenizers take for characters.
-        yield [r for r in _SPACES.split(part) if r] if unlike else part.split()
+        yield text[at:end]
         at = end
 
 
+def _parted(part: str, unlike: bool) -> list[str]:
+    """The runs of other than white space. str.split takes four control characters for white space that the tokenizers take for characters."""
+    return [r for r in _SPACES.split(part) if r] if unlike else part.split()
+
+
 class Decoder:
     """Text of ids that come in parts: bytes go through an incremental UTF-8 decoder, so that nothing is emitted before it is whole.
 

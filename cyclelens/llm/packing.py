@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from cyclelens.llm.bpe import loaded
+from cyclelens.llm.bpe import SHORT, Encoder, Merges, byte_letters
 from cyclelens.llm.common import mapped, table, written
 
 WINDOW, TIERS = 4096, (512, 1024, 2048, 4096)
@@ -44,6 +45,30 @@ def parts_of(length: int) -> list[int]:
     return out
 
 
+class LibraryEncoder(Encoder):
+    """Ids as the library's own model gives them for each short word; only a long word goes through the transducer, which need not hold it."""
+
+    def __init__(self, path: str):
+        super().__init__(Merges(path))
+        self.model = Tokenizer.from_file(path).model
+        self.letter = dict(enumerate(byte_letters()))
+        self.of_id = {i: i.to_bytes(4, "little") for i in self.merges.tokens}
+
+    def encoded(self, word: bytes) -> bytes:
+        if len(word) > SHORT:
+            return super().encoded(word)
+        return b"".join([self.of_id[token.id] for token in self.model.tokenize(word.decode("latin-1").translate(self.letter))])
+
+
+_LOADED: dict[str, LibraryEncoder] = {}
+
+
+def loaded(path: str) -> LibraryEncoder:
+    if path not in _LOADED:
+        _LOADED[path] = LibraryEncoder(path)
+    return _LOADED[path]
+
+
 def _cut(text: str, encoder) -> tuple[list[tuple[int, int, int, list[int]]], int]:
     """(start, length, CRC-32 of the ids, CRC-32 of each part) of each piece, and the document's ids; a stretch and a window are held."""
     pieces, held, start = [], b"", 0
@@ -77,7 +102,7 @@ def pieces_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Each document's whole windows and remainder, the remainder with the CRCs of its parts, and a number for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = loaded(path)
+        encoder = loaded(path)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [])
             for k, text in enumerate(batch.column(1)):
