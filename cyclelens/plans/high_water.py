@@ -49,10 +49,15 @@ class ImpactTables:
         """Everything anew from all commits of the domain."""
         rolled = self.store.deal(ROLLUP, engineer_rollup(domain), "issue_id")
         summary = self.store.deal(SUMMARY_TABLE, stored_facts.ai_impact_summary(domain, as_of, rolled), "issue_id")
-        self.store.deal(POSTINGS, posted(summary), "team_id")
+        self._post(summary)
         self.store.replace(MARK, rolled.agg(F.coalesce(F.max("last_commit_date"), F.lit("0001-01-01").cast("date")).alias("mark")))
         return summary
 
+    def _post(self, summary: DataFrame) -> None:
+        """All postings from the stored summary: their number is read off it, so they are not staged to be counted."""
+        rows = posted(summary)
+        self.store.deal(POSTINGS, rows, "team_id", self.store.buckets_for(rows))
+
     def advance(self, domain: Domain, folder: str, as_of: datetime) -> DataFrame:
         """The summary with the commits in `folder` after the mark taken in; `domain` gives the other tables.
 
@@ -81,7 +86,11 @@ class ImpactTables:
         rows = stored_facts.ai_impact_summary(domain, as_of, store.lookup(ROLLUP, issues))
         before = store.replace("impact_before", posted(store.lookup(SUMMARY_TABLE, issues)).select("team_id", "issue_id"))
         store.upsert(SUMMARY_TABLE, rows, "issue_id", gone=issues)
-        store.upsert(POSTINGS, posted(store.lookup(SUMMARY_TABLE, issues)), ("team_id", "issue_id"), gone=before, by="team_id")
+        if store.touches_most(POSTINGS, before):
+            # Nearly all buckets would be read, joined and written: the summary's rows by team are the same and need no join.
+            self._post(store.read(SUMMARY_TABLE))
+        else:
+            store.upsert(POSTINGS, posted(store.lookup(SUMMARY_TABLE, issues)), ("team_id", "issue_id"), gone=before, by="team_id")
         store.replace(MARK, store.spark.createDataFrame([(until,)], "mark date"))
         for name in (ROLLUP, SUMMARY_TABLE, POSTINGS, MARK, ARRIVED, f"{ARRIVED}_next", "impact_issues", "impact_before", *(f"{t}_{x}" for t in (SUMMARY_TABLE, POSTINGS) for x in ("delta", "gone"))):
             if store.exists(name):
