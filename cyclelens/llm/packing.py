@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cyclelens.llm.bpe import SHORT, Encoder, Merges, byte_letters
-from cyclelens.llm.common import mapped, table, written
+from cyclelens.llm.common import mapped, small_batches, table, written
 
 WINDOW, TIERS = 4096, (512, 1024, 2048, 4096)
 #: The id that ends each document.
@@ -116,7 +116,8 @@ def pieces_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = mapped(source, run, "doc_id long, start long, length long, ids_crc32 long, part_crcs array<long>, doc_tokens long")
-    return written(cut.withColumn("piece", F.monotonically_increasing_id()), "packing-pieces")
+    with small_batches(docs.sparkSession):
+        return written(cut.withColumn("piece", F.monotonically_increasing_id()), "packing-pieces")
 
 
 def plan(histogram: dict[int, int], full: float = 0.0) -> tuple[np.ndarray, int, dict[int, int]]:
