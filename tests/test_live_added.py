@@ -2,18 +2,23 @@
 
 import re
 from datetime import date as D
+from functools import reduce
 
-from pyspark.sql import Window
+import pytest
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclelens import catalog
+from cyclelens.operators.facts import engineer_rollup
+from cyclelens.plans import refresh, stored_facts
 from cyclelens.session import work_dir
 from cyclelens.sources.buckets import RUNS, BucketStore
 from cyclelens.streaming import live
 from tests.conftest import ROWS, as_set, make_domain
-from tests.test_live import Fed
-from tests.test_scale import executed
+from tests.test_live import AS_OF, Fed
+from tests.test_scale import executed, no_broadcast  # noqa: F401
 from tests.test_shuffles import star_of
+from tests.test_tallies import _odd
 
 LAST = "commit_id string, version long, issue_id long, engineer_id long, day date, ai boolean"
 
@@ -85,3 +90,70 @@ def test_commits_named_apart_are_as_before(spark, tmp_path):
     before = whole.withColumn("commit_id", F.when(F.col("nth") == 1, F.col("commit_id")).otherwise(F.concat_ws("#", "commit_id", "nth"))).drop("nth")
     now = catalog._named_apart(star)
     assert as_set(now) == as_set(before) and now.where("commit_id LIKE '%#%'").count() > 0
+
+
+def daily(spark, rows):
+    return spark.createDataFrame(rows, live.SIGNED)
+
+
+def test_added_rows_are_summed_up(spark):
+    store = BucketStore(spark, work_dir(spark, "added"), bucket_rows=2)
+    first = [(i, 1, D(2024, 1, 1), 1, 1) for i in range(6)] + [(None, None, None, 1, 0)]
+    store.deal("d", live.daily_dealt(daily(spark, first), 3), "issue_id", 3)
+    store.add("d", live.daily_dealt(daily(spark, [(0, 1, D(2024, 1, 1), -1, -1), (1, 1, D(2024, 1, 1), 1, 0), (9, 9, D(2024, 1, 1), 1, 0)]), 3), sums=("commits", "ai"), tag=4)
+    left = sorted(map(str, daily(spark, [(1, 1, D(2024, 1, 1), 2, 1), *[r for r in first[2:]], (9, 9, D(2024, 1, 1), 1, 0)]).collect()))
+    assert sorted(map(str, store.read("d").collect())) == left and store.read("d", every=True).count() == 10
+    assert store.added("d").count() == 3 and store.tag("d") == 4
+    store.compact("d", 1)
+    assert sorted(map(str, store.read("d", every=True).collect())) == left and store.tag("d") == 4
+
+
+def test_daily_counts_are_dealt_by_one_shuffle(spark):
+    found = live.daily_dealt(daily(spark, [(1, 1, D(2024, 1, 1), 1, 0), (1, 1, D(2024, 1, 1), 1, 1), (2, 1, None, 1, 0), (2, 1, None, -1, 0)]), 4)
+    assert len(re.findall(r"Exchange hashpartitioning", executed(found))) == 1
+    assert [tuple(r) for r in found.drop("__bucket").collect()] == [(1, 1, D(2024, 1, 1), 2, 1)]
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_small_and_large_batches_give_the_same(spark, monkeypatch, many):
+    """Daily counts merged into their buckets, or added beside the old ones; and one kind after the other."""
+    monkeypatch.setattr(live, "MANY", many)
+    fed = Fed(spark, make_domain(spark))
+    fed.arrive("commits", [("a", 1, 10, 1, D(2024, 1, 9), True, 10, 1), ("f", 5, 15, 2, D(2024, 2, 10), True, 3, 1)])
+    assert ("merge" in fed.store._list("daily")) is (many > 0)
+    monkeypatch.setattr(live, "MANY", 10**9 - many)
+    fed.arrive("commits", [("d", 3, 11, 2, D(2024, 1, 8), False, 1, 1), ("a", 1, 10, 1, D(2024, 1, 7), True, 10, 2)])
+    changed = {"a": (1, 10, 1, D(2024, 1, 7), True, 10), "d": (3, 11, 2, D(2024, 1, 8), False, 1), "f": (5, 15, 2, D(2024, 2, 10), True, 3)}
+    fed.check(make_domain(spark, ROWS | {"commits": [(c[0], *changed.get(c[0], c[1:])) for c in ROWS["commits"]]}))
+
+
+def test_the_summary_and_the_tallies_share_their_shuffles(spark, tmp_path, no_broadcast):  # noqa: F811
+    odd = _odd(spark, tmp_path)
+    store = BucketStore(spark, work_dir(spark, "added"))
+    star = odd.having(jira_issues=store.replace("jira_issues", odd.jira_issues), teams=store.replace("teams", odd.teams))
+    star.__dict__["members_are_few"] = True
+    # Signed rows of one commit date each: some that come to nothing, and those that are left.
+    rolled = store.replace("rolled", engineer_rollup(star))
+    gone = rolled.where("issue_id % 5 = 0")
+    each = [rolled, gone, gone.withColumns({c: -F.col(c) for c in ("total_commits", "ai_commits")})]
+    signed = store.replace("signed", reduce(DataFrame.unionByName, each))
+    plans = []
+    store.replace = lambda name, df: (plans.append(executed(df)), BucketStore.replace(store, name, df))[1]
+    summary = lambda joined: stored_facts.ai_impact_summary(star, AS_OF, joined=joined)
+    shared = refresh.share(star, store, dict.fromkeys(refresh.REFRESHED), rolled, signed, signed=True, along=summary)
+    shuffles = [line for line in plans[0].splitlines() if "Exchange hashpartitioning(issue_id" in line]
+    assert sorted("ReusedExchange" in line for line in shuffles) == [False, False, True, True]
+    assert as_set(shared.along) == as_set(stored_facts.ai_impact_summary(star, AS_OF, rolled)) and not shared.along.isEmpty()
+    for dimension in refresh.REFRESHED:
+        expected = refresh.metric_rows(star, dimension, rolled)
+        assert as_set(refresh.metric_rows(star, dimension, shared)) == as_set(expected), dimension
+
+
+def test_a_whole_summary_keeps_the_time_of_what_did_not_change(spark):
+    fed = Fed(spark, make_domain(spark))
+    before = {r.issue_id: r.last_updated for r in fed.store.read("ai_impact_summary").collect()}
+    arrived = [(c[0], c[1], c[2], c[3], c[4], not c[5], c[6], 1) for c in ROWS["commits"] if c[2] != 12]
+    fed.arrive("commits", arrived)
+    assert fed.store._list("ai_impact_summary") is None
+    after = {r.issue_id: r.last_updated for r in fed.store.read("ai_impact_summary").collect()}
+    assert set(after) == set(before) and {k for k in after if after[k] == before[k]} == {12}
