@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cyclelens import catalog
 from cyclelens.operators.facts import engineer_rollup
 from cyclelens.plans import refresh, stored_facts
-from cyclelens.session import work_dir
+from cyclelens.session import CLEANUP, release, work_dir
 from cyclelens.sources.buckets import RUNS, BucketStore
 from cyclelens.streaming import live
 from tests.conftest import ROWS, as_set, make_domain
@@ -157,3 +157,21 @@ def test_a_whole_summary_keeps_the_time_of_what_did_not_change(spark):
     assert fed.store._list("ai_impact_summary") is None
     after = {r.issue_id: r.last_updated for r in fed.store.read("ai_impact_summary").collect()}
     assert set(after) == set(before) and {k for k in after if after[k] == before[k]} == {12}
+
+
+def test_a_frame_is_run_again_after_its_shuffles_went(spark):
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        rows = release(spark).range(100).groupBy((F.col("id") % 7).alias("k")).count()
+        assert rows.collect() == rows.collect() and rows.count() == 7
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def test_ids_are_packed_and_unpacked(spark):
+    ids = ["12-3-4", "1-3-4", "-", "--", "0", "00", "000", "-5--3", "", "a", "ab", "abc", "0a", "f", "ff", "F0", "0A", "12\n", "ab\n", "é-1", "12-3#2", "00ff00", "A-1", None, "da39a3ee5e6b4b0d3255bfef95601890afd80709"]
+    rows = spark.createDataFrame([(i,) for i in ids], "id string").select("id", live.packed("id").alias("p"))
+    found = rows.select("id", "p", live.unpacked("p").alias("back")).collect()
+    assert [r.back for r in found] == ids and len({bytes(r.p) for r in found if r.p is not None}) == len(ids) - 1
+    assert [len(found[i].p) for i in (0, 1, -1)] == [4, 3, 21]
